@@ -80,9 +80,11 @@ def refined_quantiles(
     )
 
 
-def ordered_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+def ordered_median(df: DataFrame, keys: Sequence[str], value: str, name: str, upper: bool = False) -> DataFrame:
     """Median of a whole-number column per key, for keys with very many distinct values.
 
+    ``upper`` takes the upper of the two middle values instead of their mean.
+
     Values are counted, then a running count along the value order (cut into pieces) finds the
     middle one or two; no aggregation buffer holds a key's values.
     """
@@ -100,4 +102,5 @@ def ordered_median(df: DataFrame, keys: Sequence[str], value: str, name: str) ->
     picked = run.groupBy(*keys).agg(
         F.max(F.when(covers(lo), F.col(value))).alias("_lo"), F.max(F.when(covers(hi), F.col(value))).alias("_hi")
     )
-    return picked.select(*keys, ((F.col("_lo") + F.col("_hi")) / F.lit(2.0)).alias(name))
+    middle = F.col("_hi") if upper else (F.col("_lo") + F.col("_hi")) / F.lit(2.0)
+    return picked.select(*keys, middle.alias(name))
