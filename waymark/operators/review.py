@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import half_even, rank_of
 from ..schema import KEYS, LANDMARKS_11, Keys, Landmarks
+from ..session import ensure_checkpoint_dir
 from .derive import representative
 from .ordered import attach, keep_last, with_neighbours
 from .quantiles import ordered_median
@@ -97,75 +100,90 @@ def pack_batches(entities: DataFrame, place: str, size: str, target: int = BATCH
     An entity opens a new batch when the open one already holds ``target`` rows, and is never
     split. The open size matters only up to ``target``, so a run of ``width`` entities is a small
     table "size before -> size after, batches opened". Runs are tabulated in parallel, runs of
-    runs are composed the same way, and the start states are handed down again; the only
+    runs are composed from those tables, and the start states are handed down again; the only
     sequential step works on one entry per ``width`` squared entities.
     """
     state = "struct<n:bigint,b:bigint>"
 
-    def make(n: Column, b: Column) -> Column:
-        return F.struct(n.cast("bigint").alias("n"), b.cast("bigint").alias("b")).cast(state)
-
-    def add(acc: Column, c: Column) -> Column:
-        full = acc.getField("n") >= target
-        return make(
-            F.least(F.lit(target), F.when(full, c).otherwise(acc.getField("n") + c)),
-            acc.getField("b") + full.cast("bigint"),
-        )
+    def tabulate(pdf: pd.DataFrame) -> pd.DataFrame:
+        # All start sizes at once: one vector step per entity of the run.
+        n = np.arange(target + 1)
+        opened = np.zeros(target + 1, dtype=np.int64)
+        for c in pdf.sort_values("place")["size"].to_numpy():
+            full = n >= target
+            opened += full
+            n = np.minimum(target, np.where(full, 0, n) + c)
+        return pd.DataFrame({"_run": [pdf["_run"].iloc[0]], "n": [n], "b": [opened]})
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("place")
+        n, b = int(pdf["n"].iloc[0]), int(pdf["b"].iloc[0])
+        batches = []
+        for c in pdf["size"].to_numpy():
+            if n >= target:
+                n, b = 0, b + 1
+            n += int(c)
+            batches.append(b)
+        return pd.DataFrame({"place": pdf["place"].to_numpy(), "batch": batches})
 
     def follow(acc: Column, table: Column) -> Column:
         hit = F.get(table, acc.getField("n").cast("int"))
-        return make(hit.getField("n"), acc.getField("b") + hit.getField("b"))
+        return F.struct(hit.getField("n").alias("n"), (acc.getField("b") + hit.getField("b")).alias("b")).cast(state)
 
-    starts = F.sequence(F.lit(0), F.lit(target))
+    def start(n: Column, b: Column) -> Column:
+        return F.struct(n.cast("bigint").alias("n"), b.cast("bigint").alias("b")).cast(state)
 
-    def tabulate(items: Column, field: str, step) -> Column:
-        vals = F.transform(items, lambda x: x.getField(field))
-        return F.transform(starts, lambda s: F.aggregate(vals, make(s, F.lit(0)), step))
+    def compose(items: Column) -> Column:
+        maps = F.transform(items, lambda x: x.getField("m"))
+        return F.transform(F.sequence(F.lit(0), F.lit(target)), lambda s: F.aggregate(maps, start(s, F.lit(0)), follow))
 
-    def hand_down(items: Column, field: str, step, start: Column) -> Column:
+    def hand_down(items: Column, begin: Column) -> Column:
         """Per item its id and the state before it."""
         empty = F.array().cast(f"array<struct<id:bigint,at:{state}>>")
-        zero = F.struct(empty.alias("out"), start.cast(state).alias("s"))
 
         def merge(acc: Column, x: Column) -> Column:
-            here = F.struct(x.getField("id").cast("bigint").alias("id"), acc.getField("s").alias("at"))
+            here = F.struct(x.getField("id").alias("id"), acc.getField("s").alias("at"))
             return F.struct(
-                F.concat(acc.getField("out"), F.array(here)).alias("out"), step(acc.getField("s"), x.getField(field)).alias("s")
+                F.concat(acc.getField("out"), F.array(here)).alias("out"), follow(acc.getField("s"), x.getField("m")).alias("s")
             )
 
-        return F.aggregate(items, zero, merge, lambda acc: acc.getField("out"))
+        return F.aggregate(items, F.struct(empty.alias("out"), begin.alias("s")), merge, lambda acc: acc.getField("out"))
+
+    def gathered(df: DataFrame, key: str | None, item: str) -> DataFrame:
+        cell = F.array_sort(F.collect_list(F.struct(F.col(item).alias("id"), F.col("m").alias("m")))).alias("items")
+        return df.groupBy(key).agg(cell) if key else df.agg(cell)
 
-    base = entities.withColumn("_run", F.floor((F.col(place) - 1) / width).cast("bigint"))
     # A run holds at most ``width`` entities, because places are dense.
-    runs = base.groupBy("_run").agg(
-        F.array_sort(F.collect_list(F.struct(F.col(place).cast("bigint").alias("id"), F.col(size).cast("bigint").alias("c")))).alias("items")
+    base = entities.select(
+        F.floor((F.col(place) - 1) / width).cast("bigint").alias("_run"),
+        F.col(place).cast("bigint").alias("place"), F.col(size).cast("bigint").alias("size"),
     )
-    tables = runs.select(
-        F.col("_run"), F.floor(F.col("_run") / width).cast("bigint").alias("_top"), tabulate(F.col("items"), "c", add).alias("m")
+    tables = base.groupBy("_run").applyInPandas(tabulate, "_run long, n array<long>, b array<long>").select(
+        "_run", F.floor(F.col("_run") / width).cast("bigint").alias("_top"), F.arrays_zip("n", "b").cast(f"array<{state}>").alias("m")
     )
-    tops = tables.groupBy("_top").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_run").alias("id"), F.col("m").alias("m")))).alias("items")
+    tops = gathered(tables, "_top", "_run")
+    whole = gathered(tops.select("_top", compose(F.col("items")).alias("m")), None, "_top")
+    top_at = whole.select(F.inline(hand_down(F.col("items"), start(F.lit(0), F.lit(1))))).select(F.col("id").alias("_top"), "at")
+    run_at = tops.join(top_at, "_top").select(F.inline(hand_down(F.col("items"), F.col("at")))).select(
+        F.col("id").alias("_run"), "at.n", "at.b"
     )
-    whole = tops.select("_top", tabulate(F.col("items"), "m", follow).alias("m")).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_top").alias("id"), F.col("m").alias("m")))).alias("items")
-    )
-    begin = make(F.lit(0), F.lit(1))
-    top_at = whole.select(F.inline(hand_down(F.col("items"), "m", follow, begin))).select(F.col("id").alias("_top"), "at")
-    run_at = tops.join(top_at, "_top").select(F.inline(hand_down(F.col("items"), "m", follow, F.col("at"))))
-    run_at = run_at.select(F.col("id").alias("_run"), "at")
-    one = runs.join(run_at, "_run").select(F.inline(hand_down(F.col("items"), "c", add, F.col("at"))))
-    batch = F.col("at.b") + (F.col("at.n") >= target).cast("bigint")
-    return entities.join(one.select(F.col("id").alias(place), batch.alias("batch")), place)
+    placed = base.join(run_at, "_run").groupBy("_run").applyInPandas(walk, "place long, batch long")
+    return entities.join(placed.withColumnRenamed("place", place), place)
 
 
 def corrector_plan(
     worklist: DataFrame, order: str, ties: Sequence[str] = (), class_col: str = "disease_class",
     classes: Sequence[str] = CLASS_ORDER, keys: Keys = KEYS, target: int = BATCH_TARGET,
 ) -> DataFrame:
-    """Tier-1 units in plan order with ``order_index`` and ``batch``; ``order`` is numeric per entity."""
+    """Tier-1 units in plan order with ``order_index`` and ``batch``; ``order`` is numeric per entity.
+
+    The units and the placed entities are read several times, so each is checkpointed once.
+    """
+    ensure_checkpoint_dir(worklist.sparkSession)
     tier1 = worklist.filter(F.col("priority_tier") == "1_critical").withColumn("_cls", rank_of(F.col(class_col), classes))
+    tier1 = tier1.checkpoint()
     per_entity = tier1.groupBy("_cls", keys.entity, order) if order != keys.entity else tier1.groupBy("_cls", keys.entity)
-    ents = plan_position(per_entity.agg(F.count(F.lit(1)).alias("_size")), "_cls", order, ties, out="_place")
+    ents = plan_position(per_entity.agg(F.count(F.lit(1)).alias("_size")), "_cls", order, ties, out="_place").checkpoint()
     packed = pack_batches(ents, "_place", "_size", target)
     # Units of an entity follow each other, so their index is the rows before it plus their own rank.
     before = with_neighbours(packed.withColumn("_all", F.lit(0)), ["_all"], "_place", running={"_end": "_size"})
