@@ -7,11 +7,13 @@ replay a draw, a lost task recomputes the same values, and no state is kept.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PRIME = 2147483647
+WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
 def key_number(c: Column) -> Column:
@@ -19,13 +21,51 @@ def key_number(c: Column) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(PRIME))
 
 
+def _enter(x: Column, part: Column) -> Column:
+    return F.pmod(x * F.lit(48271) + F.pmod(part.cast("bigint"), F.lit(PRIME)) * F.lit(69621), F.lit(PRIME))
+
+
+def _stir(y: Column) -> Column:
+    return F.pmod(y * y + y * F.lit(3) + F.lit(12345), F.lit(PRIME))
+
+
+def _close(x: Column) -> Column:
+    return F.pmod(x * x + F.lit(777) + x * F.lit(5), F.lit(PRIME))
+
+
 def draw(seed: int, *parts: Column) -> Column:
     """Integer in [0, 2^31-1) from integer parts, by repeated quadratic mixing."""
     x = F.lit(seed % PRIME).cast("bigint")
     for p in parts:
-        y = F.pmod(x * F.lit(48271) + F.pmod(p.cast("bigint"), F.lit(PRIME)) * F.lit(69621), F.lit(PRIME))
-        x = F.pmod(y * y + y * F.lit(3) + F.lit(12345), F.lit(PRIME))
-    return F.pmod(x * x + F.lit(777) + x * F.lit(5), F.lit(PRIME))
+        x = _stir(_enter(x, p))
+    return _close(x)
+
+
+def with_state(df: DataFrame, out: str, seed: int, parts: Sequence[Column]) -> DataFrame:
+    """The mixing state after ``parts``; one projection per step, so no step is evaluated twice."""
+    d = df.withColumn(out, F.lit(seed % PRIME).cast("bigint"))
+    for p in parts:
+        d = d.withColumn(out, _enter(F.col(out), p))
+        d = d.withColumn(out, _stir(F.col(out)))
+    return d
+
+
+def with_draw(df: DataFrame, out: str, seed: int, parts: Sequence[Column]) -> DataFrame:
+    """``draw`` as a column of ``df``, evaluated step by step."""
+    return with_state(df, out, seed, parts).withColumn(out, _close(F.col(out)))
+
+
+def continue_draw(df: DataFrame, out: str, part: Column) -> DataFrame:
+    """Finish a state column with one more part."""
+    d = df.withColumn(out, _enter(F.col(out), part))
+    d = d.withColumn(out, _stir(F.col(out)))
+    return d.withColumn(out, _close(F.col(out)))
+
+
+def key_parts(df: DataFrame, ids: Sequence[str]) -> list[Column]:
+    """Integer parts for key columns: whole numbers as they are, other types by hash."""
+    types = dict(df.dtypes)
+    return [F.col(c) if types[c] in WHOLE else key_number(F.col(c)) for c in ids]
 
 
 def draw_sql(seed: int, *parts: str) -> str:

@@ -111,17 +111,20 @@ def repair_forward(df: DataFrame, chain: Sequence[str]) -> DataFrame:
 
 
 def repair_ranked(
-    df: DataFrame, corrected: Sequence[str] = (), lm: Landmarks = LANDMARKS_11, strict: bool = False,
+    df: DataFrame, corrected: Sequence[str] | Column = (), lm: Landmarks = LANDMARKS_11, strict: bool = False,
 ) -> DataFrame:
     """Peaks and corrected boundaries stay; the rest yields, first rightwards, then leftwards.
 
-    Adds ``n_moved``, ``moved`` (names, joined) and ``n_unresolved`` (pinned pairs still crossed).
+    ``corrected`` lists names, or is a column holding an array of them. Adds ``n_moved``, ``moved`` (names, joined) and ``n_unresolved`` (pinned pairs still crossed).
     """
     chain = lm.order
-    pinned = [c in lm.peaks or (not strict and c in corrected) for c in chain]
-    cells = F.array(
-        *[F.struct(F.col(c).cast("double").alias("v"), F.lit(p).alias("pin")) for c, p in zip(chain, pinned)]
-    )
+
+    def pinned(c: str) -> Column:
+        if c in lm.peaks or strict:
+            return F.lit(c in lm.peaks)
+        return F.array_contains(corrected, c) if isinstance(corrected, Column) else F.lit(c in corrected)
+
+    cells = F.array(*[F.struct(F.col(c).cast("double").alias("v"), pinned(c).alias("pin")) for c in chain])
 
     def push(better):
         def step(run: Column, x: Column) -> Column:

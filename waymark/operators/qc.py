@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import half_even, out_of_range
 from ..schema import KEYS, LANDMARKS_11, Keys, Landmarks
-from ..session import ensure_checkpoint_dir
+from ..session import materialise
 from .ordered import attach, with_frame, with_neighbours
 from .quantiles import grouped_quantiles
 
@@ -275,7 +275,6 @@ def drop_short_intervals(
     the start always the later, at the end always the earlier. Named events go together. A pass
     ends in a reliable checkpoint, so lineage stays short and a lost executor costs one pass.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     cur = df
     for _ in range(max_passes):
         seq = with_neighbours(cur, keys, position, ties=tie, ordinal="_i", total="_n")
@@ -293,7 +292,7 @@ def drop_short_intervals(
         s = s.withColumns({"_me": short & earlier, "_nx": short & ~earlier})
         w = with_frame(s, keys, "_i", 1, 0, {"_byprev": lambda w: F.lag("_nx").over(w)})
         gone = F.col("_me") | F.coalesce(F.col("_byprev"), F.lit(False))
-        marked = w.withColumn("_gone", gone).select(*cur.columns, "_gone").checkpoint()
+        marked = materialise(w.withColumn("_gone", gone).select(*cur.columns, "_gone"))
         cur = marked.filter(~F.col("_gone")).drop("_gone")
         if marked.filter("_gone").limit(1).count() == 0:
             return cur

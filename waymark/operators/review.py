@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import half_even, rank_of
 from ..schema import KEYS, LANDMARKS_11, Keys, Landmarks
-from ..session import ensure_checkpoint_dir
+from ..session import materialise
 from .derive import representative
 from .ordered import attach, keep_last, with_neighbours
 from .quantiles import ordered_median
@@ -179,11 +179,10 @@ def corrector_plan(
 
     The units and the placed entities are read several times, so each is checkpointed once.
     """
-    ensure_checkpoint_dir(worklist.sparkSession)
     tier1 = worklist.filter(F.col("priority_tier") == "1_critical").withColumn("_cls", rank_of(F.col(class_col), classes))
-    tier1 = tier1.checkpoint()
+    tier1 = materialise(tier1)
     per_entity = tier1.groupBy("_cls", keys.entity, order) if order != keys.entity else tier1.groupBy("_cls", keys.entity)
-    ents = plan_position(per_entity.agg(F.count(F.lit(1)).alias("_size")), "_cls", order, ties, out="_place").checkpoint()
+    ents = materialise(plan_position(per_entity.agg(F.count(F.lit(1)).alias("_size")), "_cls", order, ties, out="_place"))
     packed = pack_batches(ents, "_place", "_size", target)
     # Units of an entity follow each other, so their index is the rows before it plus their own rank.
     before = with_neighbours(packed.withColumn("_all", F.lit(0)), ["_all"], "_place", running={"_end": "_size"})

@@ -1,6 +1,6 @@
 """Importing the query modules fills the registry."""
 
-from . import quality, reconcile  # noqa: F401
+from . import correction, quality, reconcile  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

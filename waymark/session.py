@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "waymark", cpus: int | str = 8, memory: str = "16g") -> SparkSession:
@@ -37,3 +37,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="waymark-cp-"))
     return sc._jsc.sc().getCheckpointDir().get()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write an intermediate table once to the shared checkpoint folder and go on from there.
+
+    For tables several later steps read: their plan is then a file scan, and a lost executor costs
+    a re-read instead of the whole lineage.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
