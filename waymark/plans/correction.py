@@ -201,7 +201,7 @@ def crossvalidate_offsets(spark, sf):
 
 @query(
     "fold_offset_spread",
-    f"WITH {CV_SQL.split(', tn AS')[0]}, m AS (SELECT fiducial, kf, median(residual_ms) AS m FROM xr, (SELECT unnest(range(5)) AS kf) k WHERE fold <> kf GROUP BY ALL) "
+    f"WITH {CV_SQL.split(',' + chr(10) + ' tn AS')[0]}, m AS (SELECT fiducial, kf, median(residual_ms) AS m FROM xr, (SELECT unnest(range(5)) AS kf) k WHERE fold <> kf GROUP BY ALL) "
     "SELECT fiducial, min(m) AS lowest_ms, max(m) AS highest_ms, max(m) - min(m) AS spread_ms FROM m GROUP BY fiducial",
 )
 def fold_offset_spread(spark, sf):
