@@ -11,6 +11,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it in ``body``, also inside element-wise lambdas there.
+
+    Without it the optimizer may fold a column used once into a lambda and recompute it per element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def at(arr: Column, i: Column) -> Column:
     """Element at a 0-based index, NULL when the index is absent or outside the array."""
     return F.when((i >= 0) & (i < F.size(arr)), F.get(arr, i.cast("int")))
@@ -33,28 +41,30 @@ def mean(arr: Column) -> Column:
 
 def median(arr: Column) -> Column:
     """Median of the present elements."""
-    s = F.array_sort(F.filter(arr, lambda v: v.isNotNull()))
-    n = F.size(s)
-    lo = F.get(s, F.floor((n - 1) / 2).cast("int"))
-    hi = F.get(s, F.floor(n / 2).cast("int"))
-    return F.when(n > 0, (lo + hi) / F.lit(2.0))
+    return quantile(arr, 0.5)
 
 
 def quantile(arr: Column, q: float) -> Column:
     """Linearly interpolated quantile of the present elements."""
-    s = F.array_sort(F.filter(arr, lambda v: v.isNotNull()))
-    pos = (F.size(s) - 1) * F.lit(float(q))
-    lo = F.floor(pos)
-    a = F.get(s, lo.cast("int"))
-    b = F.get(s, F.ceil(pos).cast("int"))
-    return F.when(F.size(s) > 0, a + (b - a) * (pos - lo))
+
+    def read(s: Column) -> Column:
+        pos = (F.size(s) - 1) * F.lit(float(q))
+        lo = F.floor(pos)
+        a = F.get(s, lo.cast("int"))
+        b = F.get(s, F.ceil(pos).cast("int"))
+        return F.when(F.size(s) > 0, a + (b - a) * (pos - lo))
+
+    return let(F.array_sort(F.filter(arr, lambda v: v.isNotNull())), read)
 
 
 def nearest_rank(arr: Column, q: float) -> Column:
     """Quantile by nearest rank: element number round(q*n), at least the first."""
-    s = F.array_sort(F.filter(arr, lambda v: v.isNotNull()))
-    k = F.greatest(F.lit(1), F.round(F.size(s) * F.lit(float(q)))).cast("int")
-    return F.when(F.size(s) > 0, F.get(s, k - 1))
+
+    def read(s: Column) -> Column:
+        k = F.greatest(F.lit(1), F.round(F.size(s) * F.lit(float(q)))).cast("int")
+        return F.when(F.size(s) > 0, F.get(s, k - 1))
+
+    return let(F.array_sort(F.filter(arr, lambda v: v.isNotNull())), read)
 
 
 def indexed(arr: Column) -> Column:
@@ -84,32 +94,36 @@ def box_mean(arr: Column, width: int, edge: str = "pad") -> Column:
     """Centred moving average. ``pad`` repeats the end values, ``trim`` shortens the window."""
     half = width // 2
     if edge == "trim":
-        return F.transform(arr, lambda v, i: mean(span(arr, i - half, i + half)))
-    n = F.size(arr)
+        return let(arr, lambda a: F.transform(a, lambda v, i: mean(span(a, i - half, i + half))))
     taps = range(-half, half + 1)
 
-    def at_clamped(i: Column, k: int) -> Column:
-        return F.get(arr, F.greatest(F.lit(0), F.least(n - 1, i + k)).cast("int"))
+    def padded(a: Column) -> Column:
+        last = F.size(a) - 1
 
-    def smooth(v: Column, i: Column) -> Column:
-        acc = at_clamped(i, taps[0])
-        for k in taps[1:]:
-            acc = acc + at_clamped(i, k)
-        return acc / F.lit(float(len(taps)))
+        def smooth(v: Column, i: Column) -> Column:
+            near = [F.get(a, F.greatest(F.lit(0), F.least(last, i + k)).cast("int")) for k in taps]
+            acc = near[0]
+            for x in near[1:]:
+                acc = acc + x
+            return acc / F.lit(float(len(taps)))
 
-    return F.transform(arr, smooth)
+        return F.transform(a, smooth)
+
+    return let(arr, padded)
 
 
 def gradient(arr: Column) -> Column:
     """Central difference, one-sided at both ends."""
-    n = F.size(arr)
 
-    def slope(v: Column, i: Column) -> Column:
-        lo = F.greatest(i - 1, F.lit(0))
-        hi = F.least(i + 1, n - 1)
-        return (F.get(arr, hi) - F.get(arr, lo)) / F.greatest(hi - lo, F.lit(1))
+    def slopes(a: Column) -> Column:
+        def slope(v: Column, i: Column) -> Column:
+            lo = F.greatest(i - 1, F.lit(0))
+            hi = F.least(i + 1, F.size(a) - 1)
+            return (F.get(a, hi) - F.get(a, lo)) / F.greatest(hi - lo, F.lit(1))
+
+        return F.transform(a, slope)
 
-    return F.transform(arr, slope)
+    return let(arr, slopes)
 
 
 def cross_left(m: Column, peak: Column, level: Column) -> Column:

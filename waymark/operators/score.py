@@ -218,8 +218,8 @@ CELLS = ("A", "B", "C", "D")
 
 
 def observability_cell(truncated: Column, p_present: Column) -> Column:
-    """A whole with P, B whole without, C truncated with P, D truncated without."""
-    return F.when(~truncated & p_present, "A").when(~truncated, "B").when(p_present, "C").otherwise("D")
+    """A whole with P, B truncated with P, C whole without P, D truncated without."""
+    return F.when(~truncated & p_present, "A").when(p_present, "B").when(~truncated, "C").otherwise("D")
 
 
 def cell_rates(df: DataFrame, cell: str, correct: Column, emits: Column) -> DataFrame:

@@ -178,7 +178,7 @@ def geometry_audit(spark, sf):
 
 @query(
     "observability_cells",
-    f"""WITH {CORR_SQL}, c AS (SELECT CASE WHEN u.lead % 2 = 0 THEN CASE WHEN u.p_peak IS NOT NULL THEN 'A' ELSE 'B' END ELSE CASE WHEN u.p_peak IS NOT NULL THEN 'C' ELSE 'D' END END AS cell,
+    f"""WITH {CORR_SQL}, c AS (SELECT CASE WHEN u.lead % 2 = 0 THEN CASE WHEN u.p_peak IS NOT NULL THEN 'A' ELSE 'C' END ELSE CASE WHEN u.p_peak IS NOT NULL THEN 'B' ELSE 'D' END END AS cell,
       CASE WHEN (c.p_peak IS NOT NULL) = (u.p_peak IS NOT NULL) THEN 1.0 ELSE 0.0 END AS ok, CASE WHEN c.q_peak IS NOT NULL THEN 1.0 ELSE 0.0 END AS em
      FROM units u JOIN corr c ON u.record_id = c.record_id AND u.lead = c.lead)
     SELECT cell, count(*) AS n, round(avg(ok), 6) AS share_correct, round(avg(em), 6) AS share_emitting FROM c GROUP BY cell""",
