@@ -95,10 +95,13 @@ def beat_qc(
 
 
 def flag_reasons(df: DataFrame, flags: str = "qc_flags") -> DataFrame:
-    """One row per flag with its value cut off."""
-    return df.withColumn("reason", F.explode(flags)).withColumn(
-        "reason", F.regexp_extract("reason", "^[^:=]*", 0)
-    )
+    """One row per flag with its value cut off.
+
+    The outer form with a filter behind it keeps the optimizer from testing the array's size below
+    the projection, which would compute the flags twice.
+    """
+    rows = df.withColumn("reason", F.explode_outer(flags)).filter("reason is not null")
+    return rows.withColumn("reason", F.regexp_extract("reason", "^[^:=]*", 0))
 
 
 def unit_status(df: DataFrame, keys: Keys = KEYS, extra: Sequence[str] = (), frac: float = 0.5) -> DataFrame:

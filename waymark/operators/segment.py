@@ -36,7 +36,8 @@ def runs(labels: Column) -> Column:
 
 def explode_runs(df: DataFrame, keys: Sequence[str], labels: str = "labels") -> DataFrame:
     """Rows (keys, v, start, end, length): a unit becomes its regions."""
-    return df.select(*keys, F.inline(runs(F.col(labels)))).withColumn("length", F.col("end") - F.col("start") + 1)
+    rows = df.select(*keys, F.inline_outer(runs(F.col(labels)))).filter("start is not null")
+    return rows.withColumn("length", F.col("end") - F.col("start") + 1)
 
 
 def mode_filter(labels: Column, kernel: int = 9, classes: Sequence[int] = (0, 1, 2, 3)) -> Column:
