@@ -55,7 +55,7 @@ def read_waveforms(spark: SparkSession, paths: str | Sequence[str], channels: Se
     non-numeric cells. The entity is the file name without extension and ``suffix``.
     """
     k = len(channels)
-    text = spark.read.option("wholetext", True).text(paths).select(
+    text = spark.read.text(paths, wholetext=True).select(
         F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), rf"{suffix}\.[^.]*$", "").alias("record_id"),
         F.col("_metadata.file_path").alias("path"), "value",
     )
@@ -118,7 +118,7 @@ def read_run_log(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 def read_history(spark: SparkSession, path: str | Sequence[str], item: str) -> DataFrame:
     """A JSON list of per-epoch objects (``item`` is the object's schema), structs flattened one level."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     rows = raw.select(F.explode(F.from_json("value", f"array<{item}>")).alias("e")).select("e.*")
     flat = []
     for f in rows.schema.fields:
