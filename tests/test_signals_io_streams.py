@@ -82,6 +82,19 @@ def test_template_of_equal_beats_is_the_beat(spark):
     assert [r["offset"] for r in t] == [-2, -1, 0, 1, 2, 3] and np.allclose([r["value"] for r in t], beat[:6])
 
 
+def test_rule_based_delineation_of_a_clean_beat(spark):
+    t = np.arange(400) * 2.0  # ms
+    bump = lambda c, w, h: h * np.exp(-0.5 * ((t - c) / w) ** 2)
+    x = bump(100, 8, 1.0) - bump(125, 7, 0.4) + bump(400, 35, 0.35) + 1e-5 * np.sin(t)
+    r = G.delineate_rule_based(trace_df(spark, {"I": x})).first()
+    assert r["t_peak"] == 200
+    assert 30 <= r["qrs_onset"] <= 45 and 62 <= r["qrs_offset"] <= 90
+    assert 145 <= r["t_onset"] < 200 < r["t_offset"] <= 270
+    assert r["qrs_onset"] < r["qrs_offset"] < r["t_onset"]
+    down = G.delineate_rule_based(trace_df(spark, {"I": x - 2 * bump(400, 35, 0.35)})).first()
+    assert (down["t_peak"], down["t_offset"]) == (200, r["t_offset"])
+
+
 def mode_by_hand(a, k):
     h = k // 2
     p = np.pad(a, h, mode="edge")
@@ -297,6 +310,13 @@ def test_entry_runs(spark):
     assert r.columns == ["disease_class", "qc_status", "n"] and r.count() > 0
 
 
+def test_json_text_has_no_nan(spark):
+    from waymark.functions.scalar import json_text
+
+    d = spark.createDataFrame([(1.5, float("nan"))], "a double, b double")
+    assert json.loads(d.select(json_text(F.struct("a", "b"))).first()[0]) == {"a": 1.5, "b": None}
+
+
 def test_report_text(spark):
     d = spark.createDataFrame([("b", None), ("a", 1.5)], "k string, v double")
     assert Z.report_text(d, ["k", "v"], width=6).splitlines() == ["     k     v", "     a  1.50", "     b    --"]

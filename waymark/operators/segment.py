@@ -225,18 +225,36 @@ def order_violations(lm: Landmarks = LANDMARKS_11) -> Column:
 
 
 def build_target(crop_start: Column, length: int, window: tuple[Column, Column], lm: Landmarks = LANDMARKS_11) -> Column:
-    """Class per sample of a crop: background in the window, waves over their spans, NULL elsewhere."""
-    lo, hi = window
-    spans = [(CLASSES[w.name], half_even(F.col(w.onset).cast("double")), half_even(F.col(w.offset).cast("double"))) for w in lm.waves]
+    """Class per sample of a crop: background in the window, waves over their spans, NULL elsewhere.
+
+    The span ends cut the crop into a few stretches; each is labelled once and repeated.
+    """
+    def inside(c: Column) -> Column:
+        return F.least(F.lit(length), F.greatest(F.lit(0), c - crop_start)).cast("int")
+
+    spans = [(CLASSES["background"], *window)]
+    for w in lm.waves:
+        a, b = (half_even(F.col(c).cast("double")) for c in (w.onset, w.offset))
+        both = a.isNotNull() & b.isNotNull()
+        spans.append((CLASSES[w.name], F.when(both, F.least(a, b)), F.when(both, F.greatest(a, b))))
+    cells = F.array_compact(F.array(*[
+        F.when(lo.isNotNull() & hi.isNotNull(), F.struct(inside(lo).alias("a"), inside(hi + 1).alias("b"), F.lit(cls).alias("c"))) for cls, lo, hi in spans
+    ]))
+
+    def labelled(sp: Column) -> Column:
+        ends = F.flatten(F.transform(sp, lambda s: F.array(s.getField("a"), s.getField("b"))))
+        cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0), F.lit(length)), ends)))
+
+        def fill(q: Column) -> Column:
+            def stretch(x: Column, i: Column) -> Column:
+                cover = F.filter(sp, lambda s: (s.getField("a") <= x) & (x < s.getField("b")))
+                return F.array_repeat(F.try_element_at(cover, F.lit(-1)).getField("c"), F.coalesce(F.get(q, i + 1), x) - x)
+
+            return F.flatten(F.transform(q, stretch))
 
-    def label(i: Column) -> Column:
-        pos = i + crop_start
-        out = F.when((pos >= lo) & (pos <= hi), CLASSES["background"])
-        for cls, a, b in spans:
-            out = F.when((pos >= F.least(a, b)) & (pos <= F.greatest(a, b)) & a.isNotNull() & b.isNotNull(), cls).otherwise(out)
-        return out
+        return A.let(cuts, fill)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), label)
+    return A.let(cells, labelled)
 
 
 def resolve_window(

@@ -424,3 +424,136 @@ def normalise_by_peak(df: DataFrame, keys: Sequence[str], value: str, out: str =
     from .ordered import attach
 
     return attach(df, keys, F.max(F.abs(value)).alias("_m")).withColumn(out, F.try_divide(F.col(value), F.col("_m"))).drop("_m")
+
+
+# ---------------------------------------------------------------- rule-based delineation
+
+
+def _forward(arr: Column, k: int, absolute: bool = True, least: bool = False) -> Column:
+    """Largest (or least) |value| of every sample and the ``k`` after it."""
+    def scan(a: Column) -> Column:
+        return F.transform(a, lambda v, i: (F.array_min if least else F.array_max)(F.slice(a, i + 1, k + 1)))
+
+    return A.let(F.transform(arr, lambda v: F.abs(v)) if absolute else arr, scan)
+
+
+def _first_in(arr: Column, lo: Column, hi: Column, level: Column, below: bool = True) -> Column:
+    pack = F.struct(lo.alias("a"), hi.alias("b"), level.alias("t"))
+    hit = lambda v, i, s: (i >= s.getField("a")) & (i <= s.getField("b")) & ((v < s.getField("t")) if below else (v > s.getField("t")))
+    return A.let(pack, lambda s: A.first_index(arr, lambda v, i: hit(v, i, s)))
+
+
+def _mad(arr: Column) -> Column:
+    return A.let(F.struct(arr.alias("a"), A.median(arr).alias("m")), lambda s: A.median(F.transform(s.getField("a"), lambda v: F.abs(v - s.getField("m")))))
+
+
+def delineate_rule_based(df: DataFrame, fs: float = 500.0, trace: str = "trace", activation_ms: float = 67.0) -> DataFrame:
+    """Five landmarks of a single normalised beat from noise-scaled slopes and sustained conditions.
+
+    Every landmark has a fallback; those used are listed in ``fallbacks``. Adds qrs_onset,
+    qrs_offset, t_onset, t_peak, t_offset (0-based) and ``qrs_end_flag``.
+    """
+    def S(ms: float) -> int:
+        return max(1, int(round(ms * fs / 1000.0)))
+
+    x = F.col(trace)
+    n = F.size(x)
+    last = n - 1
+    width = S(3)
+    end = lambda c: F.least(last, c)
+    peak_of = lambda a: F.array_max(F.transform(a, lambda v: F.abs(v)))
+
+    d = df.withColumns({"_dv": A.gradient(x), "_dx": A.gradient(F.concat(F.array_repeat(F.get(x, F.lit(0)), width), x))})
+    d = d.withColumns({"_ddv": A.gradient(F.col("_dv")), "_ddx": A.gradient(F.col("_dx"))})
+    # Noise of the slopes over an early and a late quiet stretch, each sample counted once.
+    early, late = S(80), F.greatest(n - S(150), F.lit(1)) - 1
+    stop = F.greatest(F.greatest(n - S(20), F.lit(1)), late + 1)
+    quiet = lambda c: A.let(F.struct(late.alias("a"), stop.alias("b")), lambda s: F.filter(F.col(c), lambda v, i: (i < early) | ((i >= s.getField("a")) & (i < s.getField("b")))))
+    tiny = 2.220446049250313e-16
+    sigma = lambda c: F.greatest(F.lit(1.4826) * _mad(quiet(c)), F.lit(tiny), F.lit(0.01) * peak_of(F.col(c)) + F.lit(tiny))
+    d = d.withColumns({"_sd": sigma("_dv"), "_sdd": sigma("_ddv")})
+
+    # 1. core onset: smoothed curvature and slope above the noise, moved back to where the slope stays up
+    lo, hi = F.lit(max(width + 1, S(15)) - 1), F.least(n, F.lit(S(200))) - 1
+    smooth = lambda c: A.box_mean(F.transform(c, lambda v: F.abs(v)), 2 * width + 1, edge="trim")
+    both = F.zip_with(smooth(F.col("_ddx")), smooth(F.col("_dx")), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    lim = F.struct(lo.alias("a"), hi.alias("b"), (F.lit(0.5) * F.col("_sdd")).alias("p"), (F.lit(0.2) * F.col("_sd")).alias("q"))
+    found = A.let(lim, lambda s: A.first_index(both, lambda v, i: (i >= s.getField("a")) & (i <= s.getField("b")) & (v.getField("p") > s.getField("p")) & (v.getField("q") > s.getField("q"))))
+    d = d.withColumn("_e", found)
+    q0 = F.col("_e") - width
+    local = peak_of(A.span(F.col("_dv"), q0 - S(30), q0 + S(20)))
+    back = _first_in(_forward(F.col("_dv"), S(6), least=True), F.greatest(F.lit(0), q0 - S(30)), q0 - S(6), F.when(local > 0, F.lit(0.15) * local), below=False)
+    spare = F.greatest(F.lit(0), A.arg_best(A.span(F.col("_ddv"), lo, hi), lambda v: F.abs(v)) + lo - S(20))
+    d = d.withColumn("qrs_onset", F.when(F.col("_e").isNull(), spare).otherwise(F.coalesce(back, q0)))
+    d = d.withColumn("_f1", F.when(F.col("_e").isNull(), "qrs_onset"))
+
+    # 2. core offset: curvature stays inside the noise for a while
+    a, b = F.greatest(F.lit(0), F.col("qrs_onset") + S(20)), end(F.col("qrs_onset") + S(160))
+    calm = _first_in(_forward(F.col("_ddv"), S(8)), a, b - S(8), F.col("_sdd"))
+    flat = A.arg_best(A.span(F.col("_ddv"), a, b), lambda v: -F.abs(v)) + a
+    d = d.withColumn("_c", calm).withColumns({"qrs_offset": F.greatest(F.lit(0), end(F.coalesce(F.col("_c"), flat))), "_f2": F.when(F.col("_c").isNull(), "qrs_offset")})
+    qe = F.col("qrs_offset")
+
+    # 3. last peak: largest value after the core
+    start = F.when(n <= qe + 1 + S(40) + 5, end(qe + S(20))).otherwise(qe + S(40))
+    start = F.greatest(F.lit(0), end(start))
+    d = d.withColumn("t_peak", A.arg_best(A.span(x, start, last), lambda v: F.abs(v)) + start)
+    tp = F.col("t_peak")
+
+    # 4. last offset: flat and near the base level, flat alone, or a fixed distance
+    t0, t1 = end(tp + S(120)), end(tp + S(260))
+    g0, g1 = end(qe + S(20)), end(qe + S(60))
+    h0, h1 = end(qe + S(5)), end(qe + S(30))
+    base = F.when(t1 > t0 + 10, A.median(A.span(x, t0, t1))).when(g1 > g0, A.median(A.span(x, g0, g1))).otherwise(A.median(A.span(x, h0, F.greatest(h0, h1))))
+    d = d.withColumn("_base", base)
+    d = d.withColumns(
+        {
+            "_ap": F.greatest(F.abs(A.at(x, tp) - F.col("_base")), F.lit(1e-12)), "_s7": A.gradient(A.box_mean(x, 7, edge="trim")),
+            "_dev": A.let(F.col("_base"), lambda m: F.transform(x, lambda v: v - m)),
+        }
+    )
+    hold = S(35)
+    i0, i1 = end(tp + S(30)), F.least(n - hold - 2, tp + S(260))
+    slope = _forward(F.col("_s7"), hold)
+    near = _forward(F.col("_dev"), hold)
+    tol = F.lit(0.6) * F.col("_sd")
+    room = F.greatest(F.lit(0.15) * F.col("_ap"), F.lit(0.01) * peak_of(x))
+    calmest = F.zip_with(slope, near, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    lim = F.struct(i0.alias("a"), i1.alias("b"), tol.alias("p"), room.alias("q"))
+    settled = A.let(lim, lambda s: A.first_index(calmest, lambda v, i: (i >= s.getField("a")) & (i <= s.getField("b")) & (v.getField("p") < s.getField("p")) & (v.getField("q") < s.getField("q"))))
+    d = d.withColumns({"_x1": F.when(i1 > i0, settled), "_x2": F.when(i1 > i0, _first_in(slope, i0, i1, tol))})
+    d = d.withColumns({"_t": F.coalesce(F.col("_x1"), F.col("_x2"), end(tp + S(140))),
+                       "_f3": F.when(F.col("_x1").isNotNull(), None).when(F.col("_x2").isNotNull(), "t_offset_slope_only").otherwise("t_offset_fixed")})
+    wide = _forward(A.gradient(A.box_mean(x, 11, edge="trim")), S(25))
+    loose = F.lit(1.5) * tol
+    free = F.when(F.col("_t") >= n - 3, _first_in(wide, i0, F.least(n - S(25) - 2, tp + S(260)), loose))
+    d = d.withColumn("_x3", free).withColumns({"_t": F.coalesce("_x3", "_t"), "_f4": F.when(F.col("_x3").isNotNull(), "t_offset_unpinned")})
+    # a second bump behind the offset moves it past the bump
+    p0, p1 = end(F.col("_t") + 5), end(tp + S(260))
+    d = d.withColumn("_post", F.when(p1 > p0 + 10, centred(A.span(x, p0, p1))))
+    bump = F.when(peak_of(F.col("_post")) > F.lit(0.12) * F.col("_ap"), A.arg_best(F.col("_post"), lambda v: F.abs(v)) + p0)
+    d = d.withColumn("_bump", bump)
+    after = _first_in(_forward(F.col("_s7"), S(20)), end(F.col("_bump") + 10), F.least(n - S(20) - 2, F.col("_bump") + S(180)), loose)
+    d = d.withColumn("_x4", after).withColumns({"t_offset": F.greatest(F.lit(0), end(F.coalesce("_x4", "_t"))), "_f5": F.when(F.col("_x4").isNotNull(), "t_offset_bump")})
+
+    # 5. last onset: the trace leaves the level behind the core and stays away, moving toward the peak
+    s0, s1 = end(qe + S(15)), end(qe + S(60))
+    level = F.when(s1 > s0, A.median(A.span(x, s0, s1))).otherwise(A.median(A.span(x, h0, F.greatest(h0, h1))))
+    d = d.withColumn("_lev", level)
+    rise = A.at(x, tp) - F.col("_lev")
+    keep = S(12)
+    away = _forward(A.let(F.col("_lev"), lambda m: F.transform(x, lambda v: v - m)), keep, least=True)
+    toward = A.let(F.col("_dv"), lambda g: F.transform(g, lambda v, i: A.mean(F.slice(g, i + 1, keep + 1))))
+    pair = F.zip_with(away, toward, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    k0, k1 = end(qe + S(10)), F.least(n - keep - 2, tp - S(10))
+    lim = F.struct(k0.alias("a"), k1.alias("b"), (F.lit(0.16) * F.greatest(F.abs(rise), F.lit(1e-12))).alias("p"), F.when(rise < 0, -1.0).otherwise(1.0).alias("s"))
+    left = A.let(lim, lambda s: A.first_index(pair, lambda v, i: (i >= s.getField("a")) & (i <= s.getField("b")) & (v.getField("p") > s.getField("p")) & (v.getField("q") * s.getField("s") > 0)))
+    d = d.withColumn("_x5", F.when(k1 > k0, left)).withColumns(
+        {"t_onset": F.greatest(F.lit(0), end(F.coalesce(F.col("_x5"), tp - S(80)))), "_f6": F.when(F.col("_x5").isNull(), "t_onset")})
+    d = d.withColumns(
+        {
+            "qrs_end_flag": (F.abs(qe * F.lit(1000.0 / fs) - F.lit(activation_ms)) >= 25).cast("int"),
+            "fallbacks": F.array_compact(F.array(*[F.col(f"_f{i}") for i in range(1, 7)])),
+        }
+    )
+    return d.select(*df.columns, "qrs_onset", "qrs_offset", "t_onset", "t_peak", "t_offset", "qrs_end_flag", "fallbacks")

@@ -267,12 +267,6 @@ def resample_half(spark, sf):
     return r6(h.select("record_id", "lead", F.posexplode("halved").alias("sample", "v")), "v")
 
 
-@query("baseline_removed")
-def baseline_removed(spark, sf):
-    b = G.remove_baseline(traces(spark, sf), window=15)
-    return r6(b.select("record_id", "lead", F.posexplode("flat").alias("sample", "v")), "v")
-
-
 @query("template_average")
 def template_average(spark, sf):
     # Events of a unit at regular places of its trace, shifted by the record.
@@ -447,3 +441,38 @@ def renaming_consistency(spark, sf):
 def order_violations(spark, sf):
     b = beats(spark, sf).select("lead", S.order_violations().alias("violations"))
     return b.groupBy("lead", "violations").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("rule_based_landmarks")
+def rule_based_landmarks(spark, sf):
+    d = G.delineate_rule_based(traces(spark, sf), fs=100.0)
+    return d.select("record_id", "lead", "qrs_onset", "qrs_offset", "t_onset", "t_peak", "t_offset", "qrs_end_flag", F.array_join("fallbacks", ";").alias("fallbacks"))
+
+
+RULE_SQL = SM_SQL + """, e AS (SELECT 'gradient' AS landmark, round(d, 6) AS err_ms FROM gr UNION ALL SELECT 'smoothed', round(v, 6) FROM sm),
+ b AS (SELECT * FROM e UNION ALL SELECT 'all', err_ms FROM e)"""
+
+
+@query(
+    "boundary_rule_report",
+    f"WITH {RULE_SQL} SELECT landmark, count(err_ms) AS n, round(median(err_ms), 6) AS median_ms, round(avg(abs(err_ms)), 6) AS mae_ms, round(quantile_cont(abs(err_ms), 0.9), 6) AS p90_ms FROM b GROUP BY landmark",
+)
+def boundary_rule_report(spark, sf):
+    t = traces(spark, sf).select(A.box_mean(F.col("trace"), 5).alias("s"))
+    arms = [t.select(F.lit(k).alias("landmark"), F.explode(c).alias("err_ms")) for k, c in (("gradient", A.gradient(F.col("s"))), ("smoothed", F.col("s")))]
+    arms = [r6(a, "err_ms") for a in arms]
+    return r6(G.rule_report(arms[0].unionByName(arms[1])), "median_ms", "mae_ms", "p90_ms")
+
+
+BASE_SQL = TRACE_SQL + """, k AS (SELECT unnest(range(7)) AS k), md AS (SELECT record_id, lead, k, median(v) AS m FROM trace, k WHERE sample BETWEEN k*8 AND k*8 + 14 GROUP BY ALL),
+ p AS (SELECT *, greatest(0, least(6, (sample - 7)/8.0::DOUBLE)) AS pos FROM trace)"""
+
+
+@query(
+    "baseline_removed",
+    f"""WITH {BASE_SQL} SELECT p.record_id, p.lead, CAST(sample AS INTEGER) AS sample, round(v - (a.m + (b.m - a.m)*(pos - floor(pos))), 6) AS v
+    FROM p JOIN md a ON a.record_id = p.record_id AND a.lead = p.lead AND a.k = CAST(floor(pos) AS BIGINT) JOIN md b ON b.record_id = p.record_id AND b.lead = p.lead AND b.k = least(6, CAST(floor(pos) AS BIGINT) + 1)""",
+)
+def baseline_removed(spark, sf):
+    b = G.remove_baseline(traces(spark, sf), window=15)
+    return r6(b.select("record_id", "lead", F.posexplode("flat").alias("sample", "v")), "v")
