@@ -80,10 +80,13 @@ def refined_quantiles(
     )
 
 
-def ordered_median(df: DataFrame, keys: Sequence[str], value: str, name: str, upper: bool = False) -> DataFrame:
+def ordered_median(
+    df: DataFrame, keys: Sequence[str], value: str, name: str, upper: bool = False, grain: int | None = 1 << 20,
+) -> DataFrame:
     """Median of a whole-number column per key, for keys with very many distinct values.
 
-    ``upper`` takes the upper of the two middle values instead of their mean.
+    ``upper`` takes the upper of the two middle values instead of their mean; ``grain=None`` is for
+    values with a small range, whose counts fit one window.
 
     Values are counted, then a running count along the value order (cut into pieces) finds the
     middle one or two; no aggregation buffer holds a key's values.
@@ -93,7 +96,7 @@ def ordered_median(df: DataFrame, keys: Sequence[str], value: str, name: str, up
     keys = list(keys)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     n = df.groupBy(*keys).agg(F.count(value).alias("_n"))
-    run = with_neighbours(counts, keys, value, running={"_end": "_c"}).join(n, keys)
+    run = with_neighbours(counts, keys, value, running={"_end": "_c"}, grain=grain).join(n, keys)
     lo, hi = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
 
     def covers(k):

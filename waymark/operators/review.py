@@ -241,13 +241,15 @@ def merge_corrections(
     unit, ev = keys.unit, keys.event
     m = with_neighbours(master.withColumn("_a", anchor), unit, ev, lead={"_na": "_a"})
     m = m.withColumn("_rr0", F.nullif(F.col("_na") - F.col("_a"), F.lit(0)))
-    med = ordered_median(m, unit, "_rr0", "_med", upper=True)
+    m = materialise(m)
+    # Intervals are shorter than the recording, so a unit has few distinct ones.
+    med = ordered_median(m, unit, "_rr0", "_med", upper=True, grain=None)
     c = corrections.select(*unit, F.col(ev).alias("_cb"), *[F.col(x).alias(f"_c_{x}") for x in lm.order])
     m = m.join(med, unit, "left").withColumn("_rr", F.coalesce("_rr0", "_med")).join(c.withColumn("_has", F.lit(True)), unit, "left")
     same = F.coalesce(F.col(ev) == F.col("_cb"), F.lit(False))
     dist = F.abs(F.col("_a") - F.col(f"_c_{core.onset}"))
     rank = F.when(same | dist.isNotNull(), F.struct((~same).cast("int").alias("x"), F.when(~same, dist).alias("d"), F.col(ev)))
-    m = attach(m, unit, F.min_by(F.struct(F.col(ev).alias("id"), F.col("_a").alias("a"), F.col("_rr").alias("rr")), rank).alias("_rep"))
+    m = attach(materialise(m), unit, F.min_by(F.struct(F.col(ev).alias("id"), F.col("_a").alias("a"), F.col("_rr").alias("rr")), rank).alias("_rep"))
     act = F.coalesce(F.col("_has"), F.lit(False)) & F.col("_rep.a").isNotNull() & F.col("_a").isNotNull()
     shift = F.col("_a") - F.col("_rep.a")
     off = F.col(f"_c_{core.offset}")

@@ -10,9 +10,10 @@ from ..operators import consensus as C
 from ..operators import corpus as K
 from ..operators import debias as D
 from ..operators import derive, infer, qc, review
+from ..operators.ordered import keep_first
 from ..schema import LANDMARKS_11 as L
 from ..session import materialise
-from .fixtures import BEATS_SQL, CORR_SQL, LM, UNITS_SQL, beats, correction_feed, corrections, table, units
+from .fixtures import BEATS_SQL, CORR_SQL, LM, UNITS_SQL, beats, correction_feed, corrections, stored_units, table, units
 from .quality import QC_SQL
 from .reconcile import LAST_SQL
 from .registry import query
@@ -52,8 +53,9 @@ def res_sql(ref: str = "units", rev: str = "rev", name: str = "res") -> str:
 RES_SQL = LAST_SQL + res_sql()
 
 
-def _residuals(spark, sf):
-    return D.pair_residuals(units(spark, sf), review.latest_corrections(correction_feed(spark, sf)))
+def _residuals(spark, sf, u=None):
+    u = stored_units(spark, sf) if u is None else u
+    return D.pair_residuals(u, review.latest_corrections(correction_feed(spark, sf, u)))
 
 
 @query(
@@ -75,7 +77,8 @@ def residual_unpivot(spark, sf):
      CASE WHEN round(count(*) / (SELECT count(*) FROM units), 6) < 0.95 THEN 1 ELSE 0 END AS low_coverage FROM rev JOIN units USING (record_id, lead)""",
 )
 def review_coverage(spark, sf):
-    return D.review_coverage(units(spark, sf), review.latest_corrections(correction_feed(spark, sf)))
+    u = stored_units(spark, sf)
+    return D.review_coverage(u, review.latest_corrections(correction_feed(spark, sf, u)))
 
 
 @query(
@@ -119,7 +122,7 @@ HALF_SQL = RES_SQL + """, ents AS (SELECT DISTINCT record_id, disease_class FROM
 
 
 def _halves(spark, sf):
-    ents = units(spark, sf).select("record_id", "disease_class").distinct()
+    ents = materialise(units(spark, sf).select("record_id", "disease_class").distinct())
     return K.alternate_split(ents, ["disease_class"], "record_id")
 
 
@@ -211,9 +214,9 @@ def fold_offset_spread(spark, sf):
 # ---- applying: the offsets of the calibration half, globally for the core onset, per class for the last offset
 
 
-def _plan(spark, sf):
+def _plan(spark, sf, u):
     """An offset table with one global and one per-class correction, from the reviewed sample."""
-    o = _offsets_of(_residuals(spark, sf))
+    o = materialise(_offsets_of(_residuals(spark, sf, u)))
     return o.filter(
         "(fiducial = 'qrs_onset' and scope = 'global') or (fiducial = 't_offset' and scope = 'class')"
     ).withColumn("offset_ms", -F.col("offset_ms") - 7.0)
@@ -253,7 +256,8 @@ APPLIED_SQL = APPLY_SQL + _RK + ", ap AS (SELECT record_id, lead, " + ", ".join(
 
 @query("apply_offsets", f"WITH {APPLIED_SQL} SELECT record_id, lead, " + ", ".join(f"{c}, shift_{c}" for c in LM) + " FROM ap")
 def apply_offsets(spark, sf):
-    out = D.apply_offsets(units(spark, sf), _plan(spark, sf))
+    u = stored_units(spark, sf)
+    out = D.apply_offsets(u, _plan(spark, sf, u))
     return out.select("record_id", "lead", *[x for c in LM for x in (c, f"shift_{c}")])
 
 
@@ -264,7 +268,8 @@ def apply_offsets(spark, sf):
     "round(count(*) FILTER (s > 0) / count(*) * 100, 6) AS reach_pct, median(CASE WHEN s > 0 THEN s END) AS median_shift_ms FROM t GROUP BY fiducial",
 )
 def shift_report(spark, sf):
-    return D.shift_report(D.apply_offsets(units(spark, sf), _plan(spark, sf)))
+    u = stored_units(spark, sf)
+    return D.shift_report(D.apply_offsets(u, _plan(spark, sf, u)))
 
 
 @query(
@@ -275,7 +280,8 @@ def shift_report(spark, sf):
     SELECT {", ".join(f"count(*) FILTER (m_{c}) AS moved_{c}" for c in L.boundaries)}, CAST(sum(n_unresolved) AS BIGINT) AS n_unresolved FROM z""",
 )
 def repair_diagnostics(spark, sf):
-    out = D.apply_offsets(units(spark, sf), _plan(spark, sf)).withColumn("m", F.split("moved", ";"))
+    u = stored_units(spark, sf)
+    out = D.apply_offsets(u, _plan(spark, sf, u)).withColumn("m", F.split("moved", ";"))
     return out.agg(
         *[F.count_if(F.array_contains("m", c)).alias(f"moved_{c}") for c in L.boundaries],
         F.sum(F.col("n_unresolved").cast("bigint")).alias("n_unresolved"),
@@ -289,9 +295,9 @@ def repair_diagnostics(spark, sf):
     ),
 )
 def disorder_before_after(spark, sf):
-    u = units(spark, sf)
+    u = stored_units(spark, sf)
     b = qc.order_disorder(u, LM).withColumnRenamed("n", "n_before")
-    a = qc.order_disorder(D.apply_offsets(u, _plan(spark, sf)), LM).withColumnRenamed("n", "n_after")
+    a = qc.order_disorder(D.apply_offsets(u, _plan(spark, sf, u)), LM).withColumnRenamed("n", "n_after")
     return b.join(a, "pair")
 
 
@@ -302,8 +308,8 @@ def disorder_before_after(spark, sf):
       count(*) FILTER (NOT moved AND gap > 0) AS untouched_with_headroom FROM m""",
 )
 def coincidence_split(spark, sf):
-    u = units(spark, sf)
-    a = D.apply_offsets(u, _plan(spark, sf)).select("record_id", "lead", F.col("p_offset").alias("_new"))
+    u = stored_units(spark, sf)
+    a = D.apply_offsets(u, _plan(spark, sf, u)).select("record_id", "lead", F.col("p_offset").alias("_new"))
     m = u.join(a, ["record_id", "lead"]).withColumn("moved", F.col("_new") != F.col("p_offset"))
     return D.coincidence_split(m, "moved", "p_offset", "qrs_onset")
 
@@ -319,7 +325,8 @@ def coincidence_split(spark, sf):
      1 AS enough FROM l GROUP BY landmark""",
 )
 def repeatability(spark, sf):
-    return D.repeatability(units(spark, sf), review.latest_corrections(correction_feed(spark, sf)), ["t_onset", "t_offset"])
+    u = stored_units(spark, sf)
+    return D.repeatability(u, review.latest_corrections(correction_feed(spark, sf, u)), ["t_onset", "t_offset"])
 
 
 @query(
@@ -353,7 +360,7 @@ ENT_SQL = UNITS_SQL + ", ents AS (SELECT DISTINCT record_id, disease_class FROM
 
 
 def _ents(spark, sf):
-    return units(spark, sf).select("record_id", "disease_class").distinct()
+    return materialise(units(spark, sf).select("record_id", "disease_class").distinct())
 
 
 @query(
@@ -450,6 +457,7 @@ TOPUP_SQL = ENT_SQL + f""", prev AS (SELECT disease_class, record_id, CASE WHEN
 def stratified_topup(spark, sf):
     e = _ents(spark, sf)
     prev = K.seeded_sample(e, ["disease_class"], ["record_id"], 30, 3)
+    prev = materialise(prev)
     prev = D.stratified_folds(prev, ["disease_class"], ["record_id"], 2, 3).withColumn(
         "split", F.when(F.col("fold") == 0, "calibration").otherwise("test")
     )
@@ -485,8 +493,9 @@ def split_straddle(spark, sf):
     UNION ALL SELECT 'both', count(*) FROM (SELECT record_id FROM rv INTERSECT SELECT record_id FROM gold) c""",
 )
 def held_out_sets(spark, sf):
-    gold = units(spark, sf).filter("disease_class = 'BUILDING'").select("record_id")
-    rv = corrections(spark, sf).filter("reviewed = 1").select("record_id")
+    u = stored_units(spark, sf)
+    gold = u.filter("disease_class = 'BUILDING'").select("record_id")
+    rv = corrections(spark, sf, u).filter("reviewed = 1").select("record_id")
     parts = {
         "union": K.held_out(gold, rv), "reviewed_not_gold": rv.subtract(gold), "both": K.shared_keys(rv, gold, ["record_id"]),
     }
@@ -520,8 +529,8 @@ def cut_windows(spark, sf):
 )
 def cut_corpus(spark, sf):
     span = {"bs": F.col("qrs_onset") - 60, "be": F.col("qrs_onset") + 120}
-    u = units(spark, sf).withColumns(span)
-    rev = review.latest_corrections(correction_feed(spark, sf)).withColumns(span | {"fs_hz": F.lit(500), "n_samples": F.lit(5000)})
+    u = stored_units(spark, sf).withColumns(span)
+    rev = review.latest_corrections(correction_feed(spark, sf, u)).withColumns(span | {"fs_hz": F.lit(500), "n_samples": F.lit(5000)})
     out = K.cut_corpus(u, rev, u.filter("disease_class = 'BUILDING'"), "bs", "be")
     return out.groupBy("part").agg(
         F.count(F.lit(1)).alias("n_units"), F.count_distinct("record_id").alias("n_records"), F.sum(F.col("win_end") - F.col("win_start")).alias("total_width")
@@ -564,10 +573,10 @@ def class_by_channel_crosstab(spark, sf):
 def assemble_clean_units(spark, sf):
     from ..schema import assert_coverage
 
-    u = units(spark, sf)
+    u = stored_units(spark, sf)
     measured = u.select("record_id", "lead", *[(F.col(c) + 1).alias(c) for c in LM])
     assert_coverage(u, measured, ["record_id", "lead"])
-    o = _plan(spark, sf).filter("fiducial = 'qrs_onset'")
+    o = _plan(spark, sf, u).filter("fiducial = 'qrs_onset'")
     out = K.assemble_clean_units(u, measured, o)
     return out.select("record_id", "lead", "q_present", "onset_offset_ms", *LM, "in_bounds")
 
@@ -579,7 +588,9 @@ def assemble_clean_units(spark, sf):
     SELECT CASE WHEN hit IS NOT NULL THEN 'kept' WHEN known THEN 'event_missing' ELSE 'record_gone' END AS outcome, count(*) AS n FROM j GROUP BY 1""",
 )
 def assemble_reviewed_orphans(spark, sf):
-    c = review.latest_corrections(correction_feed(spark, sf))
+    b = materialise(beats(spark, sf))
+    first = keep_first(b, ["record_id", "lead"], ["beat_id"])
+    c = review.latest_corrections(correction_feed(spark, sf, first))
     # Damage some keys so that both kinds of orphan occur.
     c = c.withColumns(
         {
@@ -590,7 +601,7 @@ def assemble_reviewed_orphans(spark, sf):
     paths = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("record_id"), F.col("c_name").alias("path_raw"), F.lit(0).alias("path_order")
     )
-    good, orphan = K.assemble_reviewed(c, beats(spark, sf).drop("edited_at", "disease_class"), paths)
+    good, orphan = K.assemble_reviewed(c, b.drop("edited_at", "disease_class"), paths)
     both = orphan.select(F.col("problem").alias("outcome")).unionByName(good.select(F.lit("kept").alias("outcome")))
     return both.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
@@ -615,7 +626,7 @@ def skip_reasons(spark, sf):
     UNION ALL SELECT 'out_of_order', count(*) FROM units WHERE {' OR '.join(f'coalesce({a} > {b}, false)' for a, b in zip(L.boundaries, L.boundaries[1:]))}""",
 )
 def table_problems(spark, sf):
-    p = K.table_problems(units(spark, sf), n_channels=7)
+    p = K.table_problems(stored_units(spark, sf), n_channels=7)
     return p.groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -645,7 +656,7 @@ def split_master(spark, sf):
     "(SELECT record_id FROM units WHERE t_peak IS NULL) ORDER BY record_id, lead LIMIT 200",
 )
 def load_units(spark, sf):
-    u = units(spark, sf)
+    u = stored_units(spark, sf)
     out = K.load_units(u, classes=["BUILDING", "MACHINERY"], channels=[1, 2, 3], drop_ids=u.filter("t_peak is null"), max_units=200)
     return out.select("record_id", "lead", "beat_id")
 

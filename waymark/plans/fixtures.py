@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ordered import with_neighbours
+from ..operators.ordered import keep_first, with_neighbours
 from ..schema import LANDMARKS_11
+from ..session import materialise
 
 LM = LANDMARKS_11.order
 
@@ -61,8 +62,8 @@ def beats(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(li.select(F.col("l_orderkey").alias("o_orderkey")).distinct(), "o_orderkey", "left_semi")
     )
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    orders = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
     orders = with_neighbours(orders, ["o_custkey"], "o_orderkey", ordinal="_ord")
+    orders = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
     z = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("o_custkey").alias("record_id"),
         F.col("c_mktsegment").alias("disease_class"),
@@ -105,11 +106,14 @@ UNITS_SQL = BEATS_SQL + """, units AS (
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first beat of every (record, lead)."""
-    from ..operators.ordered import keep_first
-
     return keep_first(beats(spark, sf_dir), ["record_id", "lead"], ["beat_id"])
 
 
+def stored_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, written once: for queries that read their units several times."""
+    return materialise(units(spark, sf_dir))
+
+
 _SHIFT_SQL = "(2*(record_id%11-5)+lead+CASE WHEN record_id%29=0 THEN 150 ELSE 0 END)"
 CORR_SQL = UNITS_SQL + ", corr AS (SELECT record_id, disease_class, lead, beat_id, edited_at, " + (
     "CASE WHEN record_id%3<>0 THEN 1 ELSE 0 END AS reviewed, "
@@ -121,11 +125,11 @@ CORR_SQL = UNITS_SQL + ", corr AS (SELECT record_id, disease_class, lead, beat_i
 ) + ", ".join(f"{c}+4 AS {c}" for c in LM) + " FROM corr WHERE record_id%7=0)"
 
 
-def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviewed rows, one per unit, as last saved."""
+def corrections(spark: SparkSession, sf_dir: str, u: DataFrame | None = None) -> DataFrame:
+    """Reviewed rows, one per unit, as last saved (derived from ``u`` where given)."""
     rec, lead = F.col("record_id"), F.col("lead")
     shift = F.lit(2) * (rec % 11 - 5) + lead + F.when(rec % 29 == 0, 150).otherwise(0)
-    u = units(spark, sf_dir)
+    u = units(spark, sf_dir) if u is None else u
     cols = [
         (F.when(rec % 5 != 0, F.col(c) + shift) if c == "q_peak" else F.col(c) + shift).alias(c) for c in LM
     ]
@@ -135,9 +139,9 @@ def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def correction_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def correction_feed(spark: SparkSession, sf_dir: str, u: DataFrame | None = None) -> DataFrame:
     """The same with an older version of some rows before the last one."""
-    c = corrections(spark, sf_dir)
+    c = corrections(spark, sf_dir, u)
     older = c.filter(F.col("record_id") % 7 == 0).select(
         "record_id", "disease_class", "lead", "beat_id",
         (F.col("edited_at") - F.expr("INTERVAL 30 DAYS")).alias("edited_at"), "reviewed",

@@ -8,7 +8,7 @@ from ..functions import scalar as S
 from ..operators import derive, qc
 from ..operators.ordered import keep_first
 from ..schema import LANDMARKS_11, require_columns
-from .fixtures import BEATS_SQL, EVENTS_SQL, LM, UNITS_SQL, beats, events, units
+from .fixtures import BEATS_SQL, EVENTS_SQL, LM, UNITS_SQL, beats, events, stored_units, units
 from .registry import query
 
 L = LANDMARKS_11
@@ -151,7 +151,7 @@ DEV_SQL = UNITS_SQL + ", ref AS (SELECT record_id, " + ", ".join(
 
 
 def _cl(spark, sf):
-    return qc.cross_channel_qc(units(spark, sf), [2, 5])
+    return qc.cross_channel_qc(stored_units(spark, sf), [2, 5])
 
 
 @query("crosslead_qc_flags", f"WITH {DEV_SQL} SELECT * FROM cl")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import consensus as C
 from ..operators import qc, review
 from ..operators.derive import INTERVALS
+from ..operators.ordered import keep_first
 from ..schema import LANDMARKS_11 as L
+from ..session import materialise
 from .fixtures import BEATS_SQL, CORR_SQL, EVENTS_SQL, LM, beats, correction_feed, corrections, events, units
 from .quality import DEV_SQL, QC_SQL, REP_MED_SQL, RSTAT_SQL, UNIT_SQL
 from .registry import query
@@ -54,7 +56,8 @@ ROUNDED = ", ".join(f"CAST(round_even({c}, 0) AS BIGINT) AS {c}" for c in LM)
 
 
 def _rated(spark, sf):
-    return qc.beat_qc(beats(spark, sf))
+    """Rated rows, written once: the queries below read them several times."""
+    return materialise(qc.beat_qc(beats(spark, sf)))
 
 
 @query("consensus_quantile", f"WITH {BEATS_SQL}{cons_sql(0.25)} SELECT * EXCLUDE (disease_class) FROM cons")
@@ -226,9 +229,9 @@ UNIFY_SQL = BEATS_SQL + """, near2 AS (SELECT record_id, min(beat_id) AS beat_id
     "FROM u JOIN want USING (record_id)",
 )
 def unify_record_boundary(spark, sf):
-    b = beats(spark, sf)
+    b = materialise(beats(spark, sf))
     first = b.groupBy("record_id").agg(F.min("beat_id").alias("beat_id"))
-    u = b.join(first, ["record_id", "beat_id"], "left_semi")
+    u = materialise(b.join(first, ["record_id", "beat_id"], "left_semi"))
     out = C.unify_core_boundary(u, u.filter("lead = 2"))
     return out.select("record_id", "lead", "qrs_onset", "qrs_offset", "t_onset")
 
@@ -253,13 +256,15 @@ WL_SQL = DEV_SQL.replace("WITH ", "") .replace(BEATS_SQL, QC_SQL) + UNIT_SQL[len
    FROM ust u LEFT JOIN prim USING (record_id, lead) WHERE persistent OR (n_critical > 0 AND coalesce(crosslead_flag, 0) = 1))"""
 
 
-def _flags(spark, sf):
-    return review.primary_flag(qc.cross_channel_qc(units(spark, sf), [2, 5]))
+def _flags(rated):
+    first = materialise(keep_first(rated.drop("qc_flags", "qc_status"), ["record_id", "lead"], ["beat_id"]))
+    return review.primary_flag(qc.cross_channel_qc(first, [2, 5]))
 
 
 def _worklist(spark, sf):
-    u = qc.unit_status(_rated(spark, sf), extra=["disease_class"])
-    return review.review_worklist(u, _flags(spark, sf))
+    rated = _rated(spark, sf)
+    u = qc.unit_status(rated, extra=["disease_class"])
+    return review.review_worklist(u, _flags(rated))
 
 
 @query(
@@ -295,8 +300,8 @@ SEG_RANK = "CASE disease_class " + " ".join(f"WHEN '{s}' THEN {i}" for i, s in e
 )
 def all_units_worklist(spark, sf):
     rated = _rated(spark, sf)
-    u = qc.unit_status(rated)
-    flags = _flags(spark, sf)
+    u = materialise(qc.unit_status(rated))
+    flags = materialise(_flags(rated))
     w = review.all_units_worklist(
         rated.select("record_id", "lead", "beat_id", "qc_status", "disease_class"), u, review.review_worklist(u, flags), flags
     )
@@ -377,8 +382,10 @@ def _moved_sql(c: str) -> str:
     + " FROM j LEFT JOIN rev c ON j.record_id = c.record_id AND j.lead = c.lead",
 )
 def merge_corrections(spark, sf):
-    last = review.latest_corrections(correction_feed(spark, sf))
-    out = review.merge_corrections(beats(spark, sf).drop("edited_at"), last)
+    b = materialise(beats(spark, sf))
+    u = keep_first(b, ["record_id", "lead"], ["beat_id"])
+    last = review.latest_corrections(correction_feed(spark, sf, u))
+    out = review.merge_corrections(b.drop("edited_at"), last)
     return out.select("record_id", "lead", "beat_id", "label_quality", *LM)
 
 

@@ -8,7 +8,7 @@ from ..functions.hashing import draw_sql, poisson_one_sql
 from ..operators import derive, infer, popstats as P, score as Z
 from ..schema import LANDMARKS_11 as L
 from .correction import BOOT
-from .fixtures import BEATS_SQL, CONF_SQL, CORR_SQL, EVENTS_SQL, LM, TRACE_SQL, beats, corrections, events, judged, label_of, table, traces, units
+from .fixtures import BEATS_SQL, CONF_SQL, CORR_SQL, EVENTS_SQL, LM, TRACE_SQL, beats, corrections, events, judged, label_of, stored_units, table, traces, units
 from .registry import query
 
 
@@ -87,7 +87,8 @@ COUNTS = ["landmark", "tp", "fp", "fn", "tn", "n_compared", "n_truth", "n_pred"]
 
 
 def _errors(spark, sf):
-    return Z.tidy_errors(corrections(spark, sf), units(spark, sf), extra=["disease_class"])
+    u = stored_units(spark, sf)
+    return Z.tidy_errors(corrections(spark, sf, u), u, extra=["disease_class"])
 
 
 @query("landmark_errors", f"WITH {ERR_SQL} SELECT {','.join(COUNTS)}, " + ", ".join(f"round({c}, 6) AS {c}" for c in FLOATS) + " FROM summ2")
@@ -137,7 +138,8 @@ BIO_SQL = CORR_SQL + ", bio AS (SELECT u.disease_class, unnest([" + ",".join(f"'
      round(avg(abs(err_ms)), 6) AS mae_ms, round(stddev_samp(err_ms), 6) AS sd_ms, round(quantile_cont(abs(err_ms), 0.95), 6) AS p95_abs_ms FROM bio GROUP BY 1""",
 )
 def biomarker_errors(spark, sf):
-    s = Z.biomarker_summary(Z.biomarker_errors(corrections(spark, sf), units(spark, sf)))
+    u = stored_units(spark, sf)
+    s = Z.biomarker_summary(Z.biomarker_errors(corrections(spark, sf, u), u))
     return r6(s, "coverage", "bias_ms", "mae_ms", "sd_ms", "p95_abs_ms")
 
 
@@ -156,7 +158,8 @@ def biomarkers(spark, sf):
     + " FROM units u JOIN corr c ON u.record_id = c.record_id AND u.lead = c.lead",
 )
 def per_unit_errors(spark, sf):
-    return Z.per_unit_errors(corrections(spark, sf), units(spark, sf), anchor="r_peak")
+    u = stored_units(spark, sf)
+    return Z.per_unit_errors(corrections(spark, sf, u), u, anchor="r_peak")
 
 
 @query(
@@ -169,8 +172,9 @@ def per_unit_errors(spark, sf):
      CASE WHEN median(slack) > 150 THEN 1 ELSE 0 END AS tail_warning FROM d""",
 )
 def geometry_audit(spark, sf):
-    p = corrections(spark, sf).select("record_id", "lead", F.col("t_offset").alias("p"))
-    d = units(spark, sf).join(p, ["record_id", "lead"]).withColumns(
+    u = stored_units(spark, sf)
+    p = corrections(spark, sf, u).select("record_id", "lead", F.col("t_offset").alias("p"))
+    d = u.join(p, ["record_id", "lead"]).withColumns(
         {"cs": F.col("qrs_onset") - 100, "we": F.col("qrs_onset") + 140, "re": F.col("qrs_onset") + 160}
     )
     return Z.geometry_audit(d, "qrs_onset", "t_offset", "p", "cs", 300, "we", "re")
@@ -329,8 +333,9 @@ _LM3 = ("qrs_onset", "qrs_offset", "t_offset")
      CASE WHEN max(hi) < 0 THEN 'favours the model' WHEN max(lo) > 0 THEN 'favours the baseline' ELSE 'tie' END AS verdict FROM sd JOIN ld USING (step) GROUP BY step""",
 )
 def adjustment_ladder(spark, sf):
-    p = corrections(spark, sf).select("record_id", "lead", *[F.col(x).alias(f"p_{x}") for x in _LM3])
-    w = units(spark, sf).join(p, ["record_id", "lead"])
+    u = stored_units(spark, sf)
+    p = corrections(spark, sf, u).select("record_id", "lead", *[F.col(x).alias(f"p_{x}") for x in _LM3])
+    w = u.join(p, ["record_id", "lead"])
     w = w.withColumns({f"em_{x}": (F.col(f"p_{x}") - F.col(x)) * 2.0 for x in _LM3} | {f"eb_{x}": (F.col(f"p_{x}") - F.col(x)) * 2.0 + 3 for x in _LM3})
     return r6(Z.adjustment_ladder(w, LADDER, "eb_{}", "em_{}", "record_id", BOOT), "model_ms", "baseline_ms", "point", "ci_lo", "ci_hi")
 
