@@ -13,7 +13,7 @@ from ..schema import KEYS, LANDMARKS_11, Keys, Landmarks
 from .derive import BIOMARKERS
 from .infer import cluster_bootstrap, verdict
 from .ordered import attach
-from .quantiles import grouped_quantiles
+from .quantiles import grouped_quantiles, refined_quantiles
 
 TOLERANCES_MS = (10, 25, 50, 75, 150)
 
@@ -244,7 +244,9 @@ def query_spread(df: DataFrame, unit: Sequence[str], position: str = "pred_ms",
     """How far a unit's prediction moves over its queries: mean and median SD, share that moves."""
     per = df.groupBy(*by, *unit).agg(F.stddev_samp(position).alias("_sd"), F.count_distinct(position).alias("_m"))
     a = per.groupBy(*by).agg(F.avg("_sd").alias("mean_sd_ms"), F.avg((F.col("_m") > 1).cast("int")).alias("share_moved"))
-    return a.join(grouped_quantiles(per, list(by), "_sd", [0.5], ["median_sd_ms"]), list(by), "left")
+    # Spreads are continuous, so their median goes through the histogram form.
+    med = refined_quantiles(per, by, "_sd", [0.5]).select(*by, F.col("_sd").alias("median_sd_ms"))
+    return a.join(med, list(by), "left")
 
 
 def matched_ratio(df: DataFrame, matched: Column, by: Sequence[str] = ("landmark",), err: str = "err_ms") -> DataFrame:

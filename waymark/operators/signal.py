@@ -183,10 +183,11 @@ def boundaries_5pct(
 def rule_report(errors: DataFrame, by: str = "landmark") -> DataFrame:
     """Median error, MAE and p90 per boundary and pooled."""
     both = errors.select(F.explode(F.array(F.col(by), F.lit("all"))).alias(by), "err_ms")
-    return both.groupBy(by).agg(
-        F.count("err_ms").alias("n"), F.percentile("err_ms", 0.5).alias("median_ms"), F.avg(F.abs("err_ms")).alias("mae_ms"),
-        F.percentile(F.abs("err_ms"), 0.9).alias("p90_ms"),
-    )
+    both = both.withColumn("_a", F.abs("err_ms"))
+    s = both.groupBy(by).agg(F.count("err_ms").alias("n"), F.avg("_a").alias("mae_ms"))
+    med = refined_quantiles(both, [by], "err_ms", [0.5]).select(by, F.col("err_ms").alias("median_ms"))
+    p90 = refined_quantiles(both, [by], "_a", [0.9]).select(by, F.col("_a").alias("p90_ms"))
+    return s.join(med, by, "left").join(p90, by, "left")
 
 
 def tangent_offset(df: DataFrame, peak: str, trace: str = "trace") -> DataFrame:
