@@ -38,7 +38,8 @@ def with_neighbours(
     ``lag``/``lead`` map a new column to the column read from the previous/next row; ``carry``
     to the column whose last non-NULL value up to this row is wanted; ``running`` to the column
     summed up to this row; ``ordinal`` names a 1-based row number and ``total`` the key's row
-    count. ``grain=None`` runs a plain window, for groups known to be small.
+    count. ``grain=None`` runs a plain window, for groups known to be small. Keys must not be NULL,
+    and names starting with an underscore are reserved.
     """
     lag, lead, carry, running = dict(lag or {}), dict(lead or {}), dict(carry or {}), dict(running or {})
     keys = list(keys)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..operators import derive, segment as S, signal as G
 from .fixtures import BEATS_SQL, LABELS_SQL, TRACE_SQL, beats, labelled, traces
-from .registry import query
+from .registry import SQL, query
 from .scoring import r6
 
 CH = list(range(8))
@@ -249,7 +249,17 @@ def quantile_match_table(spark, sf):
     return r6(q.select("lead", "level_no", "external", "training"), "external", "training")
 
 
-@query("quantile_matched_traces")
+_LV = "[" + ",".join(repr(i / 100) for i in range(101)) + "]"
+
+
+@query(
+    "quantile_matched_traces",
+    f"""WITH {TRACE_SQL}, z AS (SELECT lead, quantile_cont(v, {_LV}) AS q FROM trace WHERE record_id % 2 = 0 GROUP BY lead), t AS (SELECT lead, quantile_cont(v, {_LV}) AS q FROM trace WHERE record_id % 2 = 1 GROUP BY lead),
+     pt AS (SELECT lead, i, z.q[i+1] AS e, t.q[i+1] AS t FROM z JOIN t USING (lead), (SELECT unnest(range(101)) AS i) k),
+     pn AS (SELECT *, lead(e) OVER (PARTITION BY pt.lead ORDER BY i) AS e2, lead(t) OVER (PARTITION BY pt.lead ORDER BY i) AS t2 FROM pt), lo AS (SELECT lead, t AS t0 FROM pt WHERE i = 0)
+    SELECT tr.record_id, tr.lead, CAST(tr.sample AS INTEGER) AS sample, round(CASE WHEN pn.e IS NULL THEN t0 WHEN pn.e2 IS NULL THEN pn.t ELSE pn.t + (pn.t2 - pn.t)*(tr.v - pn.e)/(pn.e2 - pn.e) END, 6) AS v
+    FROM trace tr ASOF LEFT JOIN pn ON tr.lead = pn.lead AND tr.v >= pn.e JOIN lo ON lo.lead = tr.lead""",
+)
 def quantile_matched_traces(spark, sf):
     t = traces(spark, sf)
     q = G.quantile_match_table(t.filter("record_id % 2 = 0"), t.filter("record_id % 2 = 1"), levels=101)
@@ -354,9 +364,18 @@ def landmarks_from_labels(spark, sf):
     return d.select("record_id", "lead", *[F.col(c).cast("bigint").alias(c) for c in cols])
 
 
-@query("deflection_patterns")
+_HEAD, _TAIL = SQL["landmarks_from_labels"].split("\n    SELECT x.*", 1)
+
+
+@query(
+    "deflection_patterns",
+    f"""{_HEAD}, lm AS (SELECT x.*{_TAIL}), en AS (SELECT record_id, lead, unnest([q_peak, r_peak, s_peak]) AS pos, unnest(['q', 'r', 's']) AS c, r_peak IS NULL AS nor FROM lm),
+     am AS (SELECT en.*, abs(dv) AS h FROM en JOIN d ON d.record_id = en.record_id AND d.lead = en.lead AND d.sample = en.pos), tp AS (SELECT *, max(h) OVER (PARTITION BY record_id, lead) AS topmost FROM am),
+     pt AS (SELECT record_id, lead, CASE WHEN bool_or(nor) THEN 'QS' ELSE string_agg(CASE WHEN h >= 0.5::DOUBLE*topmost THEN upper(c) ELSE c END, '' ORDER BY pos) END AS p FROM tp GROUP BY ALL)
+    SELECT coalesce(p, '') AS qrs_pattern, count(*) AS n FROM lm LEFT JOIN pt USING (record_id, lead) GROUP BY 1""",
+)
 def deflection_patterns(spark, sf):
-    d = S.landmarks_from_labels(labelled(spark, sf), min_samples=2, kernel=3)
+    d = S.landmarks_from_labels(labelled(spark, sf), min_samples=2, kernel=5)
     return d.groupBy("qrs_pattern").agg(F.count(F.lit(1)).alias("n"))
 
 
