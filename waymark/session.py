@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,26 +29,35 @@ def local_session(app: str = "waymark", cpus: int | str = 8, memory: str = "16g"
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only where none is named (tests)."""
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Only a local session may leave it unset (tests, benches): it then gets a temporary folder of its own, removed at exit. Any other
+    session without the setting is refused, since its executors share no local folder.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
     if named:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(named)
-        return named
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="waymark-cp-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_folder()
+
+
+@functools.cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="waymark-stage-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write an intermediate table once to the shared checkpoint folder and go on from there.
+    """Write an intermediate table once as Parquet in the shared folder and go on from the files.
 
-    For tables several later steps read: their plan is then a file scan, and a lost executor costs
-    a re-read instead of the whole lineage.
+    For tables that several later steps read: their plan is then a file scan with column pruning, filters and a known size, and a lost
+    executor costs a re-read instead of the whole lineage.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
