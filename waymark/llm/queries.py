@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import toxicity
+from . import line_templates, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -36,3 +36,27 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     learn = labels.filter(fold_of("doc_id") != 0).select(F.col("doc_id").alias("record_id"), F.col("toxic").alias("abusive"))
     r = toxicity.score_notes(notes_of(docs), learn)
     return r.select(F.col("record_id").alias("doc_id"), (fold_of("record_id") == 0).alias("held_out"), "score", "predicted", "n_spans", "spans")
+
+
+@_query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = line_templates.recurring_lines(notes_of(_table(spark, sf_dir, "documents")))
+    return r.select(F.col("record_id").alias("doc_id"), "place", "n_tokens", "template", "n_notes")
+
+
+SQL["op6_line_dedup"] = """
+WITH cut AS (SELECT doc_id, md5(text) AS note, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place FROM documents WHERE text IS NOT NULL),
+plain AS (SELECT doc_id, note, place, trim(regexp_replace(l, '[ \\t\\r\\f]+', ' ', 'g'), ' ') AS l FROM cut),
+lines AS (SELECT doc_id, note, place, regexp_replace(l, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS line FROM plain WHERE len(string_split(l, ' ')) >= 3),
+leafed AS (SELECT *, len(string_split(line, ' ')) AS n_tokens, array_to_string(string_split(line, ' ')[1:3], ' ') AS lead FROM lines),
+busy AS (SELECT n_tokens, lead FROM leafed GROUP BY ALL HAVING count(DISTINCT note) >= 20),
+kept AS (SELECT * FROM leafed SEMI JOIN busy USING (n_tokens, lead)),
+tok AS (SELECT n_tokens, lead, note, line, unnest(string_split(line, ' ')) AS token, generate_subscripts(string_split(line, ' '), 1) AS pos FROM (SELECT DISTINCT n_tokens, lead, note, line FROM kept)),
+fixed AS (SELECT n_tokens, lead, pos, token FROM tok WHERE pos > 3 AND token <> '<*>' GROUP BY ALL HAVING count(DISTINCT note) >= 20),
+marked AS (SELECT t.n_tokens, t.lead, t.line, t.pos, CASE WHEN t.pos <= 3 OR f.token IS NOT NULL THEN t.token ELSE '<*>' END AS m
+    FROM (SELECT DISTINCT n_tokens, lead, line, pos, token FROM tok) t LEFT JOIN fixed f USING (n_tokens, lead, pos, token)),
+shaped AS (SELECT n_tokens, lead, line, string_agg(m, ' ' ORDER BY pos) AS template FROM marked GROUP BY ALL HAVING count(*) FILTER (m <> '<*>') >= 0.5 * any_value(n_tokens)),
+member AS (SELECT doc_id, note, place, n_tokens, template FROM kept JOIN shaped USING (n_tokens, lead, line)),
+often AS (SELECT template, count(DISTINCT note) AS n_notes FROM member GROUP BY template HAVING count(DISTINCT note) >= 20)
+SELECT doc_id, CAST(place AS INTEGER) AS place, CAST(n_tokens AS INTEGER) AS n_tokens, template, n_notes FROM member JOIN often USING (template)
+"""
