@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_templates, toxicity
+from . import chosen_path, line_templates, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -60,3 +60,9 @@ member AS (SELECT doc_id, note, place, n_tokens, template FROM kept JOIN shaped
 often AS (SELECT template, count(DISTINCT note) AS n_notes FROM member GROUP BY template HAVING count(DISTINCT note) >= 20)
 SELECT doc_id, CAST(place AS INTEGER) AS place, CAST(n_tokens AS INTEGER) AS n_tokens, template, n_notes FROM member JOIN often USING (template)
 """
+
+
+@_query
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = chosen_path.linked_notes(notes_of(_table(spark, sf_dir, "documents")))
+    return r.select(F.col("record_id").alias("doc_id"), "class_id", "text_id", "n_copies", "n_links")
