@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, line_templates, toxicity
+from . import chosen_path, decontaminate, line_templates, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -66,3 +66,14 @@ SELECT doc_id, CAST(place AS INTEGER) AS place, CAST(n_tokens AS INTEGER) AS n_t
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = chosen_path.linked_notes(notes_of(_table(spark, sf_dir, "documents")))
     return r.select(F.col("record_id").alias("doc_id"), "class_id", "text_id", "n_copies", "n_links")
+
+
+def gold_of(items: DataFrame) -> DataFrame:
+    """Benchmark items as held-out gold notes."""
+    return items.select(F.col("item_id").alias("gold_id"), F.col("text").alias("notes"))
+
+
+@_query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = decontaminate.leaked_notes(notes_of(_table(spark, sf_dir, "documents")), gold_of(_table(spark, sf_dir, "benchmark")))
+    return r.withColumnsRenamed({"record_id": "doc_id", "gold_id": "item_id"})
