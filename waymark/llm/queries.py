@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, decontaminate, line_templates, toxicity
+from . import chosen_path, decontaminate, line_templates, pieces, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -77,3 +79,16 @@ def gold_of(items: DataFrame) -> DataFrame:
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = decontaminate.leaked_notes(notes_of(_table(spark, sf_dir, "documents")), gold_of(_table(spark, sf_dir, "benchmark")))
     return r.withColumnsRenamed({"record_id": "doc_id", "gold_id": "item_id"})
+
+
+# The public vocabulary's place; every node of a cluster has it at the path its driver names.
+PIECES = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+@_query
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = pieces.sample_segmentations(notes_of(_table(spark, sf_dir, "documents")), PIECES)
+    back = pieces.decode_pieces(drawn, PIECES)
+    return back.select(
+        F.col("record_id").alias("doc_id"), "draw", "n_pieces", "log_prob", "perturbed", "log_inclusion",
+        F.xxhash64("pieces").alias("pieces_hash"), F.crc32(F.col("notes").cast("binary")).alias("text_crc32"))
