@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, decontaminate, line_templates, pieces, toxicity
+from . import block_search, chosen_path, decontaminate, line_templates, pieces, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -92,3 +92,18 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(
         F.col("record_id").alias("doc_id"), "draw", "n_pieces", "log_prob", "perturbed", "log_inclusion",
         F.xxhash64("pieces").alias("pieces_hash"), F.crc32(F.col("notes").cast("binary")).alias("text_crc32"))
+
+
+@_query
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("unit_id"), F.col("embedding").alias("beat"))
+    r = block_search.best_matches(units, F.col("unit_id") % 50 == 0)
+    return r.withColumnRenamed("unit_id", "vec_id")
+
+
+SQL["op2_topk_search"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.e, d.e) AS BIGINT) AS score FROM v q JOIN v d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 5
+"""
