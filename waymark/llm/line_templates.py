@@ -24,7 +24,8 @@ HAS_DIGIT = "[^ ]*[0-9][^ ]*"
 
 def normal_line(line: Column) -> Column:
     """Blanks become one space, outer ones go, tokens with a digit become the field mark."""
-    plain = F.trim(F.regexp_replace(line, BLANKS, " "))
+    odd = line.contains("  ") | line.contains("\t") | line.contains("\r") | line.contains("\f")
+    plain = F.trim(F.when(odd, F.regexp_replace(line, BLANKS, " ")).otherwise(line))
     return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, HAS_DIGIT, FIELD)).otherwise(plain)
 
 
@@ -35,8 +36,9 @@ def n_tokens_of(line: Column) -> Column:
 def lines_of(notes: DataFrame, record_id: str, text: str, min_tokens: int) -> DataFrame:
     """(record_id, note, place, line): the lines of every note with at least ``min_tokens`` tokens; ``note`` tells different texts apart."""
     src = notes.select(F.col(record_id).alias("record_id"), F.col(text).cast("string").alias("_t")).filter("_t is not null")
-    cut = src.select("record_id", F.xxhash64("_t").alias("note"), F.posexplode(F.split("_t", "\n")).alias("place", "_l"))
-    return cut.select("record_id", "note", "place", normal_line(F.col("_l")).alias("line")).filter((F.col("line") != "") & (n_tokens_of(F.col("line")) >= min_tokens))
+    # made normal inside the array, so that each line is worked on once
+    cut = src.select("record_id", F.xxhash64("_t").alias("note"), F.posexplode(F.transform(F.split("_t", "\n"), normal_line)).alias("place", "line"))
+    return cut.filter((F.col("line") != "") & (n_tokens_of(F.col("line")) >= min_tokens))
 
 
 def leaf_of(depth: int) -> list[Column]:

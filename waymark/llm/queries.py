@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_search, chosen_path, decontaminate, line_templates, pieces, toxicity
+from . import block_search, chosen_path, decontaminate, line_templates, pieces, sharding, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -107,3 +107,9 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOU
 s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.e, d.e) AS BIGINT) AS score FROM v q JOIN v d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 5
 """
+
+
+@_query
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = sharding.shard_records(notes_of(_table(spark, sf_dir, "documents")), 40)
+    return r.select(F.col("record_id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
