@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_search, chosen_path, decontaminate, line_templates, pieces, sharding, toxicity
+from . import block_search, chosen_path, decontaminate, language, line_templates, pieces, sharding, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -113,3 +113,11 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = sharding.shard_records(notes_of(_table(spark, sf_dir, "documents")), 40)
     return r.select(F.col("record_id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@_query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    learn = docs.filter(fold_of("doc_id") != 0).select(F.col("doc_id").alias("record_id"), F.col("text").alias("notes"), F.col("lang").alias("language"))
+    r = language.note_languages(notes_of(docs), learn)
+    return r.select(F.col("record_id").alias("doc_id"), (fold_of("record_id") == 0).alias("held_out"), F.col("language").alias("lang_pred"), "score", "accepted")
