@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_search, chosen_path, decontaminate, language, line_templates, pieces, sharding, toxicity
+from . import block_search, chosen_path, decontaminate, language, line_templates, pieces, pseudo_likelihood, sharding, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -121,3 +121,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     learn = docs.filter(fold_of("doc_id") != 0).select(F.col("doc_id").alias("record_id"), F.col("text").alias("notes"), F.col("lang").alias("language"))
     r = language.note_languages(notes_of(docs), learn)
     return r.select(F.col("record_id").alias("doc_id"), (fold_of("record_id") == 0).alias("held_out"), F.col("language").alias("lang_pred"), "score", "accepted")
+
+
+@_query
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = pseudo_likelihood.note_likelihoods(notes_of(_table(spark, sf_dir, "documents")))
+    return r.withColumnRenamed("record_id", "doc_id")
