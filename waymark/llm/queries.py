@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_search, chosen_path, decontaminate, language, line_templates, pieces, pseudo_likelihood, sharding, toxicity
+from . import block_search, chosen_path, decontaminate, html_text, language, line_templates, pieces, pseudo_likelihood, sharding, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -127,3 +127,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = pseudo_likelihood.note_likelihoods(notes_of(_table(spark, sf_dir, "documents")))
     return r.withColumnRenamed("record_id", "doc_id")
+
+
+@_query
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    keyed = pages.select(F.struct("page_id", "url").alias("page"), "html")
+    r = html_text.page_texts(keyed, "page", "html")
+    return r.select("page_id.page_id", "page_id.url", "text", "n_chars")
