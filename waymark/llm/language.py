@@ -80,7 +80,7 @@ def _windows(notes: list[str], labels: np.ndarray, width: int, rng: np.random.Ge
     return [out[i] for i in order], np.array(y, np.int64)[order]
 
 
-def train(notes: list[str], labels: list[str], width: int = 200, most_windows: int = 12000, epochs: int = 3, rate: float = 20.0, batch: int = 64, seed: int = 3, precision: float = 0.99) -> LanguageModel:
+def train(notes: list[str], labels: list[str], width: int = 200, most_windows: int = 12000, steps: int = 600, rate: float = 20.0, batch: int = 64, seed: int = 3, precision: float = 0.99) -> LanguageModel:
     languages = sorted(set(labels))
     y = np.array([languages.index(x) for x in labels], np.int64)
     rng = np.random.default_rng(seed)
@@ -93,24 +93,24 @@ def train(notes: list[str], labels: list[str], width: int = 200, most_windows: i
     offset = np.zeros(n_lang, np.float32)
     xs, ys = _windows([t for t, a in zip(notes, aside, strict=True) if not a], y[~aside], width, rng)
     xs, ys = xs[:most_windows], ys[:most_windows]
-    steps, done = max(1, epochs * -(-len(xs) // batch)), 0
-    for _ in range(epochs):
-        for lo in range(0, len(xs), batch):
-            part, t = xs[lo : lo + batch], ys[lo : lo + batch]
-            size = np.array([len(p) for p in part])
-            f = np.concatenate(part)
-            mean = np.add.reduceat(emb[f], np.concatenate([[0], np.cumsum(size)[:-1]]), axis=0) / size[:, None]
-            z = mean @ out.T + offset
-            z = np.exp(z - z.max(1, keepdims=True))
-            p = z / z.sum(1, keepdims=True)
-            p[np.arange(len(t)), t] -= 1
-            g = p.astype(np.float32) / len(t)
-            step = rate * (1 - done / steps)
-            back = (g @ out / size[:, None]) * np.float32(step)
-            out -= np.float32(step * 0.1) * (g.T @ mean)
-            offset -= np.float32(step * 0.01) * g.sum(0)
-            np.subtract.at(emb, f, np.repeat(back, size, axis=0))
-            done += 1
+    at = 0
+    for done in range(steps if len(xs) else 0):
+        part = [xs[i % len(xs)] for i in range(at, at + batch)]
+        t = ys[np.arange(at, at + batch) % len(xs)]
+        at += batch
+        size = np.array([len(p) for p in part])
+        f = np.concatenate(part)
+        mean = np.add.reduceat(emb[f], np.concatenate([[0], np.cumsum(size)[:-1]]), axis=0) / size[:, None]
+        z = mean @ out.T + offset
+        z = np.exp(z - z.max(1, keepdims=True))
+        p = z / z.sum(1, keepdims=True)
+        p[np.arange(len(t)), t] -= 1
+        g = p.astype(np.float32) / len(t)
+        step = rate * (1 - done / steps)
+        back = (g @ out / size[:, None]) * np.float32(step)
+        out -= np.float32(step * 0.1) * (g.T @ mean)
+        offset -= np.float32(step * 0.01) * g.sum(0)
+        np.subtract.at(emb, f, np.repeat(back, size, axis=0))
     table = (emb @ out.T).astype(np.float32)
     model = LanguageModel(languages, table, offset, 1.0, 0.0)
     if aside.any():

@@ -175,19 +175,36 @@ def train(notes: list[str | None], y: np.ndarray, base_rate: float, epochs: int
     w[0] = 0
     p, _ = marginals(w[slot].sum(1) + bias, first, turn, False)
     x = _note_inputs(p, first)
-    theta = np.zeros(x.shape[1])
-    ridge = np.diag([1e-6] + [1e-2] * (x.shape[1] - 1))
-    for _ in range(30 if len(y) else 0):
-        q = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        h = (x * (q * (1 - q))[:, None]).T @ x + ridge + 1e-9 * np.eye(x.shape[1])
-        step = np.linalg.solve(h, x.T @ (y - q) - ridge @ theta)
-        theta += np.clip(step, -2, 2)
+    theta = _logistic(x, y)
     drawn = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
     rate_ = np.clip(base_rate, 1e-3, 1 - 1e-3)
     theta[0] += np.log(rate_ / (1 - rate_)) - np.log(drawn / (1 - drawn))
     return SpanModel(w.astype(np.float32), float(bias), turn, theta)
 
 
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
+    """Coefficients of a ridge logistic regression (none on the constant), by Newton steps that are halved until they help."""
+    pull = np.diag([1e-3] + [ridge] * (x.shape[1] - 1))
+
+    def loss(t: np.ndarray) -> float:
+        z = x @ t
+        return float(np.sum(np.logaddexp(0, z) - y * z) + 0.5 * t @ pull @ t)
+
+    theta = np.zeros(x.shape[1])
+    now = loss(theta)
+    for _ in range(50 if len(y) else 0):
+        q = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+        step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + pull, x.T @ (y - q) - pull @ theta)
+        size = 1.0
+        while size > 1e-6 and loss(theta + size * step) > now:
+            size /= 2
+        new = loss(theta + size * step)
+        if now - new < 1e-9 * (1 + abs(now)):
+            break
+        theta, now = theta + size * step, new
+    return theta
+
+
 def apply(model: SpanModel, texts: pa.Array, least: float = 0.5) -> tuple[np.ndarray, list[list[dict]]]:
     """Scores and spans (code-point offsets, end exclusive) of notes."""
     words = Words(texts)
