@@ -4,7 +4,8 @@ Every window of a note that is as long as a gold note gets a SimHash of its word
 into ``radius + 1`` blocks, and two fingerprints within ``radius`` agree on at least one block, so no fingerprint within the radius is missed.
 Candidates are then compared exactly: weighted Jaccard similarity of word shingles, a shingle's weight being how often it occurs.
 
-Windows that hold too few words of the gold set to reach the similarity with any gold note are not fingerprinted; that bound is exact.
+Windows that hold too few word pairs of the gold set to reach the similarity with any gold note are not fingerprinted. That bound is exact: every
+shared shingle begins with a pair of neighbouring words that some gold note has.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ def _bits(h: np.ndarray) -> np.ndarray:
     return np.unpackbits(mix(h + np.uint64(7)).view(np.uint8).reshape(-1, 8), axis=1)
 
 
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a + mix(b + np.uint64(3)))
+
+
 def _pack(votes: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.packbits(2 * votes > length[:, None], axis=1).view(np.uint64).ravel()
 
@@ -51,7 +56,9 @@ class GoldIndex:
         self.words = [w.hash[w.first[i] : w.first[i + 1]] for i in some]
         self.size = np.array([len(x) for x in self.words], np.int64)
         self.print = np.array([_pack(_bits(x).sum(0, dtype=np.int64)[None], np.array([len(x)]))[0] for x in self.words], np.uint64)
-        self.vocabulary = np.unique(w.hash)
+        pairs = [_pairs(x[:-1], x[1:]) for x in self.words if len(x) > 1] + [_pairs(x, np.zeros(1, np.uint64)) for x in self.words if len(x) == 1]
+        self.vocabulary = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.uint64)
+        self.alone = bool((self.size == 1).any())
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
         self.shingles = []
@@ -82,9 +89,12 @@ class GoldIndex:
         return out
 
     def windows(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, length and gold size of every window that holds enough gold words."""
+        """Start, length and gold size of every window in which enough shingles begin like a gold note's."""
         n = len(w.hash)
-        seen = np.concatenate([[0], np.cumsum(self.known(w.hash), dtype=np.int32)])
+        begins = self.known(_pairs(w.hash, np.append(w.hash[1:], np.uint64(0))))
+        if self.alone:
+            begins |= self.known(_pairs(w.hash, np.zeros(n, np.uint64)))
+        seen = np.concatenate([[0], np.cumsum(begins, dtype=np.int32)])
         row = w.row_of_word()
         left = (w.first[row + 1] - np.arange(n)).astype(np.int32)
         share = self.similarity / (1 + self.similarity)
@@ -93,14 +103,15 @@ class GoldIndex:
             m = int(self.n_shingles(s))
             need = int(np.ceil(share * 2 * m - 1e-6))
             if n >= s:
-                at = np.flatnonzero((seen[s:] - seen[: n + 1 - s] >= need) & (left[: n + 1 - s] >= s))
+                at = np.flatnonzero(seen[m : n + 1 - s + m] - seen[: n + 1 - s] >= need)
+                at = at[left[at] >= s]
                 start.append(at)
                 length.append(np.full(len(at), s))
                 size.append(np.full(len(at), s))
             # a note shorter than the gold note is one window
             short = np.flatnonzero((w.count < s) & (w.count > 0))
             mw = self.n_shingles(w.count[short])
-            hold = seen[w.first[short + 1]] - seen[w.first[short]]
+            hold = seen[w.first[short] + mw] - seen[w.first[short]]
             ok = short[(hold >= share * (m + mw) - 1e-6) & (mw >= self.similarity * m - 1e-6)]
             start.append(w.first[ok])
             length.append(w.count[ok])
@@ -125,9 +136,8 @@ class GoldIndex:
 
     def _search(self, w: Words, start: np.ndarray, length: np.ndarray, size: np.ndarray):
         # votes of the words between the first and the last window, summed up once; regions without windows are left out
-        touched = np.zeros(len(w.hash) + 1, np.int32)
-        np.add.at(touched, start, 1)
-        np.add.at(touched, start + length, -1)
+        n = len(w.hash) + 1
+        touched = np.bincount(start, minlength=n) - np.bincount(start + length, minlength=n)
         used = np.flatnonzero(np.cumsum(touched)[:-1] > 0)
         place = np.zeros(len(w.hash) + 1, np.int64)
         place[used + 1] = 1
