@@ -6,9 +6,11 @@ replay a draw, a lost task recomputes the same values, and no state is kept.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,25 +90,73 @@ def normal(seed: int, *parts: Column) -> Column:
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
 
 
-def poisson_cuts(limit: int = 9) -> list[int]:
-    """Integer thresholds of the Poisson(1) distribution function on the draw's range."""
-    total, term, cuts = 0.0, math.exp(-1.0), []
-    for k in range(limit):
-        total += term
-        cuts.append(int(total * PRIME))
-        term /= k + 1
-    return cuts
+@functools.cache
+def poisson_cuts(power: int = 0) -> tuple[int, tuple[int, ...]]:
+    """Integer thresholds of the Poisson(2 ** power) distribution function on the draw's range.
+
+    Returns k0 and cuts: a draw with i thresholds at or below it is the value k0 + i. Values whose whole tail is under one step of the draw
+    have no threshold, so nothing else is cut off.
+    """
+    mean = 2.0**power
+    reach = 12 * math.sqrt(mean) + 40
+    total, first, cuts = 0.0, None, []
+    for k in range(max(0, int(mean - reach)), int(mean + reach)):
+        total += math.exp(k * math.log(mean) - mean - math.lgamma(k + 1))
+        cut = int(total * PRIME)
+        if cut < 1:
+            continue
+        if cut >= PRIME - 1:
+            break
+        if first is None:
+            first = k
+        cuts.append(cut)
+    return first or 0, tuple(cuts)
 
 
 def poisson_one(u: Column) -> Column:
     """Poisson(1) weight of a draw: how many thresholds lie at or below it."""
-    out = F.when(u < poisson_cuts()[0], 0)
-    for k, cut in enumerate(poisson_cuts()[1:], start=1):
+    first, cuts = poisson_cuts()
+    out = F.when(u < cuts[0], first)
+    for k, cut in enumerate(cuts[1:], start=first + 1):
         out = out.when(u < cut, k)
-    return out.otherwise(len(poisson_cuts()))
+    return out.otherwise(first + len(cuts))
 
 
 def poisson_one_sql(u: str) -> str:
-    cuts = poisson_cuts()
-    arms = " ".join(f"WHEN {u} < {c} THEN {k}" for k, c in enumerate(cuts))
-    return f"(CASE {arms} ELSE {len(cuts)} END)"
+    first, cuts = poisson_cuts()
+    arms = " ".join(f"WHEN {u} < {c} THEN {k}" for k, c in enumerate(cuts, start=first))
+    return f"(CASE {arms} ELSE {first + len(cuts)} END)"
+
+
+def poisson_table_sql(powers: int) -> str:
+    """Rows (b, k, lo): the draw that reaches ``lo``, and no later one, is the value k of Poisson(2 ** b)."""
+    parts = []
+    for b in range(powers):
+        first, cuts = poisson_cuts(b)
+        parts.append(f"SELECT {b} AS b, {first} + unnest(range({len(cuts) + 1})) AS k, unnest([0, {', '.join(map(str, cuts))}]) AS lo")
+    return " UNION ALL ".join(parts)
+
+
+def draws(seed: int, parts: Sequence[np.ndarray]) -> np.ndarray:
+    """``draw`` on arrays (broadcast against each other), for kernels that lay replicates out as a matrix."""
+    x = np.int64(seed % PRIME)
+    for p in parts:
+        x = (x * 48271 + np.mod(p, PRIME) * 69621) % PRIME
+        x = (x * x + x * 3 + 12345) % PRIME
+    return (x * x + 777 + x * 5) % PRIME
+
+
+def poisson_weights(seed: int, keys: Sequence[np.ndarray], count: np.ndarray, reps: np.ndarray) -> np.ndarray:
+    """Poisson(count) weights, one row per key and one column per replicate.
+
+    A count is split into powers of two and one weight is drawn for each; sums of Poisson weights are Poisson, so the weight of ``count``
+    equal rows has the distribution it would have if each were drawn for itself.
+    """
+    out = np.zeros((len(count), len(reps)), np.int64)
+    for b in range(int(count.max()).bit_length() if len(count) else 0):
+        on = np.flatnonzero((count >> b) & 1)
+        if len(on):
+            first, cuts = poisson_cuts(b)
+            u = draws(seed, [*(k[on, None] for k in keys), np.int64(b), reps[None, :]])
+            out[on] += first + np.searchsorted(np.array(cuts), u, side="right")
+    return out

@@ -1,22 +1,25 @@
 """Bootstrap intervals and the decisions taken on them.
 
-A replicate gives every row (or cluster) an independent Poisson(1) weight, a pure function of
-(seed, row key, replicate). That is the distributed form of drawing n rows with replacement: no
-draw needs to know the others, weights are combined map-side, and only one row per group and
-replicate (for medians: and distinct value) is shuffled.
+A replicate gives every row (or cluster) an independent Poisson(1) weight. That is the distributed form of drawing n rows with replacement:
+no draw needs to know the others. Equal values of a group are counted first, and c equal rows get one Poisson(c) weight, which has the
+distribution of c single ones; so the work is distinct values times replicates. Weights are a pure function of (seed, value or cluster, replicate).
+Replicates are laid out as a matrix inside tasks, and only their sums or medians leave a task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import continue_draw, key_parts, poisson_one, with_state
+from ..functions.hashing import continue_draw, key_parts, poisson_one, poisson_weights, with_state
 from .quantiles import grouped_quantiles
 
 MIN_ROWS = 8
+REP_BLOCK = 500
 
 
 def replicates(df: DataFrame, ids: Sequence[str], n: int, seed: int) -> DataFrame:
@@ -35,6 +38,81 @@ def _interval(stats: DataFrame, by: Sequence[str], alpha: float) -> DataFrame:
     )
 
 
+def _value_key(v: np.ndarray) -> np.ndarray:
+    """A value as a whole number of millionths."""
+    return np.rint(v * 1e6).astype(np.int64)
+
+
+def weighted_medians(v: np.ndarray, w: Callable[[slice], np.ndarray], n_reps: int, step: int = 1 << 14) -> np.ndarray:
+    """The median of sorted values for each replicate's weights; weights are made ``step`` values at a time, twice, and never held as a whole."""
+    total = np.zeros(n_reps, np.int64)
+    for lo in range(0, len(v), step):
+        total += w(slice(lo, lo + step)).sum(0)
+    low, high = np.maximum(total - 1, 0) // 2, total // 2
+    run, out = np.zeros(n_reps, np.int64), np.full((2, n_reps), np.nan)
+    for lo in range(0, len(v), step):
+        upto = run + w(slice(lo, lo + step)).cumsum(0)
+        for i, place in enumerate((low, high)):
+            hit = (run <= place) & (upto[-1] > place)
+            if hit.any():
+                out[i, hit] = v[lo : lo + step][(upto[:, hit] <= place[hit]).sum(0)]
+        run = upto[-1]
+    return np.where(total > 0, (out[0] + out[1]) / 2, np.nan)
+
+
+def _fields(df: DataFrame, names: Sequence[str]) -> str:
+    types = dict(df.dtypes)
+    return "".join(f"`{c}` {types[c]}, " for c in names)
+
+
+def _median_replicates(counts: DataFrame, by: list[str], n: int, seed: int) -> DataFrame:
+    """(by, _s): one median per replicate from (by, _v, _c). A task holds the distinct values of one group and a block of replicates."""
+    blocks = -(-n // REP_BLOCK)
+
+    def run(t: pa.Table) -> pa.Table:
+        v, c = t.column("_v").to_numpy(), t.column("_c").to_numpy()
+        order = np.argsort(v, kind="stable")
+        v, c = v[order], c[order]
+        first = t.column("_blk")[0].as_py() * REP_BLOCK
+        reps = np.arange(first, min(first + REP_BLOCK, n), dtype=np.int64)
+        s = weighted_medians(v, lambda at: poisson_weights(seed, [_value_key(v[at])], c[at], reps), len(reps))
+        one = np.zeros(len(s), np.int64)
+        return pa.table({**{c: t.column(c).take(pa.array(one)) for c in by}, "_s": pa.array(s, from_pandas=True)})
+
+    spread = counts.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return spread.groupBy(*by, "_blk").applyInArrow(run, _fields(counts, by) + "_s double")
+
+
+def _sum_replicates(per: DataFrame, by: list[str], keys: Sequence[str], n: int, seed: int) -> DataFrame:
+    """(by, _s): sum(_s0 * w) / sum(_n0 * w) per replicate, with weights Poisson(_c) by ``keys``. Each task adds up its own rows' replicates."""
+    reps = np.arange(n, dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, list] = {}
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            cols = {k: t.column(k).to_numpy() for k in ("_s0", "_n0", "_c", *keys)}
+            groups: dict[tuple, list[int]] = {}
+            for i, g in enumerate(zip(*(t.column(c).to_pylist() for c in by), strict=True) if by else [()] * len(t)):
+                groups.setdefault(g, []).append(i)
+            for g, rows in groups.items():
+                num, den = sums.setdefault(g, [np.zeros(n), np.zeros(n)])
+                for lo in range(0, len(rows), 256):
+                    at = np.array(rows[lo : lo + 256])
+                    w = poisson_weights(seed, [_value_key(cols[k][at]) if cols[k].dtype.kind == "f" else cols[k][at] for k in keys], cols["_c"][at], reps)
+                    num += cols["_s0"][at] @ w
+                    den += cols["_n0"][at] @ w
+        if sums:
+            kinds = {f.name: f.type for f in b.schema}
+            heads = [pa.array([g[i] for g in sums], kinds[c]) for i, c in enumerate(by)]
+            flat = [pa.array([v[i].tolist() for v in sums.values()], pa.list_(pa.float64())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*heads, *flat], names=[*by, "_num", "_den"])
+
+    parts = per.select(*by, *[c for c in dict.fromkeys(["_s0", "_n0", "_c", *keys]) if c not in by]).mapInArrow(run, _fields(per, by) + "_num array<double>, _den array<double>")
+    rows = parts.select(*by, F.posexplode(F.arrays_zip("_num", "_den")).alias("rep", "_x"))
+    return rows.groupBy(*by, "rep").agg(F.try_divide(F.sum("_x._num"), F.sum("_x._den")).alias("_s"))
+
+
 def bootstrap_ci(
     df: DataFrame, by: Sequence[str], value: str, ids: Sequence[str],
     stat: str | Callable[[Column, Column], Column] = "median", n: int = 5000, seed: int = 20260725, alpha: float = 0.05,
@@ -42,20 +120,22 @@ def bootstrap_ci(
 ) -> DataFrame:
     """Rows: by, n, point, ci_lo, ci_hi. Below ``min_rows`` rows only the point is given.
 
-    ``stat`` is "median", "mean" or an aggregate factory taking (value, weight) columns.
+    ``stat`` is "median", "mean" or an aggregate factory taking (value, weight) columns; a factory is run on every row and replicate, with
+    draws by ``ids``.
     """
     by = list(by)
     rows = df.filter(F.col(value).isNotNull()).withColumn("_v", F.col(value).cast("double"))
-    size = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    reps = replicates(rows.select(*by, "_v", *[c for c in ids if c not in by]), ids, n, seed)
+    counts = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    size = counts.groupBy(*by).agg(F.sum("_c").alias("n"))
     if stat == "mean":
-        point = rows.groupBy(*by).agg(F.avg("_v").alias("point"))
-        stats = reps.groupBy(*by, "rep").agg(F.try_divide(F.sum(F.col("_v") * F.col("w")), F.sum("w")).alias("_s"))
+        point = counts.groupBy(*by).agg((F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("point"))
+        per = counts.withColumns({"_s0": F.col("_v"), "_n0": F.lit(1.0)})
+        stats = _sum_replicates(per, by, ["_v"], n, seed)
     elif stat == "median":
         point = grouped_quantiles(rows, by, "_v", [0.5], ["point"])
-        counts = reps.groupBy(*by, "rep", "_v").agg(F.sum("w").alias("w")).filter("w > 0")
-        stats = counts.groupBy(*by, "rep").agg(F.percentile("_v", 0.5, F.col("w")).alias("_s"))
+        stats = _median_replicates(counts, by, n, seed)
     else:
+        reps = replicates(rows.select(*by, "_v", *[c for c in ids if c not in by]), ids, n, seed)
         point = rows.groupBy(*by).agg(stat(F.col("_v"), F.lit(1)).alias("point"))
         stats = reps.groupBy(*by, "rep").agg(stat(F.col("_v"), F.col("w")).alias("_s"))
     ci = _interval(stats, by, alpha)
@@ -95,10 +175,8 @@ def cluster_bootstrap(
     point = per.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_clusters"), (F.sum("_s0") / F.sum("_n0")).alias("point")
     )
-    reps = replicates(per, [cluster], n, seed)
-    stats = reps.groupBy(*by, "rep").agg(
-        F.try_divide(F.sum(F.col("_s0") * F.col("w")), F.sum(F.col("_n0") * F.col("w"))).alias("_s")
-    )
+    per = per.withColumns({"_n0": F.col("_n0").cast("double"), "_c": F.lit(1).cast("long"), "_key": key_parts(per, [cluster])[0].cast("long")})
+    stats = _sum_replicates(per, by, ["_key"], n, seed)
     ci = _interval(stats, by, alpha)
     return point.join(ci, by, "left") if by else point.crossJoin(ci)
 

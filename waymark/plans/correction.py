@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.hashing import draw_sql, poisson_one_sql
+from ..functions.hashing import PRIME, draw_sql, poisson_table_sql
 from ..functions import scalar as S
 from ..operators import consensus as C
 from ..operators import corpus as K
@@ -18,20 +18,24 @@ from .quality import QC_SQL
 from .reconcile import LAST_SQL
 from .registry import query
 
-BOOT = 100  # replicates in the registered queries; the library's defaults are the reference's
+BOOT = 5000
+POWERS = 13  # the SQL twins' table of Poisson thresholds covers counts of equal values below 2 ** 13
 
 
 def boot_sql(name: str, src: str, by: str, value: str, ids: list[str], n: int, seed: int, stat: str = "median") -> str:
-    """Common table expressions ending in ``name`` (by, n, point, lo, hi)."""
-    u = draw_sql(seed, *ids, "rep")
+    """Common table expressions ending in ``name`` (by, n, point, lo, hi): equal values are counted, each power of two in a count draws once."""
+    u = draw_sql(seed, f"(((CAST(round(v * 1e6) AS BIGINT) % {PRIME}) + {PRIME}) % {PRIME})", "b", "rep")
     if stat == "median":
-        reps = f"SELECT {by}, rep, median(v) AS s FROM (SELECT {by}, rep, v, unnest(range(w)) AS x FROM {name}_r) z GROUP BY {by}, rep"
+        reps = f"""SELECT {by}, rep, (min(v) FILTER (upto > (total - 1) // 2) + min(v) FILTER (upto > total // 2)) / 2 AS s FROM (SELECT {by}, rep, v,
+      sum(w) OVER (PARTITION BY {by}, rep ORDER BY v) AS upto, sum(w) OVER (PARTITION BY {by}, rep) AS total FROM {name}_r) z WHERE total > 0 GROUP BY {by}, rep"""
         point = "median"
     else:
-        reps = f"SELECT {by}, rep, sum(v * w) / sum(w) AS s FROM {name}_r WHERE w > 0 GROUP BY {by}, rep"
+        reps = f"SELECT {by}, rep, sum(v * w) / sum(w) AS s FROM {name}_r GROUP BY {by}, rep HAVING sum(w) > 0"
         point = "avg"
-    return f"""{name}_r AS (SELECT {by}, v, rep, {poisson_one_sql('u')} AS w FROM (SELECT {by}, CAST({value} AS DOUBLE) AS v, rep, {u} AS u
-      FROM {src}, (SELECT unnest(range({n})) AS rep) q WHERE {value} IS NOT NULL) z),
+    return f"""{name}_c AS (SELECT {by}, v, count(*) AS c FROM (SELECT {by}, CAST({value} AS DOUBLE) AS v FROM {src} WHERE {value} IS NOT NULL) z GROUP BY {by}, v),
+     {name}_b AS (SELECT {by}, v, b FROM {name}_c, (SELECT unnest(range({POWERS})) AS b) q WHERE (c >> b) & 1 = 1),
+     {name}_u AS (SELECT *, {u} AS u FROM {name}_b, (SELECT unnest(range({n})) AS rep) q),
+     {name}_r AS (SELECT {by}, rep, v, sum(k) AS w FROM {name}_u d ASOF JOIN ({poisson_table_sql(POWERS)}) t ON d.b = t.b AND d.u >= t.lo GROUP BY {by}, rep, v),
      {name}_s AS ({reps}), {name}_i AS (SELECT {by}, quantile_cont(s, 0.025) AS lo, quantile_cont(s, 0.975) AS hi FROM {name}_s GROUP BY {by}),
      {name}_p AS (SELECT {by}, count(*) AS n, {point}(CAST({value} AS DOUBLE)) AS point FROM {src} WHERE {value} IS NOT NULL GROUP BY {by}),
      {name} AS (SELECT p.*, CASE WHEN n >= 8 THEN lo END AS lo, CASE WHEN n >= 8 THEN hi END AS hi FROM {name}_p p LEFT JOIN {name}_i USING ({by}))"""
@@ -171,22 +175,23 @@ def validate_offsets(spark, sf):
     return _validated(spark, sf)
 
 
-CV_SQL = RES_SQL + """, og AS (SELECT fiducial, round(median(residual_ms), 2) AS og FROM res WHERE usable GROUP BY 1),
+def cv_sql(n: int) -> str:
+    return RES_SQL + """, og AS (SELECT fiducial, round(median(residual_ms), 2) AS og FROM res WHERE usable GROUP BY 1),
  oc AS (SELECT fiducial, disease_class, round(median(residual_ms), 2) AS oc FROM res WHERE usable GROUP BY 1, 2),
  xr AS (SELECT r.record_id, r.lead, disease_class, fiducial, residual_ms, og, coalesce(oc, og) AS oc,
    (row_number() OVER (PARTITION BY fiducial, disease_class ORDER BY """ + draw_sql(1000, "record_id", "lead") + """, record_id, lead) - 1) % 5 AS fold
   FROM res r LEFT JOIN og USING (fiducial) LEFT JOIN oc USING (fiducial, disease_class) WHERE usable),
  tn AS (SELECT xr.*, kf FROM xr, (SELECT unnest(range(5)) AS kf) k WHERE fold <> kf), """ \
-    + boot_sql("xb", "tn", "fiducial, kf", "residual_ms", ["record_id", "lead"], BOOT, 1000) + """,
+    + boot_sql("xb", "tn", "fiducial, kf", "residual_ms", ["record_id", "lead"], n, 1000) + """,
  xl AS (SELECT tn.*, residual_ms - point AS rg FROM tn JOIN xb USING (fiducial, kf)), """ \
-    + boot_sql("xc", "xl", "fiducial, kf, disease_class", "rg", ["record_id", "lead"], BOOT, 2000) + """,
+    + boot_sql("xc", "xl", "fiducial, kf, disease_class", "rg", ["record_id", "lead"], n, 2000) + """,
  nl AS (SELECT fiducial, kf, count(*) FILTER (n >= 12 AND coalesce((lo > 0 OR hi < 0) AND abs(point) >= 2, false)) AS k FROM xc GROUP BY ALL),
  vo AS (SELECT fiducial, kf, point AS og_k, CASE WHEN NOT coalesce((lo > 0 OR hi < 0) AND abs(point) >= 2, false) THEN 'none' WHEN k >= 2 THEN 'class' ELSE 'global' END AS vote
   FROM xb JOIN nl USING (fiducial, kf)),
  ok AS (SELECT fiducial, kf, disease_class, median(residual_ms) AS oc_k FROM tn GROUP BY ALL),
  te AS (SELECT *, abs(residual_ms - used) - abs(residual_ms) AS dd FROM (SELECT xr.*, CASE vote WHEN 'class' THEN coalesce(oc_k, og_k) WHEN 'global' THEN og_k ELSE 0.0 END AS used
    FROM xr JOIN vo ON vo.fiducial = xr.fiducial AND vo.kf = xr.fold LEFT JOIN ok ON ok.fiducial = xr.fiducial AND ok.kf = xr.fold AND ok.disease_class = xr.disease_class) z), """ \
-    + boot_sql("xd", "te", "fiducial", "dd", ["record_id", "lead"], BOOT, 1202, "mean") + """,
+    + boot_sql("xd", "te", "fiducial", "dd", ["record_id", "lead"], n, 1202, "mean") + """,
  ty AS (SELECT fiducial, CASE WHEN count(*) FILTER (vote = 'class') > 2 THEN 'class' WHEN count(*) FILTER (vote = 'global') > 2 THEN 'global' ELSE 'none' END AS plan FROM vo GROUP BY 1),
  de AS (SELECT fiducial, plan <> 'none' AND (fiducial = 'q_peak' OR coalesce(lo > 0, false)) AS v, plan FROM ty JOIN xd USING (fiducial)),
  ou AS (SELECT fiducial, CASE WHEN v THEN 'none' ELSE plan END AS adopted, CASE WHEN v THEN 1 ELSE 0 END AS vetoed, disease_class, residual_ms, used, og, oc FROM te JOIN de USING (fiducial))
@@ -196,15 +201,16 @@ CV_SQL = RES_SQL + """, og AS (SELECT fiducial, round(median(residual_ms), 2) AS
    round(avg(abs(residual_ms - CASE adopted WHEN 'none' THEN 0.0 ELSE used END)), 2) AS mae_after_ms FROM ou GROUP BY ALL"""
 
 
-@query("crossvalidate_offsets", f"WITH {CV_SQL}")
-def crossvalidate_offsets(spark, sf):
+# No SQL twin: at 5,000 replicates it lays out a thousand million rows. tests/test_bootstrap.py compares both at fewer replicates.
+@query("crossvalidate_offsets")
+def crossvalidate_offsets(spark, sf, n_boot=BOOT):
     r = materialise(_residuals(spark, sf))
-    return D.crossvalidate_offsets(r, _offsets_of(r), n_boot=BOOT)
+    return D.crossvalidate_offsets(r, _offsets_of(r), n_boot=n_boot)
 
 
 @query(
     "fold_offset_spread",
-    f"WITH {CV_SQL.split(',' + chr(10) + ' tn AS')[0]}, m AS (SELECT fiducial, kf, median(residual_ms) AS m FROM xr, (SELECT unnest(range(5)) AS kf) k WHERE fold <> kf GROUP BY ALL) "
+    f"WITH {cv_sql(1).split(',' + chr(10) + ' tn AS')[0]}, m AS (SELECT fiducial, kf, median(residual_ms) AS m FROM xr, (SELECT unnest(range(5)) AS kf) k WHERE fold <> kf GROUP BY ALL) "
     "SELECT fiducial, min(m) AS lowest_ms, max(m) AS highest_ms, max(m) - min(m) AS spread_ms FROM m GROUP BY fiducial",
 )
 def fold_offset_spread(spark, sf):
