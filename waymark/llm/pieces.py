@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .words import _powers, mix, raw_bytes, slices
 
-SLICE = 1 << 20
+SLICE = 1 << 19
+DECODED = 1 << 17
 _STEP = np.uint64(0x100000001B3)
 
 
@@ -138,30 +139,31 @@ class Lattice:
         dst.append(nth[lone])
         ids.append(np.full(len(lone), -1, np.int32))
         wts.append((nth[lone] - lone) * vocab.byte_weight)
-        src, dst, ids, wts = map(np.concatenate, (src, dst, ids, wts))
+        # the longest pieces first: a choice is found by walking a node's edges, and they are the likely ones
+        src, dst, ids, wts = (np.concatenate(x[::-1]) for x in (src, dst, ids, wts))
+        by = np.argsort(dst, kind="stable")
+        src, dst, ids, wts = (x[by] for x in (src, dst, ids, wts))
         unit_of = unit[src] if n else np.zeros(0, np.int64)
         depth = dst - start[unit_of]
-        # a node is the byte behind which it lies, dst - 1; the head of a unit is no node
-        by = np.argsort((depth << 32) + dst, kind="stable")
-        src, dst, ids, wts, depth, unit_of = (x[by] for x in (src, dst, ids, wts, depth, unit_of))
+        # a node is the byte behind which it lies, dst - 1; the head of a unit is no node. Nodes are summed in order of their depth
+        by = np.argsort(depth.astype(np.uint16) if len(depth) and depth.max() < 1 << 16 else depth, kind="stable")
+        l_src, l_dst, l_wts, l_root, depth = src[by], dst[by] - 1, wts[by], start[unit_of][by], depth[by]
         total = np.full(n, -np.inf)
         odds = np.empty(len(src))
         level = np.searchsorted(depth, np.arange(1, (int(depth.max()) if len(depth) else 0) + 2))
         for i, j in zip(level[:-1], level[1:], strict=True):
             if i == j:
                 continue
-            s, d = src[i:j], dst[i:j] - 1
-            v = wts[i:j] + np.where(s == start[unit_of[i:j]], 0.0, total[s - 1])
+            s, d = l_src[i:j], l_dst[i:j]
+            v = l_wts[i:j] + np.where(s == l_root[i:j], 0.0, total[s - 1])
             cut = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
             top = np.maximum.reduceat(v, cut)
             width = np.diff(np.append(cut, j - i))
             e = np.exp(v - np.repeat(top, width))
             z = np.add.reduceat(e, cut)
             total[d[cut]] = top + np.log(z)
-            odds[i:j] = e / np.repeat(z, width)
-        # inside a node, likely edges come first
-        by = np.argsort(dst + (1.0 - odds) * 0.999)
-        self.src, self.dst, self.id, self.p = src[by], dst[by], ids[by], odds[by]
+            odds[by[i:j]] = e / np.repeat(z, width)
+        self.src, self.dst, self.id, self.p = src, dst, ids, odds
         node = self.dst - 1
         new = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)
         run = np.cumsum(self.p)
@@ -220,7 +222,8 @@ class _Draw:
             mass = before + np.log(rest)
             mass = np.where((occ > from_occ[doc]) | ((occ == from_occ[doc]) & (step >= from_step[doc])), mass, -np.inf)
             u = _uniform(parent_key[doc] ^ mix((place[occ].astype(np.uint64) << np.uint64(20)) + step.astype(np.uint64) + np.uint64(77)))
-            self.bound = -np.logaddexp(-score[doc], np.log(-np.log(u)) - mass)
+            # before it is cut off at the parent's score, which changes no order inside a note
+            self.free = mass - np.log(-np.log(u))
         self.score = score
 
     def best(self) -> tuple[np.ndarray, np.ndarray]:
@@ -228,10 +231,10 @@ class _Draw:
         value, at = np.full(len(n), -np.inf), np.zeros(len(n), np.int64)
         some = np.flatnonzero(n)
         if len(some):
-            value[some] = np.maximum.reduceat(self.bound, self.first[:-1][some])
-            hit = np.flatnonzero(self.bound == value[self.doc])
+            value[some] = np.maximum.reduceat(self.free, self.first[:-1][some])
+            hit = np.flatnonzero(self.free == value[self.doc])
             at[self.doc[hit[::-1]]] = hit[::-1]
-        return value, at
+        return -np.logaddexp(-self.score, -value), at
 
 
 def segment(vocab: Vocabulary, ids: np.ndarray, texts: pa.Array, k: int, seed: int) -> list[dict[str, np.ndarray]]:
@@ -317,7 +320,7 @@ def segment(vocab: Vocabulary, ids: np.ndarray, texts: pa.Array, k: int, seed: i
             f_occ[docs], f_step[docs] = o, s
             for b, x in zip(bars, out, strict=False):
                 b[docs] = x
-            d.bound[c] = -np.inf
+            d.free[c] = -np.inf
             # kept choices, the branching choice, free choices for the rest
             cut = np.zeros(n_docs, np.int64)
             cut[docs] = c
@@ -340,7 +343,10 @@ def segment(vocab: Vocabulary, ids: np.ndarray, texts: pa.Array, k: int, seed: i
     out = []
     width = lat.dst - lat.src
     for d, a in zip(draws, live, strict=True):
-        by = np.argsort(d.occ.astype(np.int64) * (1 << 24) + ((1 << 24) - 1 - d.step), kind="stable")
+        # choices run from a unit's end to its head; pieces run the other way
+        cut = np.flatnonzero(d.step == 0)
+        many = np.diff(np.append(cut, len(d.step)))
+        by = np.repeat(2 * cut + many - 1, many) - np.arange(len(d.step))
         e = d.edge[by]
         fall = lat.id[e] < 0
         many = np.where(fall, width[e], 1)
@@ -398,18 +404,26 @@ def decode_pieces(segmented: DataFrame, model_path: str, pieces: str = "pieces",
     kinds = ", ".join(f"`{c}` {t}" for c, t in segmented.drop(out).dtypes)
     name = segmented.drop(out).columns
 
+    def spell(b: pa.RecordBatch) -> pa.RecordBatch:
+        lists = b.column(name.index(pieces))
+        flat = np.asarray(pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False), np.int64)
+        flat = np.where((flat >= 0) & (flat < len(vocab.size)), flat, 0)
+        n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        cut = np.concatenate([[0], np.cumsum(n)])
+        size = vocab.size[flat]
+        at = np.concatenate([[0], np.cumsum(size)])
+        spelled = vocab.flat[np.repeat(vocab.at[flat] - at[:-1], size) + np.arange(at[-1])].tobytes()
+        texts = [spelled[at[i] + (1 if j > i and spelled[at[i] : at[i] + 1] == b" " else 0) : at[j]].decode("utf-8", "replace") for i, j in zip(cut[:-1], cut[1:], strict=True)]
+        col = pc.if_else(lists.is_null(), pa.scalar(None, pa.string()), pa.array(texts, pa.string()))
+        return pa.RecordBatch.from_arrays([*b.columns, col], names=[*name, out])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column(name.index(pieces))
-            flat = np.asarray(pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False), np.int64)
-            flat = np.where((flat >= 0) & (flat < len(vocab.size)), flat, 0)
-            n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            cut = np.concatenate([[0], np.cumsum(n)])
-            size = vocab.size[flat]
-            at = np.concatenate([[0], np.cumsum(size)])
-            spelled = vocab.flat[np.repeat(vocab.at[flat] - at[:-1], size) + np.arange(at[-1])].tobytes()
-            texts = [spelled[at[i] + (1 if j > i and spelled[at[i] : at[i] + 1] == b" " else 0) : at[j]].decode("utf-8", "replace") for i, j in zip(cut[:-1], cut[1:], strict=True)]
-            col = pc.if_else(lists.is_null(), pa.scalar(None, pa.string()), pa.array(texts, pa.string()))
-            yield pa.RecordBatch.from_arrays([*b.columns, col], names=[*name, out])
+            total = np.cumsum(pc.fill_null(pc.list_value_length(b.column(name.index(pieces))), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            lo = 0
+            while lo < b.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + DECODED, side="right")))
+                yield spell(b.slice(lo, hi - lo))
+                lo = hi
 
     return segmented.drop(out).mapInArrow(run, f"{kinds}, `{out}` string")
