@@ -3,8 +3,8 @@
 Each note's set of shingles is embedded as ``WIDTH`` sampled tokens: the first tokens of the set in as many fixed random orders, so two sets
 share a sampled token with a probability equal to their Jaccard similarity. A run splits all notes by one sampled token, splits what is still
 large by the next one, and so on; a bucket of at most ``bucket`` notes is compared as a whole. A large bucket that a split hardly divides holds
-notes that are alike, so it is covered by balls around pivots instead of being split on. Runs with other tokens are added until the expected
-recall for pairs exactly at the threshold reaches the target.
+notes that are alike; it is compared in blocks. Runs with other tokens are added until the expected recall for pairs exactly at the threshold
+reaches the target; they pass over buckets whose notes are already known to belong together.
 
 What comes out are candidate groups. Inside a group every pair is then compared exactly, in blocks, without writing pairs out.
 """
@@ -23,9 +23,10 @@ from .components import components
 from .words import Words, distinct_per_row, shingles, slices
 
 WIDTH = 64
-RUNS = 6
-MORE_RUNS = 3
-BLOCK = 128
+MORE_RUNS = 4
+DEPTH = 6
+BLOCK = 1024
+BLOCK_BYTES = 4 << 20
 _ORDERS = np.random.default_rng(20240229).integers(1, 1 << 62, WIDTH).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -55,101 +56,144 @@ def _sketches(notes: DataFrame, k: int) -> DataFrame:
     return notes.select("record_id", "key", "notes").mapInArrow(run, "record_id long, key binary, tokens array<int>")
 
 
-def _path(run, level: int):
-    """The hash of a run and its first ``level`` sampled tokens; every run takes the tokens in an order of its own."""
-    picks = [F.element_at("tokens", F.pmod(F.xxhash64(run, F.lit(i)), F.lit(WIDTH)).cast("int") + 1) for i in range(level)]
-    return F.xxhash64(run, *picks)
+def _paths(sk: DataFrame, first: int, last: int) -> DataFrame:
+    """(node, p1, p2, ...) for every run from ``first`` to before ``last``: the hashes of the run and its first sampled tokens. Every run takes the tokens in an order of its own."""
+    runs = sk.select("node", "tokens", F.explode(F.sequence(F.lit(first), F.lit(last - 1))).alias("run"))
+    path, cols = F.xxhash64("run"), {}
+    for level in range(DEPTH):
+        pick = F.element_at("tokens", F.pmod(F.xxhash64("run", F.lit(level)), F.lit(WIDTH)).cast("int") + 1)
+        path = F.xxhash64(path, pick)
+        cols[f"p{level + 1}"] = path
+    return runs.select("node", *[c.alias(k) for k, c in cols.items()])
 
 
-def _pairs_of(rows: DataFrame, sk: DataFrame, least: int) -> DataFrame:
-    """Edges between notes of one small bucket that share enough sampled tokens."""
-    a = rows.select("path", F.col("node").alias("a"))
-    pairs = a.join(rows.select("path", F.col("node").alias("b")), "path").filter("a > b").select("a", "b").distinct()
-    pairs = pairs.join(sk.select(F.col("node").alias("a"), F.col("tokens").alias("_s")), "a").join(sk.select(F.col("node").alias("b"), F.col("tokens").alias("_t")), "b")
-    return pairs.filter(_shared("_s", "_t") >= least).select("a", "b")
+def _root(link: np.ndarray) -> np.ndarray:
+    """The smallest row each row is connected to."""
+    n = len(link)
+    root = np.arange(n)
+    if not link.any():
+        return root
+    while True:
+        new = np.minimum(root, np.where(link, root[None, :].astype(np.int32), n).min(1))
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
 
 
-def _shared(s: str, t: str):
-    return F.aggregate(F.zip_with(s, t, lambda x, y: (x == y).cast("int")), F.lit(0), lambda acc, x: acc + x)
+def _groups(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.Table]:
+    """Whole groups (equal first column, rows sorted by it), several in one table."""
+    held: list[pa.RecordBatch] = []
+    for b in slices(batches, text):
+        g = b.column(0).to_numpy()
+        other = np.flatnonzero(g != g[-1])
+        last = int(other[-1]) + 1 if len(other) else 0
+        if last or (held and held[-1].column(0)[-1].as_py() != g[0]):
+            ready = held + ([b.slice(0, last)] if last else [])
+            if ready:
+                yield pa.Table.from_batches(ready)
+            held = []
+        held.append(b.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
-def _balls(rows: DataFrame, near: int, reach: int) -> list[DataFrame]:
-    """Edges from pivots to the members of dense buckets.
+def _cuts(g: np.ndarray) -> Iterator[tuple[int, int]]:
+    cut = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]])
+    return ((i, j) for i, j in zip(cut[:-1], cut[1:], strict=True) if j - i > 1)
 
-    Members sharing ``reach`` tokens with a pivot are attached to it; those sharing ``near`` are done, as whatever is similar to them is within
-    reach of the same pivot (distances add up). The rest meets further pivots, twice as many each round, until nothing is left.
-    """
-    out, many, round_no = [], 8, 0
-    while not rows.isEmpty():
-        order = F.xxhash64("node", F.lit(round_no))
-        share = rows.groupBy("path").agg(F.count(F.lit(1)).alias("_n"))
-        drawn = rows.join(share, "path").withColumn("_o", F.pmod(order, F.lit(1 << 20)) / F.lit(float(1 << 20)))
-        pivots = drawn.filter(F.col("_o") * F.col("_n") < many).select("path", F.col("node").alias("pivot"), F.col("tokens").alias("_p"))
-        head = rows.groupBy("path").agg(F.min_by(F.struct("node", "tokens"), F.col("node")).alias("_h")).select("path", F.col("_h.node").alias("pivot"), F.col("_h.tokens").alias("_p"))
-        pivots = materialise(pivots.unionAll(head).dropDuplicates(["path", "pivot"]))
-        met = rows.join(pivots, "path").select("path", "node", "pivot", _shared("tokens", "_p").alias("n"))
-        seen = materialise(met.filter(F.col("n") >= reach))
-        out.append(seen.filter("node <> pivot").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct())
-        done = seen.filter((F.col("n") >= near) | (F.col("node") == F.col("pivot"))).select("path", "node").distinct()
-        rows = materialise(rows.join(done, ["path", "node"], "left_anti"))
-        many, round_no = many * 2, round_no + 1
-    return out
 
+def _alike(rows: DataFrame, least: int) -> DataFrame:
+    """Edges (a, b) from each note to the first note of its bucket it is connected to by sharing ``least`` tokens. ``rows``: (grp, tokens as bytes, node), sorted by grp."""
 
-def candidate_edges(sk: DataFrame, similarity: float, recall: float, bucket: int) -> DataFrame:
-    """Edges (a, b) whose components hold, with the stated recall, every pair of similar notes. ``sk``: (node, tokens)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, 1):
+            g, node = t.column(0).to_numpy(), t.column(2).to_numpy()
+            x = np.frombuffer(b"".join(t.column(1).to_pylist()), np.int32).reshape(-1, WIDTH)
+            a, b = [], []
+            for i, j in _cuts(g):
+                shared = np.zeros((j - i, j - i), np.uint8)
+                for c in range(WIDTH):
+                    shared += x[i:j, c, None] == x[None, i:j, c]
+                root = _root(shared >= least)
+                hit = np.flatnonzero(root != np.arange(j - i))
+                a.append(node[i:j][hit])
+                b.append(node[i:j][root[hit]])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _in_blocks(rows: DataFrame, key: str, blocks: str, *keep: str) -> DataFrame:
+    """Send every row of a group to all block pairs its own block is part of; ``grp`` names the pair."""
+    own = F.pmod(F.xxhash64("node", F.lit(3)), F.col(blocks)).cast("int")
+    spread = rows.select(key, blocks, "node", *keep, own.alias("blk"), F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)).alias("_j"))
+    return spread.select(F.xxhash64(key, F.least("blk", "_j"), F.greatest("blk", "_j")).alias("grp"), (F.col("blk") != F.col("_j")).cast("int").alias("cross"), "blk", "node", *keep)
+
+
+def candidate_groups(sk: DataFrame, similarity: float, recall: float, bucket: int) -> DataFrame:
+    """(node, component): groups that hold, with the stated recall, every pair of similar notes. ``sk``: (node, tokens)."""
     spread = np.sqrt(similarity * (1 - similarity) / WIDTH)
     least = int(np.floor(WIDTH * (similarity - 3.5 * spread)))
-    near = int(np.ceil(WIDTH * similarity))
-    reach = int(np.floor(WIDTH * max(0.0, 1 - 2 * (1 - similarity) - 2 * spread)))
-    edges: list[DataFrame] = []
-    depth_rows: dict[int, int] = {}
-    done, wanted = 0, RUNS
+    packed = F.unhex(F.array_join(F.transform("tokens", lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0")), ""))
+    by_depth: dict[int, int] = {}
+    found, done, wanted = None, 0, 1
     while True:
-        runs = F.explode(F.sequence(F.lit(done), F.lit(wanted - 1)))
-        active = sk.select("node", "tokens", runs.alias("run"))
-        level = 1
-        while True:
-            rows = active.select("node", "tokens", "run", _path(F.col("run"), level).alias("path"))
-            sizes = materialise(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-            small, large = sizes.filter(F.col("n") <= bucket), sizes.filter(F.col("n") > bucket)
-            held = materialise(rows.select("node", "path").join(small.select("path"), "path", "left_semi"))
-            depth_rows[level] = depth_rows.get(level, 0) + held.count()
-            edges.append(_pairs_of(held, sk, least))
+        paths = _paths(sk, done, wanted)
+        if found is not None:
+            paths = paths.join(found.select("node", "component"), "node", "left").withColumn("own", F.coalesce("component", "node")).drop("component")
+        else:
+            paths = paths.withColumn("own", F.col("node"))
+        paths = materialise(paths)
+        parts: list[DataFrame] = []
+        active = paths
+        for level in range(1, DEPTH + 1):
+            here = f"p{level}"
+            sizes = materialise(active.groupBy(here).agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("lo"), F.max("own").alias("hi")).filter("n > 1 and lo <> hi").select(here, "n"))
+            small = active.select(here, "node").join(sizes.filter(F.col("n") <= bucket).select(here), here, "left_semi")
+            parts.append(small.select(F.col(here).alias("path"), "node", F.lit(1).alias("nb"), F.lit(level).alias("level")))
+            large = sizes.filter(F.col("n") > bucket)
             if large.isEmpty():
                 break
-            big = materialise(rows.join(large, "path").select("node", "tokens", "run", "path", "n", _path(F.col("run"), level + 1).alias("_next")))
-            child = big.groupBy("path", "n", "_next").agg(F.count(F.lit(1)).alias("m")).groupBy("path", "n").agg(F.max("m").alias("m"))
-            dense = materialise(child.filter("m >= 0.6 * n").select("path"))
-            alike = materialise(big.join(dense, "path", "left_semi").select("path", "node", "tokens"))
-            depth_rows[level] += alike.count()
-            edges.extend(_balls(alike, near, reach))
-            active = materialise(big.join(dense, "path", "left_anti").select("node", "tokens", "run"))
-            if active.isEmpty():
-                break
-            level += 1
+            active = active.join(large, here)
+            if level < DEPTH:
+                below = f"p{level + 1}"
+                child = active.groupBy(here, "n", below).agg(F.count(F.lit(1)).alias("m")).groupBy(here, "n").agg(F.max("m").alias("m"))
+                dense = materialise(child.filter("m >= 0.6 * n").select(here))
+                alike, active = active.join(dense, here, "left_semi"), active.join(dense, here, "left_anti")
+            else:
+                alike = active
+            parts.append(alike.select(F.col(here).alias("path"), "node", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("nb"), F.lit(level).alias("level")))
+            active = active.drop("n")
+        held = parts[0]
+        for x in parts[1:]:
+            held = held.unionAll(x)
+        held = materialise(held)
+        for r in held.groupBy("level").count().collect():  # at most DEPTH rows
+            by_depth[r[0]] = by_depth.get(r[0], 0) + r[1]
+        with_tokens = _in_blocks(held.join(sk.select("node", packed.alias("tokens")), "node"), "path", "nb", "tokens")
+        edges = _alike(with_tokens.select("grp", "tokens", "node").repartition("grp").sortWithinPartitions("grp"), least)
+        if found is not None:
+            edges = edges.unionAll(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        found = materialise(components(edges))
         done = wanted
-        total = sum(depth_rows.values())
-        expected = sum(n * (1 - (1 - similarity**d) ** done) for d, n in depth_rows.items()) / total if total else 1.0
+        total = sum(by_depth.values())
+        expected = sum(n * (1 - (1 - similarity**d) ** done) for d, n in by_depth.items()) / total if total else 1.0
         if expected >= recall:
-            break
+            return found
         wanted += MORE_RUNS
-    out = edges[0]
-    for e in edges[1:]:
-        out = out.unionAll(e)
-    return materialise(out.distinct())
 
 
-def _exact(table: list[tuple], values: np.ndarray, starts: np.ndarray, similarity: float, cross: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Links per row of a group and the smallest row index each is connected to. ``cross``: only rows of different sides are compared."""
-    side = np.array([r[1] for r in table])
-    n = len(table)
+def _exact(side: np.ndarray, values: np.ndarray, starts: np.ndarray, similarity: float, cross: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Links per row of a group and the smallest row each is connected to. ``cross``: only rows of different sides are compared."""
+    n = len(side)
     v, s = distinct_per_row(values, starts)
     size = np.diff(s)
     row = np.repeat(np.arange(n), size)
     _, col, often = np.unique(v, return_inverse=True, return_counts=True)
     keep = often[col] > 1
-    both = np.zeros((n, n))
+    both = np.zeros((n, n), np.float32)
     if keep.any():
         _, col = np.unique(col[keep], return_inverse=True)
         row = row[keep]
@@ -161,38 +205,26 @@ def _exact(table: list[tuple], values: np.ndarray, starts: np.ndarray, similarit
             m = np.zeros((n, wide), np.float32)
             m[row[i:j], col[i:j] - lo] = 1
             both += m @ m.T
-    union = size[:, None] + size[None, :] - both
-    link = (both + 1e-9 >= similarity * union) & (union > 0)
+    union = (size[:, None] + size[None, :]).astype(np.float32) - both
+    link = (both + np.float32(1e-3) >= similarity * union) & (union > 0)
     np.fill_diagonal(link, False)
     if cross:
         link &= side[:, None] != side[None, :]
-    root = np.arange(n)
-    while True:
-        low = np.where(link, root[None, :], n).min(1) if n else root
-        new = np.minimum(root, low)
-        new = new[new]
-        if (new == root).all():
-            return link.sum(1), root
-        root = new
+    return link.sum(1), _root(link)
 
 
 def _verify(rows: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(node, n_links, other): exact links of every note in its block pair. ``rows``: (grp, cross, side, node, notes) sorted by grp within partitions."""
+    """(node, n_links, other): exact links of every note in its block pair. ``rows``: (grp, notes, cross, side, node) sorted by grp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(parts).combine_chunks()
-            g = t.column("grp").to_numpy()
+        for t in _groups(batches, 1):
+            t = t.combine_chunks()
             v, s = shingles(Words(t.column("notes").combine_chunks()), k)
-            cross, side, node = (t.column(c).to_numpy() for c in ("cross", "side", "node"))
-            cut = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]])
+            g, cross, side, node = (t.column(c).to_numpy() for c in ("grp", "cross", "side", "node"))
             ids, links, other = [], [], []
-            for i, j in zip(cut[:-1], cut[1:], strict=True):
-                if j - i < 2:
-                    continue
-                n, root = _exact(list(zip(node[i:j], side[i:j], strict=True)), v[s[i] : s[j]], s[i : j + 1] - s[i], similarity, bool(cross[i]))
+            for i, j in _cuts(g):
+                # a note's own block is sent once to each pair, so a pair of different blocks is marked by any of its rows
+                n, root = _exact(side[i:j], v[s[i] : s[j]], s[i : j + 1] - s[i], similarity, bool(cross[i]))
                 hit = np.flatnonzero(n)
                 ids.append(node[i:j][hit])
                 links.append(n[hit])
@@ -200,19 +232,6 @@ def _verify(rows: DataFrame, k: int, similarity: float) -> DataFrame:
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(links).astype(np.int64)), pa.array(np.concatenate(other))], names=["node", "n_links", "other"])
 
-        for b in slices(batches, 4):
-            g = b.column(0).to_numpy()
-            other = np.flatnonzero(g != g[-1])
-            last = int(other[-1]) + 1 if len(other) else 0
-            if last or (held and held[-1].column(0)[-1].as_py() != g[0]):
-                ready = held + ([b.slice(0, last)] if last else [])
-                if ready:
-                    yield from flush(ready)
-                held = []
-            held.append(b.slice(last))
-        if held:
-            yield from flush(held)
-
     return rows.mapInArrow(run, "node long, n_links long, other long")
 
 
@@ -234,16 +253,12 @@ def linked_notes(notes: DataFrame, record_id: str = "record_id", text: str = "no
     keys = materialise(src.select("record_id", "key"))
     texts = materialise(keys.filter("record_id is not null and key is not null").groupBy("key").agg(F.min("record_id").alias("text_id"), F.count(F.lit(1)).alias("n_copies")))
     sk = materialise(sketched.join(texts.select("key", F.col("text_id").alias("record_id")), ["record_id", "key"], "left_semi").dropDuplicates(["record_id", "key"]).select(F.col("record_id").alias("node"), "tokens"))
-    found = components(candidate_edges(sk, similarity, recall, bucket))
-    groups = materialise(found)
-    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("nb"))
-    placed = groups.join(sizes, "component").select("node", "component", "nb", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int").alias("blk"))
-    placed = materialise(placed.withColumnRenamed("node", "record_id"))
-    held = whole.join(placed, "record_id").join(texts.select("key", "text_id"), "key").filter("record_id = text_id").dropDuplicates(["record_id", "key"])
-    j = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
-    spread = held.select("component", "blk", "record_id", "notes", j.alias("j")).select(
-        F.xxhash64("component", F.least("blk", "j"), F.greatest("blk", "j")).alias("grp"), (F.col("blk") != F.col("j")).alias("_x"), F.col("blk").alias("side"), F.col("record_id").alias("node"), "notes")
-    spread = spread.select("grp", F.col("_x").cast("int").alias("cross"), "side", "node", "notes").repartition("grp").sortWithinPartitions("grp")
+    groups = candidate_groups(sk, similarity, recall, bucket)
+    members = groups.withColumnRenamed("node", "record_id").join(texts.select(F.col("text_id").alias("record_id"), "key"), "record_id")
+    held = materialise(whole.join(members, ["record_id", "key"]).dropDuplicates(["record_id", "key"]).select(F.col("record_id").alias("node"), "component", "notes"))
+    sizes = held.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)), F.ceil(F.sum(F.octet_length("notes")) / F.lit(BLOCK_BYTES)), F.lit(1)).cast("int").alias("nb"))
+    spread = _in_blocks(held.join(sizes, "component"), "component", "nb", "notes").select("grp", "notes", "cross", F.col("blk").alias("side"), "node")
+    spread = spread.repartition("grp").sortWithinPartitions("grp")
     links = materialise(_verify(spread, shingle, similarity))
     classes = components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
     counts = links.groupBy("node").agg(F.sum("n_links").alias("n_links"))
