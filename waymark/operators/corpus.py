@@ -16,10 +16,6 @@ from .derive import null_placeholder
 from .ordered import attach, keep_first, text_rank, with_neighbours
 from .qc import out_of_record
 
-# Up to this many rows per group the engine keeps only the best rows of every task before the
-# shuffle; larger samples are ranked piece by piece instead.
-GROUP_LIMIT = 1000
-
 
 def ranked_in_order(df: DataFrame, by: Sequence[str], key: str, out: str = "_i") -> DataFrame:
     """1-based place of every row in key order within its group; text keys are cut by their head."""
@@ -32,9 +28,6 @@ def ranked_in_order(df: DataFrame, by: Sequence[str], key: str, out: str = "_i")
 def seeded_sample(df: DataFrame, by: Sequence[str], ids: Sequence[str], n: int, seed: int) -> DataFrame:
     """``n`` rows per group without replacement, the same rows for the same seed and keys."""
     d = with_draw(df, "_h", seed, key_parts(df, ids))
-    if n <= GROUP_LIMIT:
-        k = F.row_number().over(W.partitionBy(*by).orderBy("_h", *ids))
-        return d.withColumn("_k", k).filter(F.col("_k") <= n).drop("_h", "_k")
     d = with_neighbours(d, by, "_h", ties=ids, ordinal="_k")
     return d.filter(F.col("_k") <= n).drop("_h", "_k")
 

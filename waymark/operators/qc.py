@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import half_even, out_of_range
 from ..schema import KEYS, LANDMARKS_11, Keys, Landmarks
 from ..session import materialise
-from .ordered import attach, with_frame, with_neighbours
+from .ordered import GRAIN, attach, with_frame, with_neighbours
 from .quantiles import grouped_quantiles
 
 
@@ -269,18 +269,19 @@ def drop_misordered(df: DataFrame, waves: Sequence[str], keys: Keys = KEYS) -> D
 
 
 def drop_short_intervals(
-    df: DataFrame, keys: Sequence[str], position: str, limit: float, tie: Sequence[str] = (), max_passes: int = 25,
+    df: DataFrame, keys: Sequence[str], position: str, limit: float, tie: Sequence[str] = (), grain: int = GRAIN,
 ) -> DataFrame:
     """Remove one event of every interval of at most ``limit``, until none is left.
 
     In a pass every short interval names one of its two events: inside the series the earlier one
     if leaving it out makes the series rougher than leaving out the later one, else the later; at
     the start always the later, at the end always the earlier. Named events go together. A pass
-    ends in a reliable checkpoint, so lineage stays short and a lost executor costs one pass.
+    is written to the shared folder, so lineage stays short and a lost executor costs one pass. Every
+    pass removes an event or is the last one. ``grain`` is the stretch of positions that one piece covers.
     """
     cur = df
-    for _ in range(max_passes):
-        seq = with_neighbours(cur, keys, position, ties=tie, ordinal="_i", total="_n")
+    while True:
+        seq = with_neighbours(cur, keys, position, ties=tie, ordinal="_i", total="_n", grain=grain)
         offs = {f"_x{k}": (lambda w, k=k: F.lag(position, -k).over(w)) for k in (-2, -1, 1, 2, 3)}
         s = with_frame(seq, keys, "_i", 3, 3, offs)
         x = {k: F.col(f"_x{k}") for k in (-2, -1, 1, 2, 3)} | {0: F.col(position)}
@@ -299,4 +300,3 @@ def drop_short_intervals(
         cur = marked.filter(~F.col("_gone")).drop("_gone")
         if marked.filter("_gone").limit(1).count() == 0:
             return cur
-    raise RuntimeError(f"short intervals remain after {max_passes} passes")

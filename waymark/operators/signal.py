@@ -341,10 +341,10 @@ def apply_quantile_match(df: DataFrame, table: DataFrame, channel: str | None =
 
         def inner(xs: Column) -> Column:
             last = F.size(xs) - 1
-            steps = F.sequence(F.lit(0), F.lit(15))
+            steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(xs) + F.lit(1))).cast("int"))
 
             def find(v: Column) -> Column:
-                """Largest index whose point is not above v (0 if none), by 16 halvings."""
+                """Largest index whose point is not above v (0 if none), by as many halvings as the table needs."""
                 start = F.struct(F.lit(0).alias("lo"), last.alias("hi"))
 
                 def halve(acc: Column, _: Column) -> Column:

@@ -47,8 +47,8 @@ def event_bursts(spark, sf):
     "FROM events WHERE event_type IN ('click','view') GROUP BY user_id",
 )
 def key_value_lines(spark, sf):
-    e = table(spark, sf, "events").filter("event_type in ('click', 'view')")
-    key = F.when(F.col("event_type") == "click", "APD.min").otherwise("APD.max")
+    e = table(spark, sf, "events")
+    key = F.when(F.col("event_type") == "click", "APD.min").when(F.col("event_type") == "view", "APD.max").otherwise(F.col("event_type"))
     v = F.col("user_id") + F.when(F.col("event_type") == "click", 0.5).otherwise(1.5)
     lines = e.select(F.concat(F.lit("p"), F.col("user_id").cast("string"), F.lit(":"), key, F.lit(","), v.cast("string")).alias("value"))
     return readers.key_values(lines, ["APD.min", "APD.max"])

@@ -311,7 +311,7 @@ def misordered_events_dropped(spark, sf):
 @query("short_intervals_dropped")
 def short_intervals_dropped(spark, sf):
     ev = events(spark, sf).select("record_id", "pos", "event_id")
-    kept = qc.drop_short_intervals(ev, ["record_id"], "pos", limit=3_600_000_000, tie=["event_id"])
+    kept = qc.drop_short_intervals(ev, ["record_id"], "pos", limit=3_600_000_000, tie=["event_id"], grain=86_400_000_000)
     return kept.groupBy("record_id").agg(F.count(F.lit(1)).alias("n_kept"), F.sum("pos").alias("pos_sum"))
 
 

@@ -446,23 +446,23 @@ def subset_grouping_sets(spark, sf):
 @query(
     "kde_grid",
     f"""WITH {EVENTS_SQL}, s AS (SELECT channel, CASE WHEN stddev_pop(value) > 0 THEN 1.06::DOUBLE * stddev_pop(value) * pow(count(value)::DOUBLE, -0.2::DOUBLE) ELSE 1.0 END AS h, count(value) AS n FROM ev GROUP BY channel),
-    g AS (SELECT unnest(range(60)) AS grid_no)
-    SELECT channel, CAST(grid_no AS INTEGER) AS grid_no, round(grid_no*100.0::DOUBLE/59, 6) AS x, round(sum(exp(-0.5::DOUBLE*pow((grid_no*100.0::DOUBLE/59 - value)/h, 2)) / (n*h*sqrt(2*pi()))), 8) AS density
+    g AS (SELECT unnest(range(300)) AS grid_no)
+    SELECT channel, CAST(grid_no AS INTEGER) AS grid_no, round(grid_no*100.0::DOUBLE/299, 6) AS x, round(sum(exp(-0.5::DOUBLE*pow((grid_no*100.0::DOUBLE/299 - value)/h, 2)) / (n*h*sqrt(2*pi()))), 8) AS density
     FROM ev JOIN s USING (channel), g WHERE value IS NOT NULL GROUP BY ALL""",
 )
 def kde_grid(spark, sf):
-    k = P.kde(events(spark, sf), "value", 0.0, 100.0, 60, ["channel"])
+    k = P.kde(events(spark, sf), "value", 0.0, 100.0, 300, ["channel"])
     return k.withColumns({"x": F.round("x", 6), "density": F.round("density", 8)})
 
 
 @query(
     "gaussian_curves",
-    f"""WITH {EVENTS_SQL}, s AS (SELECT channel, avg(value) AS m, stddev_samp(value) AS sd FROM ev GROUP BY channel), g AS (SELECT unnest(range(50)) AS grid_no)
-    SELECT channel, CAST(grid_no AS INTEGER) AS grid_no, round(exp(-0.5::DOUBLE*pow((grid_no*100.0::DOUBLE/49 - m)/sd, 2)) / (sd*sqrt(2*pi())), 8) AS density FROM s, g""",
+    f"""WITH {EVENTS_SQL}, s AS (SELECT channel, avg(value) AS m, stddev_samp(value) AS sd FROM ev GROUP BY channel), g AS (SELECT unnest(range(400)) AS grid_no)
+    SELECT channel, CAST(grid_no AS INTEGER) AS grid_no, round(exp(-0.5::DOUBLE*pow((grid_no*100.0::DOUBLE/399 - m)/sd, 2)) / (sd*sqrt(2*pi())), 8) AS density FROM s, g""",
 )
 def gaussian_curves(spark, sf):
     s = events(spark, sf).groupBy("channel").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("sd"))
-    return P.gaussian_curve(s, "m", "sd", 0.0, 100.0, 50).select("channel", "grid_no", F.round("density", 8).alias("density"))
+    return P.gaussian_curve(s, "m", "sd", 0.0, 100.0, 400).select("channel", "grid_no", F.round("density", 8).alias("density"))
 
 
 @query(

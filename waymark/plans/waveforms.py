@@ -269,11 +269,11 @@ def quantile_matched_traces(spark, sf):
 
 @query(
     "resample_half",
-    f"WITH {TRACE_SQL}, h AS (SELECT unnest(range(9)) AS k, unnest({G.lowpass_taps(150.0, 1000.0, 8)}) AS h) SELECT a.record_id, a.lead, CAST(a.sample/2 AS INTEGER) AS sample, round(sum(b.v*h), 6) AS v "
-    "FROM trace a, h JOIN trace b ON true WHERE a.sample % 2 = 0 AND b.record_id = a.record_id AND b.lead = a.lead AND b.sample = greatest(0, least(63, a.sample + k - 4)) GROUP BY ALL",
+    f"WITH {TRACE_SQL}, h AS (SELECT unnest(range(65)) AS k, unnest({G.lowpass_taps(150.0, 1000.0, 64)}) AS h) SELECT a.record_id, a.lead, CAST(a.sample/2 AS INTEGER) AS sample, round(sum(b.v*h), 6) AS v "
+    "FROM trace a, h JOIN trace b ON true WHERE a.sample % 2 = 0 AND b.record_id = a.record_id AND b.lead = a.lead AND b.sample = greatest(0, least(63, a.sample + k - 32)) GROUP BY ALL",
 )
 def resample_half(spark, sf):
-    h = G.resample_half(traces(spark, sf), order=8)
+    h = G.resample_half(traces(spark, sf), order=64)
     return r6(h.select("record_id", "lead", F.posexplode("halved").alias("sample", "v")), "v")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +20,11 @@ def read_landmarks(
 ) -> DataFrame:
     """Header CSV with typed columns. Whole-number columns accept "12" and "12.0".
 
-    Columns are matched by the file's header; ``columns`` prunes before anything is parsed.
+    Columns are matched by the header, which all files of ``path`` must share: one with other names or another order fails when it is
+    read. ``columns`` prunes before anything is parsed.
     """
-    raw = spark.read.option("header", True).csv(path)
+    found = spark.read.option("header", True).csv(path)
+    raw = spark.read.schema(found.schema).option("header", True).option("enforceSchema", False).csv(path)
     out = []
     for f in schema.fields:
         if columns is not None and f.name not in columns:
@@ -67,6 +70,7 @@ def read_waveforms(spark: SparkSession, paths: str | Sequence[str], channels: Se
     ok = even & numeric & ((F.col("rows") == k) | (F.col("cols") == k))
     turned = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.transform("m", lambda r: F.get(r, j)))
     sig = F.when(F.col("rows") == k, F.col("m")).otherwise(turned)
+    sig = F.transform(sig, lambda r: F.transform(r, lambda v: F.when(~F.isnan(v), v)))  # a written NaN is an absent sample
     names = F.array(*[F.lit(c) for c in channels])
     good = m.filter(ok).select("record_id", "path", F.posexplode(sig).alias("_i", "trace")).select(
         "record_id", F.get(names, F.col("_i")).alias("lead"), "trace", "path"
@@ -94,13 +98,17 @@ def read_jsonl(spark: SparkSession, path: str | Sequence[str], schema: str | T.S
 
 def read_key_values(spark: SparkSession, path: str | Sequence[str], names: Sequence[str]) -> DataFrame:
     """Lines ``path:key,value`` as one row per path with a column per key (last value wins)."""
-    return key_values(spark.read.text(path), names)
+    lines = spark.read.text(path).withColumns({"_f": F.col("_metadata.file_path"), "_b": F.col("_metadata.file_block_start"), "_i": F.monotonically_increasing_id()})
+    return key_values(lines, names, order=("_f", "_b", "_i"))
 
 
-def key_values(lines: DataFrame, names: Sequence[str], text: str = "value") -> DataFrame:
+def key_values(lines: DataFrame, names: Sequence[str], text: str = "value", order: Sequence[str] = ()) -> DataFrame:
+    """Parsed lines; the last readable value of a key is the one greatest in ``order``, without it the one with the greatest value."""
     part = lambda g: F.regexp_extract(text, r"^(.*):([^:,]+),(.*)$", g)
-    kv = lines.select(part(1).alias("path"), part(2).alias("key"), F.trim(part(3)).try_cast("double").alias("v")).filter(F.col("key").isin(*names))
-    return kv.groupBy("path").pivot("key", list(names)).agg(F.last("v", ignorenulls=True))
+    v = F.trim(part(3)).try_cast("double")
+    kv = lines.select(part(1).alias("path"), part(2).alias("key"), v.alias("v"), F.struct(*order, v.alias("_last")).alias("_at"))
+    kv = kv.filter(F.col("key").isin(*names) & F.col("v").isNotNull())
+    return kv.groupBy("path").pivot("key", list(names)).agg(F.max_by("v", "_at"))
 
 
 def run_log(lines: DataFrame, text: str = "value") -> DataFrame:
@@ -130,8 +138,13 @@ def read_history(spark: SparkSession, path: str | Sequence[str], item: str) -> D
 
 
 def read_sections(spark: SparkSession, path: str | Sequence[str], marker: str = "##REC ") -> DataFrame:
-    """Rows (section, line_no, line) of text in which a marker line names the section that follows."""
-    parts = spark.read.option("lineSep", marker).text(path).filter(F.trim("value") != "")
+    """Rows (section, line_no, line) of text in which a marker line names the section that follows.
+
+    A marker counts at the start of a line only; text before the first one belongs to no section. A file is read as one text.
+    """
+    whole = spark.read.text(path, wholetext=True)
+    bodies = F.split(F.concat(F.lit("\n"), "value"), F.lit("\n" + re.escape(marker)))
+    parts = whole.select(F.explode(F.slice(bodies, 2, F.greatest(F.size(bodies) - 1, F.lit(0)))).alias("value"))
     lines = F.split("value", r"\r?\n")
     return parts.select(F.trim(F.get(lines, F.lit(0))).alias("section"), F.posexplode(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).alias("line_no", "line")).filter(
         F.trim("line") != "")
@@ -139,7 +152,7 @@ def read_sections(spark: SparkSession, path: str | Sequence[str], marker: str =
 
 def fill_sections(lines: DataFrame, keys: Sequence[str], order: str, text: str = "value", marker: str = "##REC ") -> DataFrame:
     """The same for lines that already carry a number: the section is carried forward along it."""
-    named = lines.withColumn("_h", F.when(F.col(text).startswith(marker), F.trim(F.substring(F.col(text), len(marker) + 1, 1 << 20))))
+    named = lines.withColumn("_h", F.when(F.col(text).startswith(marker), F.trim(F.substring(F.col(text), F.lit(len(marker) + 1), F.length(text)))))
     out = with_neighbours(named, keys, order, carry={"section": "_h"})
     return out.filter(F.col("_h").isNull()).drop("_h")
 
