@@ -11,18 +11,19 @@ from pyspark.sql import functions as F
 from ..functions.hashing import WHOLE, key_parts, with_draw
 from ..functions.scalar import half_even, halve_rate, non_blank, remap, strip_suffix
 from ..schema import KEYS, LANDMARKS_11, Keys, Landmarks
+from ..session import materialise
 from .consensus import repair_after_onset_shift
 from .derive import null_placeholder
-from .ordered import attach, keep_first, text_rank, with_neighbours
+from .ordered import attach, keep_first, with_neighbours
 from .qc import out_of_record
 
 
 def ranked_in_order(df: DataFrame, by: Sequence[str], key: str, out: str = "_i") -> DataFrame:
-    """1-based place of every row in key order within its group; text keys are cut by their head."""
+    """1-based place of every row in key order within its group. Keys that are no whole numbers are cut into ranges by a sample of them."""
     if dict(df.dtypes)[key] in WHOLE:
         return with_neighbours(df, by, key, ordinal=out)
-    d = df.withColumn("_kr", text_rank(F.col(key)))
-    return with_neighbours(d, by, "_kr", ties=[key], ordinal=out, grain=1 << 44).drop("_kr")
+    d = materialise(df.repartitionByRange(key).withColumn("_kr", F.spark_partition_id().cast("bigint")))
+    return with_neighbours(d, by, "_kr", ties=[key], ordinal=out, grain=1).drop("_kr")
 
 
 def seeded_sample(df: DataFrame, by: Sequence[str], ids: Sequence[str], n: int, seed: int) -> DataFrame:
