@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import half_even, rank_of
+from ..functions.scalar import half_even, rank_of, samples_to_ms
 from ..schema import KEYS, LANDMARKS_11, Keys, Landmarks
 from ..session import materialise
 from .derive import representative
@@ -226,6 +226,7 @@ def upsert(current: DataFrame, changes: DataFrame, keys: Sequence[str], by: Sequ
 
 def merge_corrections(
     master: DataFrame, corrections: DataFrame, lm: Landmarks = LANDMARKS_11, keys: Keys = KEYS, n_samples: str = "n_samples",
+    fs: str = "fs_hz", n_outside: str | None = None,
 ) -> DataFrame:
     """Carry each unit's correction to all its events.
 
@@ -233,6 +234,10 @@ def merge_corrections(
     stretched by the ratio of the events' intervals (held to 0.5..2). Absent in the correction
     means absent everywhere; a position outside the recording becomes absent. Units without a
     usable reviewed event stay as they were. Anchors and intervals come from the old positions.
+
+    What the master derives from positions follows them in the rows that change: ``<landmark>_ms``, ``qt_interval_ms`` (core onset to
+    last offset), ``qt_peak_ms`` (core onset to last peak), and ``<wave>_present`` where the correction states it. ``n_outside`` names
+    a column for the number of landmarks of a row that fell outside its recording.
     """
     core = lm.core_wave
     anchor = F.coalesce(F.col(core.onset), F.col(lm.anchor))
@@ -244,7 +249,8 @@ def merge_corrections(
     m = materialise(m)
     # Intervals are shorter than the recording, so a unit has few distinct ones.
     med = ordered_median(m, unit, "_rr0", "_med", upper=True, grain=None)
-    c = corrections.select(*unit, F.col(ev).alias("_cb"), *[F.col(x).alias(f"_c_{x}") for x in lm.order])
+    stated = [f"{w.name}_present" for w in lm.waves if f"{w.name}_present" in master.columns and f"{w.name}_present" in corrections.columns]
+    c = corrections.select(*unit, F.col(ev).alias("_cb"), *[F.col(x).alias(f"_c_{x}") for x in [*lm.order, *stated]])
     m = m.join(med, unit, "left").withColumn("_rr", F.coalesce("_rr0", "_med")).join(c.withColumn("_has", F.lit(True)), unit, "left")
     same = F.coalesce(F.col(ev) == F.col("_cb"), F.lit(False))
     dist = F.abs(F.col("_a") - F.col(f"_c_{core.onset}"))
@@ -259,19 +265,32 @@ def merge_corrections(
     )
     scale = F.when(F.col("_rr").isNull() | base.isNull(), F.lit(1.0)).otherwise(scale)
     new = {}
+    outside = F.lit(0)
     for x in lm.order:
         v = F.col(f"_c_{x}")
         moved = half_even(off + shift + (v - off) * scale).cast("bigint") if x in late else v + shift
-        inside = F.when((moved >= 0) & (moved <= F.col(n_samples) - 1), moved)
-        new[x] = F.when(act, inside).otherwise(F.col(x))
+        within = (moved >= 0) & (moved <= F.col(n_samples) - 1)
+        new[x] = F.when(act, F.when(within, moved)).otherwise(F.col(x))
+        outside = outside + F.when(act & ~within, 1).otherwise(0)
+    last = lm.waves[-1]
+    spans = {"qt_interval_ms": (last.offset, core.onset), "qt_peak_ms": (last.peaks[-1] if last.peaks else last.offset, core.onset)}
+    derived = {f"{x}_ms": samples_to_ms(x, F.col(fs)) for x in lm.order} | {n: samples_to_ms(F.col(a) - F.col(b), F.col(fs)) for n, (a, b) in spans.items()}
+    derived = {n: F.when(F.col("_act"), v).otherwise(F.col(n)) for n, v in derived.items() if n in master.columns}
+    derived |= {n: F.when(F.col("_act"), F.coalesce(F.col(f"_c_{n}").cast(dict(master.dtypes)[n]), F.col(n))).otherwise(F.col(n)) for n in stated}
     source = F.when(act, F.lit("manual_corrected"))
     quality = F.when(act & (F.col(ev) == F.col("_rep.id")), "corrected").when(act, "propagated")
     keep = {"label_source": source, "label_quality": quality}
     for n, e in keep.items():
         if n in master.columns:
             keep[n] = F.coalesce(e, F.col(n))
-    out = m.withColumns(new | keep)
-    return out.select(*master.columns, *[n for n in keep if n not in master.columns])
+    extra = {n_outside: outside} if n_outside else {}
+    out = m.withColumns(new | keep | extra | {"_act": act}).withColumns(derived)
+    return out.select(*master.columns, *[n for n in keep if n not in master.columns], *extra)
+
+
+def unmatched_corrections(master: DataFrame, corrections: DataFrame, keys: Keys = KEYS) -> DataFrame:
+    """Corrections of units that the master does not have."""
+    return corrections.join(master.select(*keys.unit).distinct(), keys.unit, "left_anti")
 
 
 def apply_exclusions(tables: Mapping[str, DataFrame], excluded: DataFrame, key: str = "record_id") -> dict[str, DataFrame]:

@@ -367,8 +367,7 @@ def _moved_sql(c: str) -> str:
     return f"(c.{c} + a - a0)"
 
 
-@query(
-    "merge_corrections",
+MERGE_SQL = (
     f"""WITH {LAST_SQL}, m0 AS (SELECT *, coalesce(qrs_onset, r_peak) AS a FROM beats),
     m1 AS (SELECT *, nullif(lead(a) OVER (PARTITION BY record_id, lead ORDER BY beat_id) - a, 0) AS rr0 FROM m0),
     md AS (SELECT record_id, lead, list_extract(list(rr0 ORDER BY rr0) FILTER (rr0 IS NOT NULL),
@@ -379,8 +378,11 @@ def _moved_sql(c: str) -> str:
     j AS (SELECT m.*, rep, a0, least(2.0, greatest(0.5, coalesce(rr / rr_rep, 1.0))) AS sc FROM m2 m LEFT JOIN rp ON m.record_id = rp.record_id AND m.lead = rp.lead)
     SELECT j.record_id, j.lead, j.beat_id, CASE WHEN rep IS NULL THEN NULL WHEN rep = j.beat_id THEN 'corrected' ELSE 'propagated' END AS label_quality, """
     + ", ".join(f"CASE WHEN rep IS NULL THEN j.{c} WHEN {_moved_sql(c)} BETWEEN 0 AND n_samples - 1 THEN {_moved_sql(c)} END AS {c}" for c in LM)
-    + " FROM j LEFT JOIN rev c ON j.record_id = c.record_id AND j.lead = c.lead",
+    + " FROM j LEFT JOIN rev c ON j.record_id = c.record_id AND j.lead = c.lead"
 )
+
+
+@query("merge_corrections", MERGE_SQL)
 def merge_corrections(spark, sf):
     b = materialise(beats(spark, sf))
     u = keep_first(b, ["record_id", "lead"], ["beat_id"])
@@ -389,6 +391,26 @@ def merge_corrections(spark, sf):
     return out.select("record_id", "lead", "beat_id", "label_quality", *LM)
 
 
+@query(
+    "merge_corrections_derived",
+    MERGE_SQL.replace("\n    SELECT j.record_id, j.lead, j.beat_id, CASE WHEN rep IS NULL THEN NULL WHEN rep = j.beat_id THEN 'corrected' ELSE 'propagated' END AS label_quality",
+                            ",\n    m9 AS (SELECT j.record_id, j.lead, j.beat_id, rep IS NOT NULL AS act, j.n_samples").replace(" FROM j LEFT JOIN rev c ON j.record_id = c.record_id AND j.lead = c.lead", ", "
+    + " + ".join(f"CASE WHEN rep IS NOT NULL AND c.{c} IS NOT NULL AND {_moved_sql(c)} IS NOT NULL AND NOT {_moved_sql(c)} BETWEEN 0 AND n_samples - 1 THEN 1 ELSE 0 END" for c in LM)
+    + """ AS n_outside FROM j LEFT JOIN rev c ON j.record_id = c.record_id AND j.lead = c.lead)
+    SELECT record_id, lead, beat_id, CAST(n_outside AS INTEGER) AS n_outside, """ + ", ".join(f"CASE WHEN act THEN round({c}*2.0::DOUBLE, 3) ELSE -1.0::DOUBLE END AS {c}_ms" for c in LM)
+    + ", CASE WHEN act THEN round((t_offset - qrs_onset)*2.0::DOUBLE, 3) ELSE -1.0::DOUBLE END AS qt_interval_ms, CASE WHEN act THEN round((t_peak - qrs_onset)*2.0::DOUBLE, 3) ELSE -1.0::DOUBLE END AS qt_peak_ms FROM m9"),
+)
+def merge_corrections_derived(spark, sf):
+    """The master's stale derived columns (here -1) follow the corrected positions."""
+    b = materialise(beats(spark, sf))
+    u = keep_first(b, ["record_id", "lead"], ["beat_id"])
+    last = review.latest_corrections(correction_feed(spark, sf, u))
+    names = [*[f"{c}_ms" for c in LM], "qt_interval_ms", "qt_peak_ms"]
+    stale = b.drop("edited_at").withColumns({n: F.lit(-1.0) for n in names} | {"fs_hz": F.lit(500.0)})
+    out = review.merge_corrections(stale, last, n_outside="n_outside")
+    return out.select("record_id", "lead", "beat_id", "n_outside", *[F.round(n, 3).alias(n) for n in names])
+
+
 @query("latest_corrections", f"WITH {LAST_SQL} SELECT record_id, lead, beat_id, epoch_us(edited_at) AS edited_us, r_peak, q_peak FROM rev")
 def latest_corrections(spark, sf):
     from .fixtures import micros
