@@ -18,6 +18,7 @@ HEADLINE = [
     "rr_intervals", "event_windows", "sync_intervals", "boundary_driver_audit", "all_units_worklist", "corrector_batches", "merge_corrections",
     "fit_offsets", "apply_offsets", "stratified_folds", "cut_windows", "confusion_metrics", "landmark_errors", "cluster_bootstrap_record_mean",
     "per_signal_median", "kde_grid", "event_consensus", "spatial_magnitude", "boundaries_5pct", "mode_filter", "landmarks_from_labels",
+    "validate_offsets", "crossvalidate_offsets", "compare_systems", "quantile_match_table", "template_average", "rule_based_landmarks", "short_intervals_dropped",
 ]
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +34,8 @@ def write_batches(df: DataFrame, path: str, batch: str = "batch", fmt: str = "cs
 def write_versioned(df: DataFrame, root: str, write: bool = True) -> str | None:
     """Write ``root/v-<id>`` and append it to the version log; readers take the log's last entry.
 
-    The earlier versions stay, so a reader of the old table is never disturbed.
+    The earlier versions stay, so a reader of the old table is never disturbed. A version's log entry is a file of its own that is only
+    ever created: of two writers that take the same number, the later one fails and its table is not named.
     """
     if not write:
         return None
@@ -41,11 +44,23 @@ def write_versioned(df: DataFrame, root: str, write: bool = True) -> str | None:
     number = (log.agg(F.max("version")).collect()[0][0] or 0) + 1
     path = f"{root}/v-{number:06d}-{uuid.uuid4().hex[:8]}"
     df.write.mode("errorifexists").parquet(path)
-    entry = spark.createDataFrame([(number, path)], "version long, path string")
-    entry.coalesce(1).write.mode("append").json(f"{root}/_versions")
+    _name_version(spark, root, number, path)
     return path
 
 
+def _name_version(spark: SparkSession, root: str, number: int, path: str) -> None:
+    entry = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/_versions/v-{number:06d}.json")
+    fs = entry.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        out = fs.create(entry, False)
+    except Py4JJavaError as e:
+        raise RuntimeError(f"version {number} of {root} was taken by another writer") from e
+    try:
+        out.writeBytes(json.dumps({"version": number, "path": path}) + "\n")
+    finally:
+        out.close()
+
+
 def versions(spark: SparkSession, root: str) -> DataFrame:
     schema = "version long, path string"
     jvm = spark.sparkContext._jvm
