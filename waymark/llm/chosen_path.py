@@ -4,7 +4,7 @@ Each note's set of shingles is embedded as ``WIDTH`` sampled tokens: the first t
 share a sampled token with a probability equal to their Jaccard similarity. A run splits all notes by one sampled token, splits what is still
 large by the next one, and so on; a bucket of at most ``bucket`` notes is compared as a whole. A large bucket that a split hardly divides holds
 notes that are alike; it is compared in blocks. Runs with other tokens are added until the expected recall for pairs exactly at the threshold
-reaches the target; they pass over buckets whose notes are already known to belong together.
+reaches the target.
 
 What comes out are candidate groups. Inside a group every pair is then compared exactly, in blocks, without writing pairs out.
 """
@@ -23,6 +23,7 @@ from .components import components
 from .words import Words, distinct_per_row, shingles, slices
 
 WIDTH = 64
+RUNS = 5
 MORE_RUNS = 4
 DEPTH = 6
 BLOCK = 1024
@@ -138,19 +139,14 @@ def candidate_groups(sk: DataFrame, similarity: float, recall: float, bucket: in
     least = int(np.floor(WIDTH * (similarity - 3.5 * spread)))
     packed = F.unhex(F.array_join(F.transform("tokens", lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0")), ""))
     by_depth: dict[int, int] = {}
-    found, done, wanted = None, 0, 1
+    edges, done, wanted = None, 0, RUNS
     while True:
-        paths = _paths(sk, done, wanted)
-        if found is not None:
-            paths = paths.join(found.select("node", "component"), "node", "left").withColumn("own", F.coalesce("component", "node")).drop("component")
-        else:
-            paths = paths.withColumn("own", F.col("node"))
-        paths = materialise(paths)
+        paths = materialise(_paths(sk, done, wanted))
         parts: list[DataFrame] = []
         active = paths
         for level in range(1, DEPTH + 1):
             here = f"p{level}"
-            sizes = materialise(active.groupBy(here).agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("lo"), F.max("own").alias("hi")).filter("n > 1 and lo <> hi").select(here, "n"))
+            sizes = materialise(active.groupBy(here).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
             small = active.select(here, "node").join(sizes.filter(F.col("n") <= bucket).select(here), here, "left_semi")
             parts.append(small.select(F.col(here).alias("path"), "node", F.lit(1).alias("nb"), F.lit(level).alias("level")))
             large = sizes.filter(F.col("n") > bucket)
@@ -173,15 +169,13 @@ def candidate_groups(sk: DataFrame, similarity: float, recall: float, bucket: in
         for r in held.groupBy("level").count().collect():  # at most DEPTH rows
             by_depth[r[0]] = by_depth.get(r[0], 0) + r[1]
         with_tokens = _in_blocks(held.join(sk.select("node", packed.alias("tokens")), "node"), "path", "nb", "tokens")
-        edges = _alike(with_tokens.select("grp", "tokens", "node").repartition("grp").sortWithinPartitions("grp"), least)
-        if found is not None:
-            edges = edges.unionAll(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        found = materialise(components(edges))
+        new = materialise(_alike(with_tokens.select("grp", "tokens", "node").repartition("grp").sortWithinPartitions("grp"), least))
+        edges = new if edges is None else edges.unionAll(new)
         done = wanted
         total = sum(by_depth.values())
         expected = sum(n * (1 - (1 - similarity**d) ** done) for d, n in by_depth.items()) / total if total else 1.0
         if expected >= recall:
-            return found
+            return materialise(components(edges))
         wanted += MORE_RUNS
 
 
@@ -214,25 +208,28 @@ def _exact(side: np.ndarray, values: np.ndarray, starts: np.ndarray, similarity:
 
 
 def _verify(rows: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(node, n_links, other): exact links of every note in its block pair. ``rows``: (grp, notes, cross, side, node) sorted by grp."""
+    """(node, n_links, other, many): exact links of every note in its block pair. ``rows``: (grp, notes, cross, side, node, many) sorted by grp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, 1):
             t = t.combine_chunks()
             v, s = shingles(Words(t.column("notes").combine_chunks()), k)
-            g, cross, side, node = (t.column(c).to_numpy() for c in ("grp", "cross", "side", "node"))
-            ids, links, other = [], [], []
+            g, cross, side, node, many = (t.column(c).to_numpy() for c in ("grp", "cross", "side", "node", "many"))
+            ids, links, other, parts = [], [], [], []
             for i, j in _cuts(g):
                 # a note's own block is sent once to each pair, so a pair of different blocks is marked by any of its rows
                 n, root = _exact(side[i:j], v[s[i] : s[j]], s[i : j + 1] - s[i], similarity, bool(cross[i]))
                 hit = np.flatnonzero(n)
                 ids.append(node[i:j][hit])
                 links.append(n[hit])
-                other.append(node[i:j][root[hit]])
+                first = np.full(j - i, np.iinfo(np.int64).max)
+                np.minimum.at(first, root, node[i:j])
+                other.append(first[root[hit]])
+                parts.append(many[i:j][hit])
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(links).astype(np.int64)), pa.array(np.concatenate(other))], names=["node", "n_links", "other"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(links).astype(np.int64)), pa.array(np.concatenate(other)), pa.array(np.concatenate(parts))], names=["node", "n_links", "other", "many"])
 
-    return rows.mapInArrow(run, "node long, n_links long, other long")
+    return rows.mapInArrow(run, "node long, n_links long, other long, many int")
 
 
 def linked_notes(notes: DataFrame, record_id: str = "record_id", text: str = "notes", shingle: int = 5, similarity: float = 0.8, recall: float = 0.99, bucket: int = 32) -> DataFrame:
@@ -257,10 +254,13 @@ def linked_notes(notes: DataFrame, record_id: str = "record_id", text: str = "no
     members = groups.withColumnRenamed("node", "record_id").join(texts.select(F.col("text_id").alias("record_id"), "key"), "record_id")
     held = materialise(whole.join(members, ["record_id", "key"]).dropDuplicates(["record_id", "key"]).select(F.col("record_id").alias("node"), "component", "notes"))
     sizes = held.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)), F.ceil(F.sum(F.octet_length("notes")) / F.lit(BLOCK_BYTES)), F.lit(1)).cast("int").alias("nb"))
-    spread = _in_blocks(held.join(sizes, "component"), "component", "nb", "notes").select("grp", "notes", "cross", F.col("blk").alias("side"), "node")
+    sized = held.join(sizes, "component").withColumn("many", (F.col("nb") > 1).cast("int"))
+    spread = _in_blocks(sized, "component", "nb", "notes", "many").select("grp", "notes", "cross", F.col("blk").alias("side"), "node", "many")
     spread = spread.repartition("grp").sortWithinPartitions("grp")
     links = materialise(_verify(spread, shingle, similarity))
-    classes = components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
+    # a group of one block has its classes already; those of several blocks meet in their edges
+    whole_groups = links.filter("many = 0").select("node", F.col("other").alias("component"))
+    classes = whole_groups.unionAll(components(links.filter("many = 1").select(F.col("node").alias("a"), F.col("other").alias("b"))))
     counts = links.groupBy("node").agg(F.sum("n_links").alias("n_links"))
     per_text = materialise(counts.join(classes, "node", "left"))
     out = keys.join(texts, "key", "left").join(per_text.withColumnRenamed("node", "text_id"), "text_id", "left")
