@@ -35,19 +35,18 @@ class SpanModel:
     score: np.ndarray
 
 
-def features(words: Words) -> np.ndarray:
-    """One row of hashed features per word; slot 0 of the table is unused and stands for "absent"."""
+def features(words: Words) -> Iterator[np.ndarray]:
+    """The hashed features of every word, one kind at a time; 0 stands for "absent"."""
     size = words.end - words.start
-    out = [words.hash]
+    yield words.hash
     for k, h, longer in words.prefixes(max(PREFIXES)):
         if k in PREFIXES:
-            out.append(np.where(longer, mix(h + np.uint64(k)), 0))
-    out.append(np.where(size > SUFFIX, mix(words.suffix(SUFFIX) + np.uint64(99)), 0))
-    return np.stack(out, axis=1)
+            yield np.where(longer, mix(h + np.uint64(k)), 0)
+    yield np.where(size > SUFFIX, mix(words.suffix(SUFFIX) + np.uint64(99)), 0)
 
 
 def _slot(f: np.ndarray) -> np.ndarray:
-    return np.where(f == 0, 0, (f >> np.uint64(64 - BITS)) | np.uint64(1)).astype(np.int64)
+    return np.where(f == 0, 0, (f >> np.uint64(64 - BITS)) | np.uint64(1)).astype(np.int32)
 
 
 def marginals(evidence: np.ndarray, first: np.ndarray, turn: np.ndarray, counts: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -108,13 +107,20 @@ def marginals(evidence: np.ndarray, first: np.ndarray, turn: np.ndarray, counts:
     return p, change
 
 
-def _word_labels(f: np.ndarray, row: np.ndarray, y: np.ndarray, gain: float, odds: float) -> np.ndarray:
+def _evidence(words: Words, weight: np.ndarray, bias: float) -> np.ndarray:
+    out = np.full(len(words.start), bias)
+    for f in features(words):
+        out += weight[_slot(f)]
+    return out
+
+
+def _word_labels(words: Words, row: np.ndarray, y: np.ndarray, gain: float, odds: float) -> np.ndarray:
     """1 for words of abusive notes that carry a telling feature."""
     n1, n0 = int(y.sum()), int((1 - y).sum())
-    marked = np.zeros(len(f), bool)
-    for c in range(f.shape[1]):
-        have = f[:, c] != 0
-        value, doc = f[have, c], row[have]
+    marked = np.zeros(len(row), bool)
+    for f in features(words):
+        have = f != 0
+        value, doc = f[have], row[have]
         _, once = np.unique(mix(value + mix(doc.astype(np.uint64))), return_index=True)
         value, doc = value[once], doc[once]
         value, where = np.unique(value, return_inverse=True)
@@ -125,7 +131,7 @@ def _word_labels(f: np.ndarray, row: np.ndarray, y: np.ndarray, gain: float, odd
             g = 2 * (np.where(pos > 0, pos * np.log(pos / e1), 0) + np.where(neg > 0, neg * np.log(neg / (pos + neg - e1)), 0))
         ratio = ((pos + 0.5) / (n1 + 1)) / ((neg + 0.5) / (n0 + 1))
         telling = value[(g >= gain) & (ratio >= odds)]
-        marked |= np.isin(f[:, c], telling)
+        marked |= np.isin(f, telling)
     return (marked & (y[row] == 1)).astype(float)
 
 
@@ -147,12 +153,10 @@ def train(notes: list[str | None], y: np.ndarray, base_rate: float, epochs: int
     """Fit the field by Adagrad on its log-likelihood and the note score by Newton steps; ``base_rate`` corrects the share of abusive notes in
     the sample."""
     words = Words(pa.array(notes, pa.string()))
-    f = features(words)
-    slot = _slot(f)
     row, first = words.row_of_word(), words.first
     y = np.asarray(y, float)
-    label = _word_labels(f, row, y, gain, odds)
-    del f
+    label = _word_labels(words, row, y, gain, odds)
+    slots = [_slot(f) for f in features(words)]
     w, bias, turn = np.zeros(1 << BITS), -4.0, np.zeros(2)
     gw, gb, gt = np.full(1 << BITS, 1e-2), 1e-2, np.full(2, 1e-2)
     prev = np.concatenate([[0.0], label[:-1]]) if len(label) else label
@@ -160,9 +164,14 @@ def train(notes: list[str | None], y: np.ndarray, base_rate: float, epochs: int
     truth = np.array([((1 - prev) * label).sum(), (prev * label).sum()])
     scale = max(1.0, label.sum())
     for _ in range(epochs if len(label) else 0):
-        p, change = marginals(w[slot].sum(1) + bias, first, turn)
+        ev = np.full(len(label), bias)
+        for s in slots:
+            ev += w[s]
+        p, change = marginals(ev, first, turn)
         d = (label - p) / scale
-        g = np.bincount(slot.ravel(), weights=np.repeat(d, slot.shape[1]), minlength=1 << BITS) - l2 * w
+        g = -l2 * w
+        for s in slots:
+            g += np.bincount(s, weights=d, minlength=1 << BITS)
         g[0] = 0
         gw += g * g
         w += rate * g / np.sqrt(gw)
@@ -173,7 +182,7 @@ def train(notes: list[str | None], y: np.ndarray, base_rate: float, epochs: int
         gt += t * t
         turn += rate * t / np.sqrt(gt)
     w[0] = 0
-    p, _ = marginals(w[slot].sum(1) + bias, first, turn, False)
+    p, _ = marginals(_evidence(words, w, bias), first, turn, False)
     x = _note_inputs(p, first)
     theta = _logistic(x, y)
     drawn = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
@@ -208,13 +217,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
 def apply(model: SpanModel, texts: pa.Array, least: float = 0.5) -> tuple[np.ndarray, list[list[dict]]]:
     """Scores and spans (code-point offsets, end exclusive) of notes."""
     words = Words(texts)
-    ev = np.full(len(words.start), model.bias)
-    size = words.end - words.start
-    ev += model.weight[_slot(words.hash)]
-    for k, h, longer in words.prefixes(max(PREFIXES)):
-        if k in PREFIXES:
-            ev += model.weight[_slot(np.where(longer, mix(h + np.uint64(k)), 0))]
-    ev += model.weight[_slot(np.where(size > SUFFIX, mix(words.suffix(SUFFIX) + np.uint64(99)), 0))]
+    ev = _evidence(words, model.weight, model.bias)
     p, _ = marginals(ev, words.first, model.turn, False)
     score = 1 / (1 + np.exp(-np.clip(_note_inputs(p, words.first) @ model.score, -30, 30)))
     hit = np.flatnonzero(p >= least)
