@@ -161,7 +161,7 @@ def candidate_groups(sk: DataFrame, similarity: float, recall: float, bucket: in
             else:
                 alike = active
             parts.append(alike.select(F.col(here).alias("path"), "node", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("nb"), F.lit(level).alias("level")))
-            active = active.drop("n")
+            active = materialise(active.drop("n"))
         held = parts[0]
         for x in parts[1:]:
             held = held.unionAll(x)
