@@ -180,6 +180,34 @@ def test_line_templates(spark):
     assert line_templates.recurring_lines(spark.createDataFrame([], NOTES)).count() == 0
 
 
+def plain(rng, n):
+    return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+
+
+@pytest.mark.parametrize("texts", [2, 5, 19])
+def test_lines_that_few_texts_share_recur_at_the_default(spark, texts):
+    rng = random.Random(texts)
+    passage, brief = plain(rng, 60), plain(rng, 5)
+    rows = [(i, "\n".join([plain(rng, 10), passage, brief, plain(rng, 3)])) for i in range(texts)]
+    rows += [(50 + i, plain(rng, 30)) for i in range(20)]
+    df = spark.createDataFrame(rows, NOTES)
+    got = {(r.record_id, r.place): (r.template, r.n_notes) for r in line_templates.recurring_lines(df).collect()}
+    want = {(i, 1): (passage, texts) for i in range(texts)}
+    if texts >= 3:
+        want |= {(i, 2): (brief, texts) for i in range(texts)}
+    assert got == want
+    left = {r.record_id: r.notes for r in line_templates.drop_recurring_lines(df).collect()}
+    assert passage in left[0] and all(passage not in left[i] for i in range(1, texts))
+    assert all(left[i] == t for i, t in rows if i >= 50)
+
+
+def test_lines_with_one_variable_word_recur_in_few_texts(spark):
+    rng = random.Random(8)
+    rows = [(i, plain(rng, 20) + f"\nThe notes were written by {plain(rng, 1)} of the same team") for i in range(4)]
+    got = line_templates.recurring_lines(spark.createDataFrame(rows, NOTES)).collect()
+    assert sorted((r.record_id, r.place, r.template, r.n_notes) for r in got) == [(i, 1, "The notes were written by <*> of the same team", 4) for i in range(4)]
+
+
 def test_differencing_is_tight_and_keeps_groups_whole(spark):
     rng = np.random.default_rng(1)
     sums = np.zeros((500, 7), np.int64)
