@@ -136,6 +136,32 @@ def test_leaks_equal_brute_force(spark):
     assert len({r[3] for r in want}) > 2
 
 
+def test_leaks_with_a_replaced_head_tail_or_block_are_found_at_the_threshold(spark):
+    rng = random.Random(12)
+    grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+    def similarity(x, y):
+        both = sum((grams(x) & grams(y)).values())
+        return both / (len(x) + len(y) - 8 - both)
+
+    gold, notes, want = [], [], {}
+    for g in range(90):
+        n = [100, 200, 400][g % 3]
+        x = words(rng, n, 3000).split()
+        gold.append((g, " ".join(x)))
+        for kind in range(3):
+            # as many words as leave a similarity of 0.8: a shingle that a replaced word touches is lost, so a block loses 4 more
+            cut = (n - 4) // 9 - (4 if kind == 2 else 0)
+            at = [0, n - cut, n // 2][kind]
+            y = x[:at] + words(rng, cut, 3000).split() + x[at + cut :]
+            notes.append((3 * g + kind, " ".join(y)))
+            want[3 * g + kind, g] = similarity(x, y)
+    assert all(0.8 <= s < 0.82 for s in want.values())
+    got = decontaminate.leaked_notes(spark.createDataFrame(notes, NOTES), spark.createDataFrame(gold, "gold_id long, notes string")).collect()
+    assert {(r.record_id, r.gold_id): round(r.similarity, 9) for r in got} == {k: round(s, 9) for k, s in want.items()}
+    assert sum(r.distance > 11 for r in got) > 5
+
+
 def test_multi_index_loses_no_fingerprint_within_the_radius():
     rng = np.random.default_rng(0)
     index = decontaminate.GoldIndex(list(range(30)), [words(random.Random(i), 20) for i in range(30)], 5, 0.8, 11)

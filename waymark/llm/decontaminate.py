@@ -2,7 +2,9 @@
 
 Every window of a note that is as long as a gold note gets a SimHash of its words. Fingerprints are looked up in a multi-index: 64 bits are cut
 into ``radius + 1`` blocks, and two fingerprints within ``radius`` agree on at least one block, so no fingerprint within the radius is missed.
-Candidates are then compared exactly: weighted Jaccard similarity of word shingles, a shingle's weight being how often it occurs.
+A similar window may lie beyond the radius, as no radius follows from the similarity: windows in which enough places hold a shingle of one gold
+note are candidates too, whatever their distance. Candidates are then compared exactly: weighted Jaccard similarity of word shingles, a shingle's
+weight being how often it occurs. The result does not depend on the radius.
 
 Windows that hold too few word pairs of the gold set to reach the similarity with any gold note are not fingerprinted. That bound is exact: every
 shared shingle begins with a pair of neighbouring words that some gold note has.
@@ -65,6 +67,12 @@ class GoldIndex:
         for x in self.words:
             s, n = np.unique(_window_shingles(x[None], shingle)[0], return_counts=True)
             self.shingles.append((s, n))
+        self.by_shingle = {}
+        for k in np.unique(np.minimum(self.size, shingle)).tolist():
+            own = np.flatnonzero(np.minimum(self.size, shingle) == k)
+            hashes, items = np.concatenate([self.shingles[i][0] for i in own]), np.repeat(own, [len(self.shingles[i][0]) for i in own])
+            order = np.argsort(hashes, kind="stable")
+            self.by_shingle[k] = hashes[order], items[order]
         edge = np.linspace(0, 64, radius + 2).astype(int)
         self.blocks = list(zip(edge[:-1], np.diff(edge), strict=True))
         self.tables = []
@@ -118,6 +126,36 @@ class GoldIndex:
             size.append(np.full(len(ok), s))
         return tuple(np.concatenate(x).astype(np.int64) for x in (start, length, size))
 
+    def sharing(self, w: Words, start: np.ndarray, length: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Window and gold note of every pair in which enough places of the window hold a shingle of that gold note.
+
+        A place counts however often its shingle occurs, so the count is never below the weighted overlap and no similar pair is missed.
+        """
+        share = self.similarity / (1 + self.similarity)
+        who, item = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k, (hashes, items) in self.by_shingle.items():
+            of_k = np.flatnonzero(np.minimum(length, self.shingle) == k)
+            if not len(of_k):
+                continue
+            of_k = of_k[np.argsort(start[of_k], kind="stable")]
+            n = len(w.hash) - k + 1
+            ends = start[of_k] + length[of_k] - k + 1
+            used = np.flatnonzero(np.cumsum(np.bincount(start[of_k], minlength=n + 1) - np.bincount(ends, minlength=n + 1))[:n] > 0)
+            h = _window_shingles(w.hash[used[:, None] + np.arange(k)], k)[:, 0]
+            lo, hi = np.searchsorted(hashes, h), np.searchsorted(hashes, h, side="right")
+            many = hi - lo
+            entry = np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+            place, owner = np.repeat(used, many), items[entry]
+            order = np.argsort(owner, kind="stable")  # places stay in order inside each gold note
+            place, owner = place[order], owner[order]
+            for i, p in zip(owner[np.flatnonzero(np.diff(owner, prepend=-1))], np.split(place, np.flatnonzero(np.diff(owner)) + 1), strict=False):
+                own = of_k[size[of_k] == self.size[i]]
+                held = np.searchsorted(p, start[own] + length[own] - k + 1) - np.searchsorted(p, start[own])
+                own = own[held >= share * (length[own] - k + 1 + self.n_shingles(self.size[i])) - 1e-6]
+                who.append(own)
+                item.append(np.full(len(own), i))
+        return np.concatenate(who), np.concatenate(item)
+
     def search(self, w: Words) -> dict[str, np.ndarray]:
         """The best window of each (note, gold note) pair that is similar enough."""
         start, length, size = self.windows(w) if len(self.ids) and len(w.hash) else (np.zeros(0, np.int64),) * 3
@@ -155,7 +193,8 @@ class GoldIndex:
             near = np.bitwise_count(prints[hit] ^ self.print[c]) <= self.radius
             who.append(hit[near])
             item.append(c[near])
-        pair = np.unique(np.concatenate(who) * len(self.ids) + np.concatenate(item))
+        far_who, far_item = self.sharing(w, start, length, size)
+        pair = np.unique(np.concatenate([*who, far_who]) * len(self.ids) + np.concatenate([*item, far_item]))
         who, item = pair // len(self.ids), pair % len(self.ids)
         sim = np.zeros(len(who))
         by = np.lexsort((length[who], item))
