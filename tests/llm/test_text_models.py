@@ -122,6 +122,30 @@ def test_pseudo_likelihood_learns_from_both_sides(spark):
     assert pseudo_likelihood.note_likelihoods(spark.createDataFrame([], NOTES)).count() == 0
 
 
+def test_rare_words_are_scored_by_spelling_and_the_vocabulary_grows(spark):
+    rng = random.Random(4)
+    known = [f"k{i}" for i in range(992)]
+    usual = lambda: "".join(rng.choice(["ba", "na", "ta"]) for _ in range(4))
+    rows = [(i, " ".join([*known, *known, *(usual() for _ in range(30))])) for i in range(4)]
+    # rare in the corpus, all of them; one is spelled as rare words are, one is not
+    rows += [(10, " ".join(["k1", "k2", "banatana", "k3", "k4"])), (11, " ".join(["k1", "k2", "zqxjvwqz", "k3", "k4"]))]
+    by = {r.record_id: r.log_likelihood for r in pseudo_likelihood.note_likelihoods(spark.createDataFrame(rows, NOTES)).collect()}
+    assert by[10] > by[11] + 5
+    assert pseudo_likelihood.side_for(10**6) == 32 and pseudo_likelihood.side_for(4 * 10**6) == 64 and pseudo_likelihood.side_for(135 * 10**6) == 128
+
+
+def test_spelling_probabilities_sum_to_one():
+    w = Words(pa.array(["ab a b? ba", "aab", None]))
+    s = pseudo_likelihood.Spelling(pseudo_likelihood.pair_counts(w, np.arange(5)))
+    step = np.exp(s.log)
+    reach, done = step[0].copy(), 0.0
+    for _ in range(2000):
+        done += reach @ step[:, 0]
+        reach = reach @ np.where(np.arange(256) > 0, step, 0)
+    assert abs(done - 1) < 1e-6
+    assert np.allclose(s.log_probs(w)[[0, 4]], [s.log[0, 97] + s.log[97, 98] + s.log[98, 0], s.log[0, 97] + s.log[97, 97] + s.log[97, 98] + s.log[98, 0]])
+
+
 def test_network_probabilities_sum_to_one():
     net = pseudo_likelihood.Network(1)
     x = np.array([[1, 2, 3, 1024]], np.int32)

@@ -1,12 +1,15 @@
 """Pseudo-likelihood of notes under a masked bidirectional window network.
 
 Every word of a note is hidden in turn and predicted from the two words before it and the two after it. The network embeds the context words (one
-table per place), adds them up, squashes the sum and predicts the hidden word's class, then the word inside its class; there are ``SIDE`` classes
-of ``SIDE`` words. The vocabulary is the corpus's most frequent words, counted over all notes; rarer words share the last class by a hash.
-
-Training windows are drawn from all notes at a rate that puts the same number on each of ``shards`` trainers per pass, at least; every trainer
-fits the network in NumPy on its own windows, and after each pass the trainers' weights are averaged. The summed log-probabilities of a note's words given
-their surroundings are its score.
+table per place), adds them up, squashes the sum and predicts the hidden word's class, then the word inside its class; there are ``side`` classes
+of ``side`` words. The vocabulary is the corpus's most frequent words, counted over all notes, and grows with them: ``side`` is at least the
+fourth root of the number of words. A rarer word's probability is that of the last class times that of its spelling, a chain of byte pairs
+counted over all rare words, so that all words together have probability 1 at most (the chain also spells frequent words). As surroundings,
+rare words are told apart by a hash of ``side`` values.
+
+The words of all notes train the network: notes are dealt to trainers by a hash, every trainer fits the network in NumPy on the windows of its own
+notes, and after each pass the trainers' weights are averaged. The summed log-probabilities of a note's words given their surroundings are its
+score.
 """
 
 from __future__ import annotations
@@ -19,13 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .words import Words, mix, slices
+from .words import _WORD, Words, mix, slices
 
 SIDE = 32
 SIZE = SIDE * SIDE
-RARE = SIDE
 REACH = (-2, -1, 1, 2)
-EDGE = SIZE
 DIM = 32
 PASS_ROWS = 4096
 
@@ -35,22 +36,23 @@ class Network:
 
     NAMES = ("context", "lean", "cls", "cls_b", "mem", "mem_b", "tilt")
 
-    def __init__(self, seed: int = 5):
+    def __init__(self, seed: int = 5, side: int = SIDE):
         rng = np.random.default_rng(seed)
-        self.context = rng.normal(0, 0.1, (len(REACH), SIZE + 1, DIM)).astype(np.float32)
+        self.side = side
+        self.context = rng.normal(0, 0.1, (len(REACH), side * side + 1, DIM)).astype(np.float32)
         self.lean = np.zeros(DIM, np.float32)
-        self.cls = rng.normal(0, 0.1, (DIM, SIDE)).astype(np.float32)
-        self.cls_b = np.zeros(SIDE, np.float32)
-        self.mem = rng.normal(0, 0.1, (DIM, SIDE)).astype(np.float32)
-        self.mem_b = np.zeros((SIDE, SIDE), np.float32)
-        self.tilt = np.zeros((SIDE, DIM), np.float32)
+        self.cls = rng.normal(0, 0.1, (DIM, side)).astype(np.float32)
+        self.cls_b = np.zeros(side, np.float32)
+        self.mem = rng.normal(0, 0.1, (DIM, side)).astype(np.float32)
+        self.mem_b = np.zeros((side, side), np.float32)
+        self.tilt = np.zeros((side, DIM), np.float32)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
 
     @classmethod
-    def of(cls, flat: np.ndarray) -> "Network":
-        net, at = cls(), 0
+    def of(cls, flat: np.ndarray, side: int = SIDE) -> "Network":
+        net, at = cls(side=side), 0
         for n in cls.NAMES:
             a = getattr(net, n)
             setattr(net, n, flat[at : at + a.size].reshape(a.shape).astype(np.float32))
@@ -63,24 +65,26 @@ class Network:
             h += self.context[i][context[:, i]]
         return np.tanh(h, out=h)
 
-    def log_probs(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """log P(word | context) of every row."""
+    def log_probs(self, context: np.ndarray, word: np.ndarray, spelled: np.ndarray | None = None) -> np.ndarray:
+        """log P(word | context) of every row; with ``spelled``, its value stands for the member of the last class."""
         h = self.hidden(context)
-        c, m = word // SIDE, word % SIDE
+        c, m = word // self.side, word % self.side
         z = h @ self.cls + self.cls_b
         at = np.arange(len(word))
         out = z[at, c] - _log_sum(z)
         h += self.tilt[c]
         z = h @ self.mem
         z += self.mem_b[c]
-        return out + z[at, m] - _log_sum(z)
+        member = z[at, m]
+        member = member - _log_sum(z)
+        return out + (member if spelled is None else np.where(c == self.side - 1, spelled, member))
 
     def fit(self, context: np.ndarray, word: np.ndarray, rate: float = 0.25, batch: int = 256) -> None:
         """One pass of stochastic gradient descent."""
         for lo in range(0, len(word), batch):
             x, w = context[lo : lo + batch], word[lo : lo + batch]
             n, at = len(w), np.arange(len(w))
-            c, m = w // SIDE, w % SIDE
+            c, m = w // self.side, w % self.side
             h = self.hidden(x)
             p = _soft(h @ self.cls + self.cls_b)
             p[at, c] -= 1
@@ -113,18 +117,27 @@ def _log_sum(z: np.ndarray) -> np.ndarray:
     return np.log(z.sum(1)) + top
 
 
+def side_for(n_words: int) -> int:
+    """Classes, and words in a class, for a corpus of so many words: the power of two at or above their fourth root, at least ``SIDE``."""
+    side = SIDE
+    while side**4 < n_words:
+        side *= 2
+    return side
+
+
 class Vocabulary:
     """Word hashes by rank; a rare word's number is in the last class, by its hash."""
 
-    def __init__(self, hashes: np.ndarray):
-        keep = hashes[: SIZE - RARE].astype(np.uint64)
+    def __init__(self, hashes: np.ndarray, side: int = SIDE):
+        self.side, self.known = side, side * side - side
+        keep = hashes[: self.known].astype(np.uint64)
         order = np.argsort(keep)
         self.hash, self.number = keep[order], order.astype(np.int32)
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.hash >> np.uint64(44)).astype(np.int64)] = True
 
     def numbers(self, h: np.ndarray) -> np.ndarray:
-        out = (SIZE - RARE + (h % np.uint64(RARE)).astype(np.int64)).astype(np.int32)
+        out = (self.known + (h % np.uint64(self.side)).astype(np.int64)).astype(np.int32)
         at = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
         if len(at) and len(self.hash):
             place = np.minimum(np.searchsorted(self.hash, h[at]), len(self.hash) - 1)
@@ -133,7 +146,36 @@ class Vocabulary:
         return out
 
 
-def contexts(number: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _before(w: Words) -> np.ndarray:
+    """The byte before every byte; 0 before a word."""
+    before = np.concatenate([np.zeros(min(1, len(w.buf)), np.uint8), w.buf[:-1]])
+    before[w.start] = 0
+    return before
+
+
+def pair_counts(w: Words, chosen: np.ndarray) -> np.ndarray:
+    """How often a byte follows another in the chosen words, 256 x 256; byte 0 is the border of a word."""
+    inside = np.cumsum(np.bincount(w.start[chosen], minlength=len(w.buf) + 1) - np.bincount(w.end[chosen], minlength=len(w.buf) + 1))[:-1] > 0
+    pair = np.concatenate([_before(w)[inside].astype(np.int64) * 256 + w.buf[inside], w.buf[w.end[chosen] - 1].astype(np.int64) * 256])
+    return np.bincount(pair, minlength=1 << 16)
+
+
+class Spelling:
+    """P(word) as a chain of byte pairs; over all words the probabilities add up to 1."""
+
+    def __init__(self, counts: np.ndarray):
+        may = np.append(True, _WORD[1:])
+        p = np.where(may, counts.reshape(256, 256) + 0.01, 0.0)
+        p[0, 0] = 0  # no word is empty
+        with np.errstate(divide="ignore"):
+            self.log = np.log(p / p.sum(1, keepdims=True))
+
+    def log_probs(self, w: Words) -> np.ndarray:
+        run = np.concatenate([[0.0], np.cumsum(np.where(_WORD[w.buf], self.log[_before(w), w.buf], 0.0))])
+        return run[w.end] - run[w.start] + self.log[w.buf[w.end - 1], 0]
+
+
+def contexts(number: np.ndarray, first: np.ndarray, at: np.ndarray, edge: int) -> np.ndarray:
     """The numbers around the words at ``at``; beyond a note's ends is the edge mark."""
     row = np.searchsorted(first, at, side="right") - 1
     lo, hi = first[row], first[row + 1]
@@ -141,7 +183,7 @@ def contexts(number: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarra
     for i, d in enumerate(REACH):
         x = at + d
         ok = (x >= lo) & (x < hi)
-        out[:, i] = np.where(ok, number[np.where(ok, x, 0)], EDGE)
+        out[:, i] = np.where(ok, number[np.where(ok, x, 0)], edge)
     return out
 
 
@@ -156,86 +198,96 @@ def word_counts(notes: DataFrame) -> DataFrame:
     return notes.select("notes").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def training_windows(notes: DataFrame, vocab: Vocabulary, share: float, seed: int) -> DataFrame:
-    """(word, context, draw): every word's window, kept with probability ``share`` by a hash of its note's words around it and its place."""
-    limit = int(share * 2**32)
+def rare_pairs(notes: DataFrame, vocab: Vocabulary) -> np.ndarray:
+    """Byte pairs of all rare words of the corpus, counted: at most 65,536 rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16, np.int64)
         for b in slices(batches, 0):
             w = Words(b.column(0))
-            place = np.arange(len(w.hash)) - w.first[w.row_of_word()]
-            draw = mix(w.hash + mix(place.astype(np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15)))
-            at = np.flatnonzero((draw >> np.uint64(32)) < limit)
-            number = vocab.numbers(w.hash)
-            x = contexts(number, w.first, at)
-            packed = np.ascontiguousarray(np.concatenate([number[at, None], x], axis=1).astype(np.int16))
-            width = packed.shape[1] * 2
-            rows = pa.Array.from_buffers(pa.binary(width), len(at), [None, pa.py_buffer(packed.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array((draw[at] & np.uint64(0x7FFFFFFF)).astype(np.int64)), rows], names=["draw", "window"])
+            total += pair_counts(w, np.flatnonzero(vocab.numbers(w.hash) >= vocab.known))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
 
-    return notes.select("notes").mapInArrow(run, "draw long, window binary")
+    out = np.zeros(1 << 16)
+    for r in notes.select("notes").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        out[r[0]] = r[1]
+    return out
 
 
-def note_likelihoods(notes: DataFrame, record_id: str = "record_id", text: str = "notes", share: float = 0.02, passes: int = 2, shard_windows: int = 200_000, seed: int = 5) -> DataFrame:
+def note_likelihoods(notes: DataFrame, record_id: str = "record_id", text: str = "notes", share: float = 1.0, passes: int = 2, shard_windows: int = 200_000, seed: int = 5) -> DataFrame:
     """Score every whole note by the pseudo-log-likelihood of its words.
 
     Returns ``record_id``, ``n_words``, ``log_likelihood`` (sum over words of log P(word | words around it); 0 for a note without words) and
-    ``per_word`` (its mean, null without words). ``share`` of all windows of the corpus train the network, dealt to trainers of about
-    ``shard_windows`` windows each, so the training set grows with the corpus; each of ``passes`` passes ends with an average of all trainers' weights,
+    ``per_word`` (its mean, null without words). All windows of the corpus (with ``share`` below 1, a part drawn by note
+    id, word and place) train the network, note by note dealt to trainers of about ``shard_windows`` windows each, or four for each weight if that is more; each of ``passes`` passes ends with an average of all trainers' weights,
     weighted by their windows.
 
     Null and empty notes have no words. Repeated rows are scored each for itself; a null id stays null. Without any word in the corpus all
-    scores are 0. Other columns are not read. Rare words count as one of the rare class's places.
+    scores are 0. Other columns are not read. Rare words are scored by their spelling.
     """
     src = notes.select(F.col(record_id).cast("long").alias("record_id"), F.col(text).cast("string").alias("notes"))
     counts = materialise(word_counts(src))
-    top = [r[0] for r in counts.orderBy(F.col("n").desc(), "word").limit(SIZE - RARE).collect()]  # at most SIZE rows
-    vocab = Vocabulary(np.array(top, np.int64).view(np.uint64))
-    windows = materialise(training_windows(src, vocab, share, seed))
-    n = windows.count()
-    shards = max(1, -(-n // shard_windows))
-    net = Network(seed)
+    n = counts.agg(F.sum("n")).first()[0] or 0
+    side = side_for(n)
+    top = [r[0] for r in counts.orderBy(F.col("n").desc(), "word").limit(side * side - side).collect()]  # the square root of the number of words
+    vocab = Vocabulary(np.array(top, np.int64).view(np.uint64), side)
+    spelling = Spelling(rare_pairs(src, vocab))
+    net = Network(seed, side)
     size = len(net.flat())
+    shards = max(1, -(-int(n * share) // max(shard_windows, 4 * size)))
+    limit = int(share * 2**32)
     for turn in range(passes if n else 0):
         now = net.flat()
 
         def fit(batches: Iterator[pa.RecordBatch], now: np.ndarray = now, turn: int = turn) -> Iterator[pa.RecordBatch]:
-            own, seen = Network.of(now), 0
-            for b in batches:
-                x = np.frombuffer(b"".join(b.column(0).to_pylist()), np.int16).reshape(-1, 1 + len(REACH)).astype(np.int32)
-                x = x[np.random.default_rng(seed + turn).permutation(len(x))]
-                own.fit(x[:, 1:], x[:, 0], 0.25 / (1 + turn))
-                seen += len(x)
+            own, seen = Network.of(now, side), 0
+            for b in slices(batches):
+                w = Words(b.column(1))
+                number = vocab.numbers(w.hash)
+                at = np.random.default_rng(seed + turn).permutation(len(number))
+                if share < 1:
+                    row = w.row_of_word()
+                    note = b.column(0).fill_null(-1).to_numpy().astype(np.int64).view(np.uint64)[row]
+                    draw = mix(w.hash + mix(note + mix((np.arange(len(row)) - w.first[row]).astype(np.uint64) + np.uint64(seed))))
+                    at = at[(draw[at] >> np.uint64(32)) < limit]
+                for lo in range(0, len(at), 1 << 16):
+                    part = at[lo : lo + (1 << 16)]
+                    own.fit(contexts(number, w.first, part, side * side), number[part], 0.25 / (1 + turn))
+                seen += len(at)
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([(own.flat().astype(np.float64) * seen).tobytes()], pa.binary())], names=["n", "weights"])
+                yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([own.flat().tobytes()], pa.binary())], names=["n", "weights"])
 
         def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, seen = np.zeros(size), 0
             for b in batches:
                 for i in range(b.num_rows):
-                    total += np.frombuffer(b.column(1)[i].as_py())
-                    seen += b.column(0)[i].as_py()
+                    k = b.column(0)[i].as_py()
+                    total += np.frombuffer(b.column(1)[i].as_py(), np.float32) * float(k)
+                    seen += k
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["n", "weights"])
 
-        fitted = windows.repartition(shards, F.xxhash64("draw", F.lit(turn))).sortWithinPartitions(F.xxhash64("draw", F.lit(turn)), "window").select("window").mapInArrow(fit, "n long, weights binary")
+        order = F.xxhash64("record_id", "notes", F.lit(turn))
+        fitted = src.filter("notes is not null").repartition(shards, order).sortWithinPartitions(order, "record_id", "notes").mapInArrow(fit, "n long, weights binary")
         groups = max(1, int(np.sqrt(shards)))
         sums = fitted.repartition(groups).mapInArrow(add_up, "n long, weights binary").filter("n > 0")
         total, seen = np.zeros(size), 0
         for r in sums.toLocalIterator():  # the square root of the number of trainers, one network each
             total += np.frombuffer(bytes(r[1]))
             seen += r[0]
-        net = Network.of((total / max(seen, 1)).astype(np.float32))
+        net = Network.of((total / max(seen, 1)).astype(np.float32), side)
     weights = net.flat()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Network.of(weights)
+        own = Network.of(weights, side)
         for b in slices(batches):
             w = Words(b.column(1))
             number = vocab.numbers(w.hash)
+            spelled = spelling.log_probs(w)
             lp = np.empty(len(number))
             for lo in range(0, len(number), PASS_ROWS):
                 at = np.arange(lo, min(lo + PASS_ROWS, len(number)))
-                lp[at] = own.log_probs(contexts(number, w.first, at), number[at])
+                lp[at] = own.log_probs(contexts(number, w.first, at, side * side), number[at], spelled[at])
             run = np.concatenate([[0.0], np.cumsum(lp)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w.count.astype(np.int64)), pa.array(run[w.first[1:]] - run[w.first[:-1]])], names=["record_id", "n_words", "log_likelihood"])
 
