@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_search, chosen_path, decontaminate, html_text, language, line_templates, pieces, pseudo_likelihood, sharding, toxicity
+from . import block_search, chosen_path, decontaminate, filter_audit, html_text, language, line_templates, note_rules, pieces, pseudo_likelihood, sharding, toxicity, whitening
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -135,3 +135,66 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = pages.select(F.struct("page_id", "url").alias("page"), "html")
     r = html_text.page_texts(keyed, "page", "html")
     return r.select("page_id.page_id", "page_id.url", "text", "n_chars")
+
+
+@_query
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = note_rules.judge_notes(notes_of(_table(spark, sf_dir, "documents")))
+    return r.select(F.col("record_id").alias("doc_id"), *note_rules.BASE, "base_failed", "kept")
+
+
+SQL["op11_quality_rules"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+pos AS (SELECT r, words, unnest(range(1, len(words) - 6)) AS p FROM w WHERE len(words) >= 8),
+grams AS (SELECT r, p, array_to_string(words[p:p + 7], ' ') AS g FROM pos),
+twice AS (SELECT r, p, count(*) OVER (PARTITION BY r, g) AS n FROM grams),
+marked AS (SELECT r, count(DISTINCT q) AS n_repeat_words FROM (SELECT r, unnest(range(p, p + 8)) AS q FROM twice WHERE n > 1) GROUP BY r),
+top AS (SELECT r, max(n) AS most FROM (SELECT r, x, count(*) AS n FROM (SELECT r, unnest(words) AS x FROM w) GROUP BY ALL) GROUP BY r),
+c AS (SELECT w.r, doc_id, len(words) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines,
+    length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS caps, length(regexp_replace(t, '[^a-z]+', '', 'g')) AS smalls, length(regexp_replace(t, '[^!]+', '', 'g')) AS marks,
+    len(list_filter(words, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS lettered, len(list_filter(lines, lambda x: suffix(x, '...'))) AS dotted,
+    len(list_filter(lines, lambda x: prefix(x, '-') OR prefix(x, '*'))) AS bullets, coalesce(most, 0) AS most
+    FROM w LEFT JOIN marked USING (r) LEFT JOIN top ON w.r = top.r),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+    NOT (base_failed OR word_chars < 3 * n_words OR word_chars > 12 * n_words OR 10 * n_symbols > n_words OR 100 * n_dup_lines > 30 * n_lines OR caps > smalls
+    OR 5 * marks > n_words OR 100 * lettered < 80 * n_words OR 100 * dotted > 30 * n_lines OR 100 * bullets > 90 * n_lines OR 100 * most > 30 * n_words) AS kept
+FROM f
+"""
+
+
+@_query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("unit_id"), F.col("embedding").alias("beat"))
+    return whitening.whitened_beats(units).withColumnRenamed("unit_id", "vec_id")
+
+
+@_query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    notes = docs.select(F.col("doc_id").alias("record_id"), F.col("text").alias("notes"), F.col("lang").alias("class"))
+    marks = labels.select(F.col("doc_id").alias("record_id"), (F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic"))
+    return filter_audit.audit_filters(notes, marks)
+
+
+SQL["op13_filter_audit"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM d),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+b AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    (len(words) < 100)::INT + 2 * (100 * len(list_distinct(words)) < 80 * len(words))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 10 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(first < doc_id, false)::INT AS bits FROM w LEFT JOIN l USING (doc_id)),
+cells AS (SELECT part, bits, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM b GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c, unnest([1, 2, 4, 8, 16]) AS v),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.v, b.v, c.v, d.v, e.v] AS vs FROM f a, f b, f c, f d, f e WHERE a.v | b.v | c.v | d.v | e.v = 31),
+s AS (SELECT filter_order, step, vs[step] AS own, CAST(coalesce(list_sum(vs[1:step - 1]), 0) AS INT) AS before FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+r AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (bits & (before | own) = 0), 0) AS kept, coalesce(sum(n) FILTER (bits & before = 0 AND bits & own <> 0), 0) AS removed,
+    coalesce(sum(n) FILTER (bits & before <> 0 AND bits & own <> 0), 0) AS redundant, coalesce(sum(n) FILTER (bits = own), 0) AS unique_fails,
+    coalesce(sum(g) FILTER (bits & before = 0 AND bits & own <> 0), 0) AS good_lost, coalesce(sum(x) FILTER (bits & before = 0 AND bits & own <> 0), 0) AS toxic_lost
+    FROM cells, s GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+    good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r
+"""
