@@ -9,7 +9,7 @@ from waymark.functions import arrays as A
 from waymark.functions import hashing as H
 from waymark.functions import scalar as S
 from waymark.operators.ordered import keep_first, keep_last, text_rank, with_frame, with_neighbours
-from waymark.operators.quantiles import grouped_quantiles, ordered_median, refined_quantiles
+from waymark.operators.quantiles import grouped_quantiles, ordered_median, refined_quantiles, running_counts
 
 
 def rows(df, *cols):
@@ -51,13 +51,34 @@ def test_quantiles_agree_with_numpy(spark):
     d = spark.createDataFrame(data, "k string, v double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.98, 1.0]
     want = {(k, i): np.quantile([v for kk, v in data if kk == k and v is not None], p) for k in "abc" for i, p in enumerate(probs)}
-    got = {(r["k"], r["level_no"]): r["v"] for r in refined_quantiles(d, ["k"], "v", probs, bins=16).collect()}
+    got = {(r["k"], r["level_no"]): r["v"] for r in refined_quantiles(d, ["k"], "v", probs).collect()}
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
     g = {r["k"]: r["m"] for r in grouped_quantiles(d, ["k"], "v", [0.5], ["m"]).collect()}
     assert abs(g["a"] - want[("a", 3)]) < 1e-12
 
 
+@pytest.mark.parametrize("outliers", [[], [1e12], [-1e300, 1e300]])
+def test_many_ranks_of_crowded_values_with_outliers(spark, outliers):
+    rng = np.random.default_rng(7)
+    v = np.concatenate([1 + rng.random(3000) * 1e-9, rng.normal(size=2000), np.zeros(500), outliers])
+    d = spark.createDataFrame([(float(x),) for x in v], "v double")
+    probs = [i / 4000 for i in range(4001)]
+    got = [r["v"] for r in refined_quantiles(d, [], "v", probs).orderBy("level_no").collect()]
+    assert np.allclose(got, np.quantile(v, probs), rtol=1e-12, atol=1e-15)
+
+
+def test_an_outlier_does_not_crowd_a_piece(spark):
+    rng = np.random.default_rng(8)
+    v = np.concatenate([rng.random(20000), [1e12]])
+    counts = spark.createDataFrame([(float(x), 1) for x in v], "v double, _c long")
+    run = running_counts(counts, [], "v")
+    sizes = [r["count"] for r in run.groupBy("_piece").count().collect()]
+    assert sum(sizes) == len(v) and max(sizes) < 3 * len(v) / len(sizes)
+    at = {r["v"]: r["_from"] for r in run.collect()}
+    assert [at[x] for x in sorted(at)] == list(range(len(v)))
+
+
 def test_ordered_median_and_its_upper_form(spark):
     d = spark.createDataFrame([("a", v) for v in (1, 2, 2, 9)] + [("b", 5)], "k string, v long")
     assert rows(ordered_median(d, ["k"], "v", "m"), "k", "m") == [("a", 2.0), ("b", 5.0)]

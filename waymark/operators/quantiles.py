@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 
 def grouped_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str]
@@ -22,62 +24,52 @@ def grouped_quantiles(
     return counts.groupBy(*keys).agg(*aggs)
 
 
-def refined_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], bins: int = 4096
-) -> DataFrame:
-    """Quantiles of continuous columns: rows (keys, level, value), exact.
+def running_counts(counts: DataFrame, keys: Sequence[str], value: str, count: str = "_c") -> DataFrame:
+    """Distinct (keys, value, count) rows with ``_piece`` and ``_from``, the key's rows below the value.
 
-    A histogram of at most ``bins`` cells per key locates the wanted ranks; only rows in those
-    cells are then ranked, cell by cell. No task sees a key's whole value list.
+    The order of (keys, value) is cut at sampled ranges, so a piece holds its share of the distinct values however they are spread: crowded
+    values, outliers and a key with most of the rows only move the cuts. Counts run inside pieces; a piece's offset is a sum over the few pieces
+    of its key.
+    """
+    keys = list(keys)
+    cut = counts.select(*keys, value, count).repartitionByRange(*keys, value)
+    # written once: the cuts are sampled, so they must not be drawn again by a later reader
+    cut = materialise(cut.withColumn("_piece", F.spark_partition_id()))
+    inner = W.partitionBy(*keys, "_piece").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = W.partitionBy(*keys).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
+    pieces = cut.groupBy(*keys, "_piece").agg(F.sum(count).alias("_m"))
+    offsets = pieces.select(*keys, "_piece", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_b"))
+    run = cut.withColumn("_r", F.sum(count).over(inner) - F.col(count))
+    return run.join(offsets, [*keys, "_piece"]).select(*keys, value, count, "_piece", "_b", (F.col("_b") + F.col("_r")).alias("_from"))
+
+
+def refined_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """Quantiles of continuous columns: rows (keys, level_no, level, value), exact and linearly interpolated.
+
+    The running counts of the distinct values and the wanted ranks are two lists in one order, and they are merged: first against the pieces
+    of the order, then inside each piece. Every wanted rank carries the last value that starts at or below it, so the work is the sum of both
+    lists, not their product, and no task holds more than a piece of the values or one key's list of levels.
     """
     keys = list(keys)
     vals = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    vals = vals.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    spans = vals.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
-    cell = F.when(F.col("_hi") == F.col("_lo"), 0).otherwise(
-        F.least(
-            F.lit(bins - 1),
-            F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.lit(bins)),
-        )
-    )
-    on = keys or []
-
-    def join(a: DataFrame, b: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-        by = [*on, *extra]
-        return a.join(b, by) if by else a.crossJoin(F.broadcast(b))
-
-    celled = join(vals, spans).withColumn("_cell", cell.cast("int")).select(*keys, "_v", "_c", "_cell")
-    hist = celled.groupBy(*keys, "_cell").agg(F.sum("_c").alias("_m"))
-    w = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, W.currentRow)
-    cum = hist.select(*keys, "_cell", (F.sum("_m").over(w) - F.col("_m")).alias("_b"), "_m")
+    run = running_counts(vals.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")), keys, "_v")
+    size = run.groupBy(*keys).agg(F.max(F.col("_from") + F.col("_c")).alias("_n"))
     levels = F.array(*[F.lit(float(p)) for p in probs])
-    wanted = spans.select(*keys, "_n", F.posexplode(levels).alias("_k", "level")).withColumn(
-        "_pos", (F.col("_n") - 1) * F.col("level")
-    )
-    wanted = wanted.select(
-        *keys, "_k", "level", "_pos",
-        F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))).alias("_rank"),
-    )
-    in_cell = (F.col("_rank") >= F.col("_b")) & (F.col("_rank") < F.col("_b") + F.col("_m"))
-    located = join(wanted, cum).filter(in_cell).select(*keys, "_k", "level", "_pos", "_rank", "_cell", "_b")
-    needed = located.select(*keys, "_cell", "_b").distinct()
-    wc = W.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ranked = (
-        celled.join(needed, [*on, "_cell"])
-        .withColumn("_end", F.sum("_c").over(wc) + F.col("_b"))
-        .select(*keys, "_cell", "_v", (F.col("_end") - F.col("_c")).alias("_from"), "_end")
-    )
-    hit = located.join(ranked, [*on, "_cell"]).filter(
-        (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_end"))
-    )
-    low = F.min_by("_v", "_rank")
-    high = F.max_by("_v", "_rank")
+    wanted = size.select(*keys, "_n", F.posexplode(levels).alias("_k", "level")).withColumn("_pos", (F.col("_n") - 1) * F.col("level"))
+    wanted = wanted.select(*keys, "_k", "level", "_pos", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))).alias("_at"))
+
+    def carried(listed: DataFrame, asked: DataFrame, by: Sequence[str], what: str) -> DataFrame:
+        """``asked`` rows with ``what`` of the last listed row of their group at or before their ``_at``."""
+        both = listed.withColumn("_asks", F.lit(0)).unionByName(asked.withColumn("_asks", F.lit(1)), allowMissingColumns=True)
+        upto = W.partitionBy(*by).orderBy("_at", "_asks").rowsBetween(W.unboundedPreceding, W.currentRow)
+        return both.withColumn(what, F.last(what, ignorenulls=True).over(upto)).filter("_asks = 1").drop("_asks")
+
+    pieces = run.groupBy(*keys, "_piece").agg(F.min("_b").alias("_at"))
+    placed = carried(pieces, wanted, keys, "_piece")
+    hit = carried(run.select(*keys, "_piece", "_v", F.col("_from").alias("_at")), placed, [*keys, "_piece"], "_v")
+    low, high = F.min_by("_v", "_at"), F.max_by("_v", "_at")
     frac = F.first("_pos") - F.floor(F.first("_pos"))
-    return (
-        hit.groupBy(*keys, "_k", "level")
-        .agg((low + (high - low) * frac).alias(value))
-        .select(*keys, F.col("_k").alias("level_no"), "level", value)
-    )
+    return hit.groupBy(*keys, "_k", "level").agg((low + (high - low) * frac).alias(value)).select(*keys, F.col("_k").alias("level_no"), "level", value)
 
 
 def ordered_median(

@@ -8,6 +8,7 @@ import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -304,10 +305,17 @@ def remove_baseline(df: DataFrame, window: int, overlap: float = 0.5, trace: str
     return df.withColumn(out, A.let(F.col(trace), run))
 
 
+def normalised_window(df: DataFrame, lo: str, hi: str, trace: str = "trace", min_samples: int = 30, clip: float = 20.0) -> DataFrame:
+    """The trace cut to samples ``lo`` up to ``hi`` (not included), or whole if fewer than ``min_samples`` are left, then scaled robustly."""
+    part = A.span(F.col(trace), F.col(lo), F.col(hi) - 1)
+    cut = df.withColumn(trace, F.when(F.size(part) >= min_samples, part).otherwise(F.col(trace)))
+    return normalise(cut, "robust", trace, clip=clip, out=trace)
+
+
 def quantile_match_table(source: DataFrame, target: DataFrame, levels: int = 4001, channel: str | None = "lead", trace: str = "trace") -> DataFrame:
-    """(channel?, level_no, level, external, training): quantiles of both corpora at equal levels.
+    """(channel?, level_no, level, external, training): quantiles of both corpora at equal levels, their samples pooled by channel or all together.
 
-    The source side is made strictly increasing, so it can be inverted.
+    Traces are taken as they are; ``normalised_window`` prepares them. The source side is made strictly increasing, so it can be inverted.
     """
     keys = [channel] if channel else []
     probs = [i / (levels - 1) for i in range(levels)]
@@ -315,7 +323,6 @@ def quantile_match_table(source: DataFrame, target: DataFrame, levels: int = 400
     s = refined_quantiles(samples(source), keys, "value", probs).withColumnRenamed("value", "external")
     t = refined_quantiles(samples(target), keys, "value", probs).withColumnRenamed("value", "training")
     both = s.join(t.select(*keys, "level_no", "training"), [*keys, "level_no"])
-    from pyspark.sql import Window as W
 
     # As many rows per channel as there are levels.
     w = W.partitionBy(*keys).orderBy("level_no")

@@ -238,31 +238,40 @@ def cycle_slices(spark, sf):
     return s.groupBy("record_id", "lead", "cycle").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("offset").cast("bigint")).alias("last_offset"), F.round(F.sum("v"), 6).alias("total"))
 
 
-@query(
-    "quantile_match_table",
-    f"""WITH {TRACE_SQL}, z AS (SELECT lead, quantile_cont(v, [i/100.0::DOUBLE FOR i IN range(101)]) AS q FROM trace WHERE record_id % 2 = 0 GROUP BY lead), t AS (SELECT lead, quantile_cont(v, [i/100.0::DOUBLE FOR i IN range(101)]) AS q FROM trace WHERE record_id % 2 = 1 GROUP BY lead)
-    SELECT lead, CAST(i AS INTEGER) AS level_no, round(z.q[i+1], 6) AS external, round(t.q[i+1], 6) AS training FROM z JOIN t USING (lead), (SELECT unnest(range(101)) AS i) k""".replace("[i/100.0::DOUBLE FOR i IN range(101)]", "[" + ",".join(repr(i / 100) for i in range(101)) + "]"),
-)
-def quantile_match_table(spark, sf):
-    t = traces(spark, sf)
-    q = G.quantile_match_table(t.filter("record_id % 2 = 0"), t.filter("record_id % 2 = 1"), levels=101)
-    return r6(q.select("lead", "level_no", "external", "training"), "external", "training")
+LEVELS = 4001
+_LV = "[" + ",".join(repr(i / (LEVELS - 1)) for i in range(LEVELS)) + "]"
+_WINDOW = {"lo": "record_id % 5", "hi": "CASE WHEN record_id % 11 = 0 THEN 25 ELSE 62 - record_id % 3 END"}
+WINDOW_SQL = f"""{TRACE_SQL}, b AS (SELECT *, {_WINDOW["lo"]} AS lo, {_WINDOW["hi"]} AS hi FROM trace),
+ i AS (SELECT *, count(*) FILTER (sample >= lo AND sample < hi) OVER (PARTITION BY record_id, lead) AS m FROM b),
+ k AS (SELECT record_id, lead, sample, v, row_number() OVER (PARTITION BY record_id, lead ORDER BY sample) - 1 AS place FROM i WHERE m < 30 OR (sample >= lo AND sample < hi)),
+ nz AS (SELECT record_id, lead, place, greatest(-20, least(20, {NORM["robust"]})) AS v FROM k WINDOW w AS (PARTITION BY record_id, lead)),
+ qz AS (SELECT lead, quantile_cont(v, {_LV}) AS q FROM nz WHERE record_id % 2 = 0 GROUP BY lead), qt AS (SELECT lead, quantile_cont(v, {_LV}) AS q FROM nz WHERE record_id % 2 = 1 GROUP BY lead),
+ p0 AS (SELECT lead, unnest(range({LEVELS})) AS i, unnest(qz.q) AS e, unnest(qt.q) AS t FROM qz JOIN qt USING (lead)),
+ p1 AS (SELECT *, max(e) OVER (PARTITION BY lead ORDER BY i) AS run FROM p0), p2 AS (SELECT *, CASE WHEN run <= lag(run) OVER (PARTITION BY lead ORDER BY i) THEN 1 ELSE 0 END AS tie FROM p1),
+ pt AS (SELECT lead, i, run + 1e-6::DOUBLE * sum(tie) OVER (PARTITION BY lead ORDER BY i) AS e, t FROM p2)"""
 
 
-_LV = "[" + ",".join(repr(i / 100) for i in range(101)) + "]"
+def _windowed(spark, sf):
+    return G.normalised_window(traces(spark, sf).withColumns({c: F.expr(e) for c, e in _WINDOW.items()}), "lo", "hi")
+
+
+@query("quantile_match_table", f"WITH {WINDOW_SQL} SELECT lead, CAST(i AS INTEGER) AS level_no, round(e, 6) AS external, round(t, 6) AS training FROM pt")
+def quantile_match_table(spark, sf):
+    t = _windowed(spark, sf)
+    q = G.quantile_match_table(t.filter("record_id % 2 = 0"), t.filter("record_id % 2 = 1"), LEVELS)
+    return r6(q.select("lead", "level_no", "external", "training"), "external", "training")
 
 
 @query(
     "quantile_matched_traces",
-    f"""WITH {TRACE_SQL}, z AS (SELECT lead, quantile_cont(v, {_LV}) AS q FROM trace WHERE record_id % 2 = 0 GROUP BY lead), t AS (SELECT lead, quantile_cont(v, {_LV}) AS q FROM trace WHERE record_id % 2 = 1 GROUP BY lead),
-     pt AS (SELECT lead, i, z.q[i+1] AS e, t.q[i+1] AS t FROM z JOIN t USING (lead), (SELECT unnest(range(101)) AS i) k),
+    f"""WITH {WINDOW_SQL},
      pn AS (SELECT *, lead(e) OVER (PARTITION BY pt.lead ORDER BY i) AS e2, lead(t) OVER (PARTITION BY pt.lead ORDER BY i) AS t2 FROM pt), lo AS (SELECT lead, t AS t0 FROM pt WHERE i = 0)
-    SELECT tr.record_id, tr.lead, CAST(tr.sample AS INTEGER) AS sample, round(CASE WHEN pn.e IS NULL THEN t0 WHEN pn.e2 IS NULL THEN pn.t ELSE pn.t + (pn.t2 - pn.t)*(tr.v - pn.e)/(pn.e2 - pn.e) END, 6) AS v
-    FROM trace tr ASOF LEFT JOIN pn ON tr.lead = pn.lead AND tr.v >= pn.e JOIN lo ON lo.lead = tr.lead""",
+    SELECT tr.record_id, tr.lead, CAST(tr.place AS INTEGER) AS sample, round(CASE WHEN pn.e IS NULL THEN t0 WHEN pn.e2 IS NULL THEN pn.t ELSE pn.t + (pn.t2 - pn.t)*(tr.v - pn.e)/(pn.e2 - pn.e) END, 6) AS v
+    FROM nz tr ASOF LEFT JOIN pn ON tr.lead = pn.lead AND tr.v >= pn.e JOIN lo ON lo.lead = tr.lead""",
 )
 def quantile_matched_traces(spark, sf):
-    t = traces(spark, sf)
-    q = G.quantile_match_table(t.filter("record_id % 2 = 0"), t.filter("record_id % 2 = 1"), levels=101)
+    t = _windowed(spark, sf)
+    q = G.quantile_match_table(t.filter("record_id % 2 = 0"), t.filter("record_id % 2 = 1"), LEVELS)
     m = G.apply_quantile_match(t, q)
     return r6(m.select("record_id", "lead", F.posexplode("matched").alias("sample", "v")), "v")
 
