@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions import hashing as H
@@ -31,13 +32,31 @@ def test_array_draws_equal_column_draws(spark):
     assert [r.u for r in d] == H.draws(9, [np.arange(50, dtype=np.int64), np.int64(3)]).tolist()
 
 
-def test_weighted_medians_equal_repeating():
+def medians_by_hand(v, c, n, seed):
+    order = np.argsort(v)
+    v, c = np.array(v)[order], np.array(c)[order]
+    w = H.poisson_weights(seed, [infer._value_key(v)], c, np.arange(n, dtype=np.int64))
+    return [np.median(np.repeat(v, w[:, j])) if w[:, j].sum() else None for j in range(n)]
+
+
+@pytest.mark.parametrize("most", [1, 7, 100, 10**6])
+def test_medians_do_not_depend_on_how_values_are_cut(spark, most):
     rng = np.random.default_rng(0)
-    v = np.sort(rng.normal(size=37))
-    w = rng.integers(0, 4, (37, 60))
-    got = infer.weighted_medians(v, lambda at: w[at], 60, step=5)
-    assert np.allclose(got, [np.median(np.repeat(v, w[:, j])) for j in range(60)])
-    assert np.isnan(infer.weighted_medians(v, lambda at: w[at] * 0, 60)).all()
+    rows = [("a", float(x), int(k)) for x, k in zip(rng.normal(size=150), rng.integers(1, 9, 150), strict=True)] + [("a", 1e12, 1), ("b", 3.0, 1), ("c", 1.5, 2), ("c", 2.5, 40)]
+    got = {}
+    for r in infer._median_replicates(spark.createDataFrame(rows, "g string, _v double, _c long"), ["g"], 60, 5, most).collect():
+        got.setdefault(r["g"], []).append(r["_s"])
+    for g in "abc":
+        want = medians_by_hand([v for k, v, _ in rows if k == g], [c for k, _, c in rows if k == g], 60, 5)
+        assert sorted(x for x in got[g] if x is not None) == sorted(x for x in want if x is not None)
+
+
+def test_a_median_without_groups_is_cut_too(spark):
+    rows = [(float(x), 1) for x in np.random.default_rng(1).normal(size=90)]
+    d = spark.createDataFrame(rows, "_v double, _c long")
+    want = sorted(medians_by_hand([v for v, _ in rows], [1] * 90, 40, 3))
+    for most in (8, 1000):
+        assert sorted(r["_s"] for r in infer._median_replicates(d, [], 40, 3, most).collect()) == want
 
 
 def test_interval_by_counts_has_the_width_of_drawing_rows(spark):

@@ -13,13 +13,15 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.hashing import continue_draw, key_parts, poisson_one, poisson_weights, with_state
-from .quantiles import grouped_quantiles
+from ..session import materialise
+from .quantiles import grouped_quantiles, running_counts
 
 MIN_ROWS = 8
-REP_BLOCK = 500
+RANGE_VALUES = 8192
 
 
 def replicates(df: DataFrame, ids: Sequence[str], n: int, seed: int) -> DataFrame:
@@ -43,21 +45,18 @@ def _value_key(v: np.ndarray) -> np.ndarray:
     return np.rint(v * 1e6).astype(np.int64)
 
 
-def weighted_medians(v: np.ndarray, w: Callable[[slice], np.ndarray], n_reps: int, step: int = 1 << 14) -> np.ndarray:
-    """The median of sorted values for each replicate's weights; weights are made ``step`` values at a time, twice, and never held as a whole."""
-    total = np.zeros(n_reps, np.int64)
-    for lo in range(0, len(v), step):
-        total += w(slice(lo, lo + step)).sum(0)
-    low, high = np.maximum(total - 1, 0) // 2, total // 2
-    run, out = np.zeros(n_reps, np.int64), np.full((2, n_reps), np.nan)
-    for lo in range(0, len(v), step):
-        upto = run + w(slice(lo, lo + step)).cumsum(0)
-        for i, place in enumerate((low, high)):
-            hit = (run <= place) & (upto[-1] > place)
-            if hit.any():
-                out[i, hit] = v[lo : lo + step][(upto[:, hit] <= place[hit]).sum(0)]
-        run = upto[-1]
-    return np.where(total > 0, (out[0] + out[1]) / 2, np.nan)
+def weight_blocks(seed: int, v: np.ndarray, c: np.ndarray, reps: np.ndarray, cells: int = 1 << 21) -> Iterator[tuple[slice, np.ndarray]]:
+    """Weights of values (rows) for replicates (columns), some replicates at a time so that a block stays small."""
+    key = _value_key(v)
+    step = max(1, cells // max(1, len(v)))
+    for lo in range(0, len(reps), step):
+        at = slice(lo, min(lo + step, len(reps)))
+        yield at, poisson_weights(seed, [key], c, reps[at])
+
+
+def ranked_values(v: np.ndarray, w: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The value at a place (from 0) of each replicate's drawn rows; values ascend, and a replicate is a column of weights."""
+    return v[(w.cumsum(0) <= place).sum(0)]
 
 
 def _fields(df: DataFrame, names: Sequence[str]) -> str:
@@ -65,22 +64,85 @@ def _fields(df: DataFrame, names: Sequence[str]) -> str:
     return "".join(f"`{c}` {types[c]}, " for c in names)
 
 
-def _median_replicates(counts: DataFrame, by: list[str], n: int, seed: int) -> DataFrame:
-    """(by, _s): one median per replicate from (by, _v, _c). A task holds the distinct values of one group and a block of replicates."""
-    blocks = -(-n // REP_BLOCK)
+def _one(t: pa.Table, columns: Sequence[str], n: int) -> dict:
+    """The first row's values of ``columns``, ``n`` times."""
+    row = pa.array(np.zeros(n, np.int64))
+    return {c: t.column(c).take(row) for c in columns}
+
+
+def _in_order(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    v, c = t.column("_v").to_numpy(), t.column("_c").to_numpy()
+    order = np.argsort(v, kind="stable")
+    return v[order], c[order]
 
-    def run(t: pa.Table) -> pa.Table:
-        v, c = t.column("_v").to_numpy(), t.column("_c").to_numpy()
-        order = np.argsort(v, kind="stable")
-        v, c = v[order], c[order]
-        first = t.column("_blk")[0].as_py() * REP_BLOCK
-        reps = np.arange(first, min(first + REP_BLOCK, n), dtype=np.int64)
-        s = weighted_medians(v, lambda at: poisson_weights(seed, [_value_key(v[at])], c[at], reps), len(reps))
-        one = np.zeros(len(s), np.int64)
-        return pa.table({**{c: t.column(c).take(pa.array(one)) for c in by}, "_s": pa.array(s, from_pandas=True)})
 
-    spread = counts.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return spread.groupBy(*by, "_blk").applyInArrow(run, _fields(counts, by) + "_s double")
+def _median_replicates(counts: DataFrame, by: list[str], n: int, seed: int, most: int = RANGE_VALUES) -> DataFrame:
+    """(by, _s): one median per replicate from (by, _v, _c), where no task sees more than ``most`` distinct values of a group.
+
+    A group with more is cut into ranges of its value order. Every range adds up its weights per replicate; running sums over the ranges of a
+    group find the one or two ranges that hold each replicate's median and the place inside them; only there are values ranked. Weights depend
+    on value and replicate alone, so the second look draws the same ones.
+    """
+    if not by:
+        return _median_replicates(counts.withColumn("_all", F.lit(0)), ["_all"], n, seed, most).drop("_all")
+    reps = np.arange(n, dtype=np.int64)
+    counts = materialise(counts)
+    size = materialise(counts.groupBy(*by).agg(F.count(F.lit(1)).alias("_d")))
+    whole = counts.join(size.filter(F.col("_d") <= most).select(*by), by, "left_semi")
+
+    def direct(t: pa.Table) -> pa.Table:
+        v, c = _in_order(t)
+        out = np.full(n, np.nan)
+        for at, w in weight_blocks(seed, v, c, reps):
+            total = w.sum(0)
+            live = np.flatnonzero(total)
+            w, total = w[:, live], total[live]
+            out[at][live] = (ranked_values(v, w, (total - 1) // 2) + ranked_values(v, w, total // 2)) / 2
+        return pa.table({**_one(t, by, n), "_s": pa.array(out, from_pandas=True)})
+
+    shape = _fields(counts, by)
+    small = whole.groupBy(*by).applyInArrow(direct, shape + "_s double")
+    if not size.filter(F.col("_d") > most).limit(1).count():
+        return small
+    wide = counts.join(size.filter(F.col("_d") > most).select(*by), by, "left_semi")
+    run = running_counts(wide, by, "_v")
+    inner = W.partitionBy(*by, "_piece").orderBy("_v")
+    cut = materialise(run.withColumn("_range", F.floor((F.row_number().over(inner) - 1) / most)).select(*by, "_v", "_c", "_piece", "_range"))
+    where = [*by, "_piece", "_range"]
+    shape = _fields(cut, where)
+
+    def sums(t: pa.Table) -> pa.Table:
+        v, c = _in_order(t)
+        total = np.zeros(n, np.int64)
+        for at, w in weight_blocks(seed, v, c, reps):
+            total[at] = w.sum(0)
+        return pa.table({**_one(t, where, 1), "_w": pa.array([total], pa.list_(pa.int64()))})
+
+    held = materialise(cut.groupBy(*where).applyInArrow(sums, shape + "_w array<bigint>"))
+    laid = held.select(*where, F.posexplode("_w").alias("rep", "_w"))
+    total = laid.groupBy(*by, "rep").agg(F.sum("_w").alias("_t"))
+    order = W.partitionBy(*by, "rep").orderBy("_piece", "_range").rowsBetween(W.unboundedPreceding, W.currentRow)
+    upto = laid.withColumn("_b", F.sum("_w").over(order) - F.col("_w")).join(total, [*by, "rep"])
+    middle = F.explode(F.array(F.floor((F.greatest("_t", F.lit(1)) - 1) / 2), F.floor(F.col("_t") / 2))).alias("_place")
+    wanted = upto.filter("_t > 0 and _w > 0").select(*where, "rep", "_b", "_w", middle)
+    wanted = wanted.withColumn("_place", F.col("_place") - F.col("_b")).filter("_place >= 0 and _place < _w")
+    asked = wanted.groupBy(*where).agg(F.collect_list(F.struct(F.col("rep").cast("long").alias("rep"), F.col("_place").cast("long").alias("place"))).alias("_asked"))
+
+    def pick(key: tuple, t: pa.Table, a: pa.Table) -> pa.Table:
+        # a range asks for two places of each replicate at most
+        if not a.num_rows or not t.num_rows:
+            return pa.table({**_one(t, by, 0), "rep": pa.array([], pa.int64()), "_x": pa.array([], pa.float64())})
+        v, c = _in_order(t)
+        rows = a.column("_asked").combine_chunks().flatten()
+        rep, place = rows.field("rep").to_numpy(), rows.field("place").to_numpy()
+        out = np.empty(len(rep))
+        for at, w in weight_blocks(seed, v, c, rep):
+            out[at] = ranked_values(v, w, place[at])
+        return pa.table({**_one(t, by, len(rep)), "rep": pa.array(rep), "_x": pa.array(out)})
+
+    picked = cut.groupBy(*where).cogroup(asked.groupBy(*where)).applyInArrow(pick, _fields(cut, by) + "rep bigint, _x double")
+    medians = picked.groupBy(*by, "rep").agg(F.avg("_x").alias("_s")).drop("rep")
+    return small.unionByName(medians)
 
 
 def _sum_replicates(per: DataFrame, by: list[str], keys: Sequence[str], n: int, seed: int) -> DataFrame:
