@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import arrays as A
 from ..functions.arrays import fold_forward
-from ..functions.scalar import clamp, half_even
+from ..functions.scalar import clamp, half_away, half_even
 from ..schema import KEYS, LANDMARKS_11, Keys, Landmarks
+from ..session import materialise
 from .derive import representative
 from .ordered import attach, keep_first, with_neighbours
 from .qc import record_status, unit_status
@@ -398,3 +401,76 @@ def spread_consensus(df: DataFrame, agreed: DataFrame, keys: Sequence[str], chan
     every = F.explode(F.array(*[F.lit(c) for c in channels])).alias(channel)
     grid = agreed.select(*keys, "cluster", "position", every)
     return grid.join(have, [*keys, "cluster", channel], "left").withColumn("matched", F.coalesce("matched", F.lit(0)))
+
+
+def matched_events(
+    df: DataFrame, keys: Sequence[str], channel: str, position: str, event_id: str, landmarks: Sequence[str], channels: Sequence, tolerance: int,
+    share: float = 0.5, grain: int = 1 << 20,
+) -> DataFrame:
+    """Events that enough channels agree on, by greedy matching with removal.
+
+    Channels take their turn in the order of ``channels``. In its turn, every event a channel still has is matched with the nearest event each
+    channel still has within ``tolerance`` (its own event is one of them; distances tie to the earlier, then to the smaller id). If at least
+    ``share`` of all listed channels have a match, the event is agreed on, and each landmark becomes the median of its matches, rounded half
+    away from zero, NULLs left out. Whatever was matched in a turn, agreed on or not, is out of later turns. Agreed events at one position of
+    the record are one event, the one of the earliest turn.
+
+    Rows: keys, ``turn`` (from 1), ``anchor`` (the event whose turn it was), ``position``, ``landmarks``, ``n_agree``, and ``matches``: one
+    struct (channel, event_id, landmarks) per matching channel. Events without a position, or of a channel that is not listed, take no part;
+    (keys, channel, event_id) must be unique.
+
+    A turn is two passes over one order of the events still there (pieces of ``grain`` positions), in which every event carries the last event of
+    each channel; no pairs are formed and no record is gathered.
+    """
+    keys, landmarks = list(keys), [c for c in landmarks if c != position]
+    held = [position, *landmarks]
+    left = df.filter(F.col(position).isNotNull() & F.col(channel).isin(*channels)).select(*keys, F.col(channel).alias("_ch"), F.col(event_id).alias("_id"), *[F.col(c) for c in held])
+    left = materialise(left)
+    event = F.struct(F.col("_id").alias("id"), *[F.col(c) for c in held])
+    agreed = []
+    for turn, own in enumerate(channels, start=1):
+        seen = left.withColumns({f"_r{i}": F.when(F.col("_ch") == F.lit(c), event) for i, c in enumerate(channels)})
+        seen = seen.withColumns({"_side": F.lit(0), "_nid": -F.col("_id"), "_p": F.col(position)})
+        asks = left.filter(F.col("_ch") == F.lit(own)).withColumns({"_side": F.lit(1), "_nid": -F.col("_id"), "_p": F.col(position)})
+        both = seen.unionByName(asks, allowMissingColumns=True)
+        carry = [f"_r{i}" for i in range(len(channels))]
+        # at one position the events come before those that ask, the smallest id last, so that one is carried
+        fwd = with_neighbours(both, keys, "_p", ties=["_side", "_nid"], carry={f"_b{c}": c for c in carry}, grain=grain)
+        back = with_neighbours(fwd.withColumn("_np", -F.col("_p")), keys, "_np", ties=["_side", "_nid"], carry={f"_a{c}": c for c in carry}, grain=grain)
+
+        def nearest(i: int) -> Column:
+            before, after = F.col(f"_b_r{i}"), F.col(f"_a_r{i}")
+            db, da = F.col("_p") - before[position], after[position] - F.col("_p")
+            pick = F.when(after.isNull() | (db <= da), before).otherwise(after)
+            return F.when(F.abs(pick[position] - F.col("_p")) <= tolerance, pick)
+
+        picked = [F.when(nearest(i).isNotNull(), F.struct(F.lit(c).alias("channel"), nearest(i).alias("event"))) for i, c in enumerate(channels)]
+        found = back.filter("_side = 1").select(*keys, F.lit(turn).alias("turn"), F.col("_id").alias("anchor"), F.array_compact(F.array(*picked)).alias("matches"))
+        found = materialise(found)
+        agreed.append(found.filter(F.size("matches") >= len(channels) * share))
+        if turn < len(channels):
+            gone = found.select(*keys, F.explode("matches").alias("m")).select(*keys, F.col("m.channel").alias("_ch"), F.col("m.event.id").alias("_id")).distinct()
+            left = materialise(left.join(gone, [*keys, "_ch", "_id"], "left_anti"))
+
+    def middle(c: str) -> Column:
+        have = F.filter(F.transform("matches", lambda m: m["event"][c].cast("double")), lambda v: v.isNotNull())
+        return half_away(A.median(have)).cast("bigint").alias(c)
+
+    rows = functools.reduce(DataFrame.unionByName, agreed)
+    rows = rows.select(*keys, "turn", "anchor", *[middle(c) for c in held], F.size("matches").alias("n_agree"), "matches")
+    return keep_first(rows, [*keys, position], ["turn", "anchor"])
+
+
+def spread_matches(agreed: DataFrame, keys: Sequence[str], landmarks: Sequence[str], channels: Sequence, channel: str = "channel") -> DataFrame:
+    """One row per agreed event and listed channel: the channel's own matched event, or the agreed landmarks where it has none.
+
+    Rows: keys, turn, anchor, channel, matched, event_id (NULL if not matched), landmarks.
+    """
+    landmarks = list(landmarks)
+    every = agreed.select(*keys, "turn", "anchor", "matches", *[F.col(c).alias(f"_{c}") for c in landmarks], F.explode(F.array(*[F.lit(c) for c in channels])).alias(channel))
+    own = F.get(F.filter("matches", lambda m: m["channel"] == F.col(channel)), F.lit(0))["event"]
+    with_own = every.withColumn("_own", own)
+    has = F.col("_own").isNotNull()
+    return with_own.select(
+        *keys, "turn", "anchor", channel, has.alias("matched"), F.col("_own.id").alias("event_id"),
+        *[F.when(has, F.col(f"_own.{c}")).otherwise(F.col(f"_{c}")).alias(c) for c in landmarks])

@@ -473,18 +473,18 @@ def fill_from_sibling(spark, sf):
 # ---------------------------------------------------------------- events across channels
 
 TOL = 3_600_000_000
+CHANNELS = ["click", "error", "purchase", "signup", "view"]
 CLUSTER_SQL = EVENTS_SQL + f""", g AS (SELECT *, CASE WHEN pos - lag(pos) OVER w <= {TOL} THEN 0 ELSE 1 END AS fresh FROM ev
    WINDOW w AS (PARTITION BY record_id ORDER BY pos, event_id)),
  c AS (SELECT *, sum(fresh) OVER (PARTITION BY record_id ORDER BY pos, event_id) AS k FROM g),
  agreed AS (SELECT record_id, min(pos) AS cluster, count(*) AS n_events, count(DISTINCT channel) AS n_agree,
-   CAST(round(median(pos)) AS BIGINT) AS position FROM c GROUP BY record_id, k HAVING count(DISTINCT channel) >= 2)"""
+   CAST(round(median(pos)) AS BIGINT) AS position FROM c GROUP BY record_id, k HAVING count(DISTINCT channel) >= 3)"""
 DAY = 86_400_000_000
 
 
 @query("event_consensus", f"WITH {CLUSTER_SQL} SELECT * FROM agreed")
 def event_consensus(spark, sf):
-    # Two of five channels stand for agreement here; events of one user are sparse.
-    return C.event_consensus(events(spark, sf), ["record_id"], "channel", "pos", TOL, 4, tie=["event_id"], grain=DAY)
+    return C.event_consensus(events(spark, sf), ["record_id"], "channel", "pos", TOL, len(CHANNELS), tie=["event_id"], grain=DAY)
 
 
 @query(
@@ -496,14 +496,54 @@ def event_consensus(spark, sf):
 def event_consensus_spread(spark, sf):
     ev = events(spark, sf)
     labelled = C.event_clusters(ev, ["record_id"], "pos", TOL, ["event_id"], grain=DAY)
-    agreed = C.event_consensus(ev, ["record_id"], "channel", "pos", TOL, 4, tie=["event_id"], grain=DAY)
-    names = ["click", "error", "purchase", "signup", "view"]
-    full = C.spread_consensus(labelled, agreed, ["record_id"], "channel", names)
+    agreed = C.event_consensus(ev, ["record_id"], "channel", "pos", TOL, len(CHANNELS), tie=["event_id"], grain=DAY)
+    full = C.spread_consensus(labelled, agreed, ["record_id"], "channel", CHANNELS)
     return full.groupBy("channel").agg(
         F.count(F.lit(1)).alias("n_events"), F.sum(F.col("matched").cast("bigint")).alias("n_matched")
     )
 
 
+NEAR = 6 * TOL
+
+
+def _turns_sql() -> str:
+    """Greedy matching with removal, one channel after the other."""
+    parts = [f"{EVENTS_SQL}, l0 AS (SELECT record_id, channel, event_id, pos, CASE WHEN event_id % 13 <> 0 THEN pos - 1000000*(event_id % 97) END AS first, pos + 1000000*(event_id % 89) AS last FROM ev)"]
+    for i, c in enumerate(CHANNELS):
+        parts.append(f"""m{i + 1} AS (SELECT a.record_id, {i + 1} AS turn, a.event_id AS anchor, b.channel, b.event_id, b.pos, b.first, b.last FROM l{i} a JOIN l{i} b ON a.record_id = b.record_id AND abs(b.pos - a.pos) <= {NEAR}
+          WHERE a.channel = '{c}' QUALIFY row_number() OVER (PARTITION BY a.record_id, a.event_id, b.channel ORDER BY abs(b.pos - a.pos), b.pos, b.event_id) = 1),
+         l{i + 1} AS (SELECT * FROM l{i} ANTI JOIN m{i + 1} USING (record_id, channel, event_id))""")
+    every = " UNION ALL ".join(f"SELECT * FROM m{i + 1}" for i in range(len(CHANNELS)))
+    parts.append(f"""m AS ({every}), g AS (SELECT record_id, turn, anchor, CAST(round(median(pos)) AS BIGINT) AS pos, CAST(round(median(first)) AS BIGINT) AS first, CAST(round(median(last)) AS BIGINT) AS last,
+      count(*) AS n_agree FROM m GROUP BY ALL HAVING count(*) >= {len(CHANNELS)} / 2.0),
+     synced AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY record_id, pos ORDER BY turn, anchor) = 1)""")
+    return ", ".join(parts)
+
+
+TURNS_SQL = _turns_sql()
+
+
+def _agreed(spark, sf):
+    ev = events(spark, sf).withColumns({
+        "first": F.when(F.col("event_id") % 13 != 0, F.col("pos") - 1000000 * (F.col("event_id") % 97)), "last": F.col("pos") + 1000000 * (F.col("event_id") % 89)})
+    return C.matched_events(ev, ["record_id"], "channel", "pos", "event_id", ["first", "last"], CHANNELS, NEAR, grain=DAY)
+
+
+@query("matched_events", f"WITH {TURNS_SQL} SELECT record_id, CAST(turn AS INTEGER) AS turn, anchor, pos, first, last, CAST(n_agree AS INTEGER) AS n_agree FROM synced")
+def matched_events(spark, sf):
+    return _agreed(spark, sf).drop("matches")
+
+
+@query(
+    "matched_events_by_channel",
+    f"""WITH {TURNS_SQL}, ch AS (SELECT DISTINCT channel FROM ev) SELECT s.record_id, CAST(s.turn AS INTEGER) AS turn, s.anchor, ch.channel, m.event_id IS NOT NULL AS matched, m.event_id,
+      CASE WHEN m.event_id IS NULL THEN s.pos ELSE m.pos END AS pos, CASE WHEN m.event_id IS NULL THEN s.first ELSE m.first END AS first, CASE WHEN m.event_id IS NULL THEN s.last ELSE m.last END AS last
+    FROM synced s CROSS JOIN ch LEFT JOIN m ON m.record_id = s.record_id AND m.turn = s.turn AND m.anchor = s.anchor AND m.channel = ch.channel""",
+)
+def matched_events_by_channel(spark, sf):
+    return C.spread_matches(_agreed(spark, sf), ["record_id"], ["pos", "first", "last"], CHANNELS)
+
+
 @query(
     "nearest_event_match",
     f"""WITH {EVENTS_SQL}, l AS (SELECT * FROM ev WHERE channel = 'click'), r AS (SELECT * FROM ev WHERE channel = 'purchase'),
