@@ -12,7 +12,7 @@ from waymark.operators import score as Z
 from waymark.operators import segment as S
 from waymark.operators import signal as G
 from waymark.schema import LANDMARKS_11
-from waymark.sources import readers, writers
+from waymark.sources import buckets, readers, writers
 
 LM = LANDMARKS_11.order
 
@@ -271,7 +271,7 @@ def test_feed_upserts_into_versions(spark, tmp_path):
         d = spark.createDataFrame([("r", "I", ts, v)], "record_id string, lead string, t string, v int").select("record_id", "lead", F.to_timestamp("t").alias("edited_at"), "v")
         d.write.mode("append").parquet(src)
         streaming.drain(streaming.apply_feed(spark, src, schema, root, cp))
-    assert [r["v"] for r in writers.read_current(spark, root).collect()] == [3]
+    assert [r["v"] for r in buckets.read_buckets(spark, root).collect()] == [3]
 
 
 def test_late_events_are_dropped(spark, tmp_path):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Sequence
 
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalar import parse_number
 from ..operators.ordered import keep_last, with_neighbours
+from ..session import materialise
 
 NULL_TOKENS = ("", "None", "NaN", "nan")
 
@@ -137,6 +139,48 @@ def read_history(spark: SparkSession, path: str | Sequence[str], item: str) -> D
     return rows.select(*flat)
 
 
+def document_leaves(docs: DataFrame, keys: Sequence[str], text: str = "value", depth: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(leaves, bad) of JSON documents: one row (keys, path, value) per leaf, and the rows whose text is no JSON object.
+
+    ``path`` is the list of member names down to the leaf; ``value`` is the leaf's JSON text (a string in its quotes). Lists, empty objects and
+    whatever lies below ``depth`` names are leaves. Documents of any shape may be mixed, since no schema is inferred.
+    """
+    parsed = docs.withColumn("_v", F.try_parse_json(text))
+    whole = F.schema_of_variant("_v").startswith("OBJECT")
+    bad = parsed.filter(~F.coalesce(whole, F.lit(False))).drop("_v")
+    level = parsed.filter(whole).select(*keys, F.array().cast("array<string>").alias("path"), "_v")
+    done = []
+    for at in range(depth):
+        cut = level.select(*keys, "path", F.explode(F.from_json(F.to_json("_v"), "map<string,variant>")).alias("_k", "_v"))
+        cut = cut.select(*keys, F.concat("path", F.array("_k")).alias("path"), "_v")
+        inner = F.schema_of_variant("_v").startswith("OBJECT<") & ~F.schema_of_variant("_v").isin("OBJECT<>") & F.lit(at + 1 < depth)
+        done.append(cut.filter(~F.coalesce(inner, F.lit(False))).select(*keys, "path", F.to_json("_v").alias("value")))
+        level = cut.filter(inner)
+    return functools.reduce(DataFrame.unionByName, done), bad
+
+
+def merge_documents(docs: DataFrame, keys: Sequence[str], by: Sequence[str], text: str = "value", depth: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(merged, bad): the leaves of all documents of a key in one, the last document (by ``by``) winning path by path.
+
+    With ``depth`` 1 a member of the top level is taken over or replaced as a whole; deeper, objects are merged member by member. Where one document
+    has a leaf and another one has members below that path, the later of the two decides. No document's path is lost unless a later one states it.
+    Rows: keys, path, value, and the columns ``by`` of the document the value is from.
+    """
+    keys, by = list(keys), list(by)
+    leaves, bad = document_leaves(docs, [*keys, *by], text, depth)
+    leaves = leaves.withColumn("_at", F.struct(*by))
+    last = leaves.groupBy(*keys, "path").agg(F.max(F.struct("_at", "value")).alias("_l")).select(*keys, "path", "_l._at", "_l.value")
+    if depth > 1:
+        last = materialise(last)
+        above = last.filter(F.size("path") > 1).select(
+            *keys, "path", "_at", F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda n: F.slice("path", 1, n))).alias("_up"))
+        below = above.groupBy(*keys, F.col("_up").alias("path")).agg(F.max("_at").alias("_inner"))
+        tops = last.select(*keys, F.col("path").alias("_up"), F.col("_at").alias("_outer"))
+        covered = above.join(tops, [*keys, "_up"]).filter("_outer > _at").select(*keys, "path").distinct()
+        last = last.join(below, [*keys, "path"], "left").filter("_inner is null or _inner < _at").drop("_inner").join(covered, [*keys, "path"], "left_anti")
+    return last.select(*keys, "path", "value", "_at.*"), bad
+
+
 def read_sections(spark: SparkSession, path: str | Sequence[str], marker: str = "##REC ") -> DataFrame:
     """Rows (section, line_no, line) of text in which a marker line names the section that follows.
 

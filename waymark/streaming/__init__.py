@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.ordered import with_neighbours
 from ..operators.qc import QcRules, beat_qc
-from ..operators.review import upsert
 from ..schema import KEYS, LANDMARKS_11, Keys, Landmarks
-from ..sources.writers import read_current, versions, write_versioned
+from ..sources.buckets import fold_changes
 
 
 def qc_stream(
@@ -28,16 +30,15 @@ def qc_stream(
 
 
 def apply_feed(
-    spark: SparkSession, source: str, schema: str, root: str, checkpoint: str, keys: Keys = KEYS, by: tuple[str, ...] = ("edited_at",),
+    spark: SparkSession, source: str, schema: str, root: str, checkpoint: str, keys: Keys = KEYS, by: tuple[str, ...] = ("edited_at",), n_buckets: int = 64,
 ) -> StreamingQuery:
-    """Fold an append-only corrections feed into a versioned table, the newest version of a key winning.
+    """Fold an append-only corrections feed into a bucketed table, the newest version of a key winning.
 
-    A replayed batch changes nothing, because the upsert depends only on keys and edit times.
+    A micro-batch rewrites the buckets that hold its keys and no others. A replayed batch changes nothing: its number is part of the version that
+    it made.
     """
-    def fold(batch: DataFrame, _: int) -> None:
-        s = batch.sparkSession
-        current = read_current(s, root) if versions(s, root).limit(1).count() else batch.limit(0)
-        write_versioned(upsert(current, batch, keys.unit, by), root)
+    def fold(batch: DataFrame, number: int) -> None:
+        fold_changes(batch, root, keys.unit, by, n_buckets, feed=checkpoint, batch=number)
 
     feed = spark.readStream.schema(schema).parquet(source)
     return feed.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -65,6 +66,54 @@ def burst_monitor(events: DataFrame, time: str, by: list[str], gap: str = "1 hou
         F.col("w.start").alias("from_ts"), F.col("w.end").alias("to_ts"), *by, "n")
 
 
+def short_gaps(events: DataFrame, keys: Sequence[str], position: str, event_id: str, limit: int, grain: int = 1 << 20) -> DataFrame:
+    """Events that follow the previous event of their unit at ``limit`` or less, from a table: keys, previous, event_id, position, gap.
+
+    Events at one position are in the order of their ids.
+    """
+    found = with_neighbours(events, list(keys), position, ties=[event_id], lag={"previous": event_id, "_before": position}, grain=grain)
+    gap = F.col(position) - F.col("_before")
+    return found.withColumn("gap", gap).filter(F.col("gap") <= limit).select(*keys, "previous", event_id, position, "gap")
+
+
+def short_gap_monitor(
+    events: DataFrame, keys: Sequence[str], time: str, position: str, event_id: str, limit: int, watermark: str = "10 minutes",
+) -> DataFrame:
+    """``short_gaps`` on a stream: a gap counts although its events arrive in different micro-batches, or out of order.
+
+    Per unit the state holds the last event that is final and the events above the watermark, which a late one may still precede; so its size is
+    what a unit can send within the delay. ``time`` is the event time of ``position``. When the watermark passes an event it is compared with the
+    one before it and reported, by a timer if the unit sends nothing more. Rows later than the watermark are dropped.
+    """
+    kinds = dict(events.dtypes)
+    out = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"previous {kinds[event_id]}, `{event_id}` {kinds[event_id]}, `{position}` bigint, gap bigint"])
+    state = f"last_pos bigint, last_id {kinds[event_id]}, ms array<bigint>, pos array<bigint>, ids array<{kinds[event_id]}>"
+    names = [*keys, "previous", event_id, position, "gap"]
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        last_pos, last_id, ms, pos, ids = held.get if held.exists else (None, None, [], [], [])
+        waiting = list(zip(ms, pos, ids, strict=True))
+        for f in frames:
+            waiting += zip(f["_ms"].tolist(), f[position].tolist(), f[event_id].tolist(), strict=True)
+        mark = held.getCurrentWatermarkMs()
+        final = sorted((e for e in waiting if e[0] <= mark), key=lambda e: e[1:])
+        waiting = [e for e in waiting if e[0] > mark]
+        rows = []
+        for _, p, i in final:
+            if last_pos is not None and p - last_pos <= limit:
+                rows.append((*key, last_id, i, p, p - last_pos))
+            last_pos, last_id = p, i
+        held.update((last_pos, last_id, *(list(c) for c in zip(*waiting, strict=True))) if waiting else (last_pos, last_id, [], [], []))
+        if waiting:
+            held.setTimeoutTimestamp(max(min(e[0] for e in waiting), mark + 1))
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
+
+    marked = events.filter(F.col(position).isNotNull()).withWatermark(time, watermark)
+    slim = marked.select(*keys, time, F.col(position).cast("bigint").alias(position), event_id, F.unix_millis(time).alias("_ms"))
+    return slim.groupBy(*keys).applyInPandasWithState(step, out, state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def drain(query: StreamingQuery, timeout: int = 300, then: Callable[[], None] | None = None) -> None:
     """Wait for an available-now query to finish."""
     if not query.awaitTermination(timeout):
