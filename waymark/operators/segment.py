@@ -309,17 +309,55 @@ def argmax_labels(posterior: Column, suppressed: Sequence[int] = ()) -> Column:
     return A.let(posterior, best)
 
 
-def ensemble_posteriors(outputs: DataFrame, keys: Sequence[str], posterior: str = "posterior", shift: str | None = None, log: bool = False) -> DataFrame:
-    """Mean posterior over models (and shifts, rolled back) per unit, as rows (keys, cls, sample, value).
+def softmax(scores: Column) -> Column:
+    """Class probabilities per sample from class-major scores."""
+    def over(rows: Column, step) -> Column:
+        return F.aggregate(F.slice(rows, 2, F.size(rows)), F.get(rows, F.lit(0)), lambda acc, row: F.zip_with(acc, row, step))
 
-    ``log`` averages log-probabilities clamped at 1e-9.
+    def scale(r: Column) -> Column:
+        return A.let(over(r, lambda x, y: F.greatest(x, y)), lambda top: A.let(
+            F.transform(r, lambda row: F.zip_with(row, top, lambda v, m: F.exp(v - m))),
+            lambda e: A.let(over(e, lambda x, y: x + y), lambda t: F.transform(e, lambda row: F.zip_with(row, t, lambda v, n: v / n)))))
+
+    return F.when(F.size(scores) > 0, A.let(scores, scale)).otherwise(scores)
+
+
+def roll_back(posterior: Column, shift: Column) -> Column:
+    """Class-major rows of a trace that was rolled right by ``shift`` samples, in the original alignment."""
+    def back(row: Column) -> Column:
+        s = F.pmod(shift, F.greatest(F.size(row), F.lit(1))).cast("int")
+        return F.concat(F.slice(row, s + 1, F.size(row)), F.slice(row, F.lit(1), s))
+
+    return F.transform(posterior, back)
+
+
+def ensemble_posteriors(
+    outputs: DataFrame, keys: Sequence[str], model: str, models: Sequence, posterior: str = "posterior", shift: str | None = None,
+    logits: bool = False, log: bool = False, presence: str | None = None,
+) -> DataFrame:
+    """Mean posterior per unit over the listed models and their shifts: keys, ``n_outputs``, the class-major mean, and the mean presence.
+
+    A row of ``outputs`` is one model's class-major array for a unit, of a trace rolled by ``shift`` samples if that is given. ``logits`` takes the
+    softmax over classes first; rolled outputs are rolled back; then all are averaged element by element. ``log`` returns the logarithm of the mean,
+    clamped at 1e-9. ``presence`` is a column with the logit of a second output; its sigmoids are averaged. Models that are not listed and rows
+    without a posterior take no part; outputs of a unit must have one shape. A unit gathers one array per model and shift, never its samples as rows.
     """
-    long = outputs.select(*keys, *([shift] if shift else []), F.posexplode(posterior).alias("cls", "_row"))
-    long = long.select(*keys, "cls", *([shift] if shift else []), F.size("_row").alias("_n"), F.posexplode("_row").alias("sample", "_v"))
+    p = softmax(F.col(posterior)) if logits else F.col(posterior)
     if shift:
-        long = long.withColumn("sample", F.pmod(F.col("sample") - F.col(shift), F.col("_n")).cast("int"))
-    v = F.log(F.greatest(F.col("_v"), F.lit(1e-9))) if log else F.col("_v")
-    return long.groupBy(*keys, "cls", "sample").agg(F.avg(v).alias("value"))
+        p = roll_back(p, F.col(shift))
+    seen = outputs.filter(F.col(model).isin(*models) & F.col(posterior).isNotNull())
+    order = [F.col(model), *([F.col(shift)] if shift else [])]
+    gathered = F.sort_array(F.collect_list(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], p.alias("p"))))
+    extra = [F.avg(1 / (1 + F.exp(-F.col(presence)))).alias(presence)] if presence else []
+    units = seen.groupBy(*keys).agg(gathered.alias("_all"), F.count(F.lit(1)).cast("int").alias("n_outputs"), *extra)
+
+    def mean(rows: Column) -> Column:
+        first = F.get(rows, F.lit(0))["p"]
+        total = F.aggregate(F.slice(rows, 2, F.size(rows)), first, lambda acc, r: F.zip_with(acc, r["p"], lambda x, y: F.zip_with(x, y, lambda u, v: u + v)))
+        value = (lambda v: F.log(F.greatest(v / F.size(rows), F.lit(1e-9)))) if log else (lambda v: v / F.size(rows))
+        return F.transform(total, lambda row: F.transform(row, value))
+
+    return units.select(*keys, "n_outputs", mean(F.col("_all")).alias(posterior), *([presence] if presence else []))
 
 
 def renaming_consistency(df: DataFrame, old: Mapping[str, str]) -> DataFrame:

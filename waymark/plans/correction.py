@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.hashing import PRIME, draw_sql, poisson_table_sql
@@ -12,7 +14,8 @@ from ..operators import debias as D
 from ..operators import derive, infer, qc, review
 from ..operators.ordered import keep_first
 from ..schema import LANDMARKS_11 as L
-from ..session import materialise
+from ..session import materialise, shared_folder
+from ..sources import clustered
 from .fixtures import BEATS_SQL, CORR_SQL, LM, UNITS_SQL, beats, correction_feed, corrections, stored_units, table, units
 from .quality import QC_SQL
 from .reconcile import LAST_SQL
@@ -676,6 +679,18 @@ def keyed_lookup(spark, sf):
     return K.keyed_lookup(beats(spark, sf), wanted, ["record_id"]).select("record_id", "lead", "beat_id", "qrs_onset")
 
 
+@query(
+    "clustered_lookup",
+    f"WITH {BEATS_SQL} SELECT record_id, lead, beat_id, qrs_onset FROM beats WHERE record_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9000)",
+)
+def clustered_lookup(spark, sf):
+    """The same look-up in a table laid out by record."""
+    path = f"{shared_folder(spark)}/beats-{uuid.uuid4().hex}"
+    clustered.write_clustered(beats(spark, sf).select("record_id", "lead", "beat_id", "qrs_onset"), path)
+    wanted = table(spark, sf, "customer").filter("c_acctbal > 9000").select(F.col("c_custkey").alias("record_id"))
+    return clustered.lookup(spark, path, wanted)
+
+
 @query("extract_record", f"WITH {BEATS_SQL} SELECT lead, beat_id, qrs_onset FROM beats WHERE record_id = 7")
 def extract_record(spark, sf):
     return K.extract_record(beats(spark, sf), 7).select("lead", "beat_id", "qrs_onset")

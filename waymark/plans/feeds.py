@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import streaming
 from ..functions import scalar as S
+from ..session import materialise, shared_folder
 from ..sources import readers
-from .fixtures import BEATS_SQL, beats, micros, table
+from .fixtures import BEATS_SQL, EVENTS_SQL, beats, events, micros, table
 from .registry import query
 
 
@@ -113,6 +116,48 @@ def custom_order_rank(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", S.rank_of(F.col("o_orderstatus"), ("P", "F", "O")).alias("rank")).orderBy("rank", "o_orderkey")
 
 
-@query("region_rows", f"WITH {BEATS_SQL} SELECT lead, min(beat_id) AS first_beat, max(beat_id) AS last_beat FROM beats GROUP BY lead")
-def region_rows(spark, sf):
-    return beats(spark, sf).groupBy("lead").agg(F.min("beat_id").alias("first_beat"), F.max("beat_id").alias("last_beat"))
+GAP = 1_800_000_000
+_GAPS_SQL = f"""{EVENTS_SQL}, p AS (SELECT record_id, event_id, pos, lag(event_id) OVER w AS previous, pos - lag(pos) OVER w AS gap FROM ev WINDOW w AS (PARTITION BY record_id ORDER BY pos, event_id))"""
+
+
+@query("short_gaps", f"WITH {_GAPS_SQL} SELECT record_id, previous, event_id, pos, gap FROM p WHERE gap <= {GAP}")
+def short_gaps(spark, sf):
+    return streaming.short_gaps(events(spark, sf), ["record_id"], "pos", "event_id", GAP, grain=86_400_000_000)
+
+
+@query(
+    "short_gaps_live",
+    f"WITH {_GAPS_SQL} SELECT record_id, previous, event_id, pos, gap FROM p WHERE gap <= {GAP} AND pos // 1000 <= (SELECT max(pos) FROM ev) // 1000 - 600000",
+)
+def short_gaps_live(spark, sf):
+    """The same as a stream over files that land in order of time; events the last watermark has not passed are not reported yet."""
+    root = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
+    ev = materialise(events(spark, sf).select("record_id", "event_id", "pos", F.timestamp_micros("pos").alias("ts")))
+    cuts = ev.agg(F.percentile_approx("pos", [0.3, 0.6])).first()[0]
+    edges = [None, *cuts, None]
+    for lo, hi in zip(edges, edges[1:]):
+        part = ev.filter((F.lit(lo).isNull() | (F.col("pos") > F.lit(lo))) & (F.lit(hi).isNull() | (F.col("pos") <= F.lit(hi))))
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    feed = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    found = streaming.short_gap_monitor(feed, ["record_id"], "ts", "pos", "event_id", GAP)
+    sink = found.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    streaming.drain(sink)
+    return spark.read.schema(found.schema).parquet(f"{root}/out")
+
+
+_DOCUMENT = """CASE WHEN beat_id % 17 = 0 THEN 'beat lost' ELSE '{"lead_' || lead || '":{"qrs":' || qrs_onset || ',"t":' || coalesce(CAST(t_peak AS STRING), 'null') || '},"last":' || beat_id || ',"tag":"x' || beat_id % 5 || '"}' END"""
+
+
+@query(
+    "merged_documents",
+    f"""WITH {BEATS_SQL}, g AS (SELECT * FROM beats WHERE beat_id % 17 <> 0),
+    l AS (SELECT record_id, beat_id, lead, 'lead_' || lead || '/qrs' AS path, CAST(qrs_onset AS VARCHAR) AS value FROM g UNION ALL SELECT record_id, beat_id, lead, 'lead_' || lead || '/t', coalesce(CAST(t_peak AS VARCHAR), 'null') FROM g
+      UNION ALL SELECT record_id, beat_id, lead, 'last', CAST(beat_id AS VARCHAR) FROM g UNION ALL SELECT record_id, beat_id, lead, 'tag', '"x' || beat_id % 5 || '"' FROM g),
+    m AS (SELECT record_id, path, value FROM l QUALIFY row_number() OVER (PARTITION BY record_id, path ORDER BY beat_id DESC, lead DESC) = 1)
+    SELECT * FROM m UNION ALL SELECT record_id, 'set aside', CAST(count(*) AS VARCHAR) FROM beats WHERE beat_id % 17 = 0 GROUP BY record_id""",
+)
+def merged_documents(spark, sf):
+    docs = beats(spark, sf).select("record_id", "beat_id", "lead", F.expr(_DOCUMENT).alias("value"))
+    merged, bad = readers.merge_documents(materialise(docs), ["record_id"], ["beat_id", "lead"], depth=4)
+    aside = bad.groupBy("record_id").agg(F.count(F.lit(1)).cast("string").alias("value")).select("record_id", F.lit("set aside").alias("path"), "value")
+    return merged.select("record_id", F.array_join("path", "/").alias("path"), "value").unionByName(aside)

@@ -308,10 +308,29 @@ def misordered_events_dropped(spark, sf):
     return kept.select("record_id", "lead", "beat_id")
 
 
-@query("short_intervals_dropped")
+# One pass per step of the recursion, over the whole table; a pass that removes nothing adds no rows.
+_SHORT = 3_600_000_000
+
+
+def _rough(order: list[str]) -> str:
+    d = [f"({b} - {a})" for a, b in zip(order, order[1:])]
+    return f"abs({d[1]} - {d[0]}) + " + " + ".join(f"abs({q} - {p})" for p, q in zip(d[1:], d[2:]))
+
+
+SHORT_SQL = f"""WITH RECURSIVE {EVENTS_SQL}, r AS (SELECT 0 AS pass, record_id, pos, event_id FROM ev UNION ALL SELECT pass, record_id, pos, event_id FROM (
+  SELECT *, bool_or(gone) OVER () AS any_gone FROM (SELECT *, me OR coalesce(lag(nx) OVER (PARTITION BY record_id ORDER BY pos, event_id), false) AS gone FROM (
+   SELECT *, short AND earlier AS me, short AND NOT earlier AS nx FROM (
+    SELECT *, coalesce(abs(x1 - pos) <= {_SHORT}, false) AS short,
+      CASE WHEN i >= 3 AND i <= n - 3 THEN {_rough(["xm2", "xm1", "x1", "x2", "x3"])} > {_rough(["xm2", "xm1", "pos", "x2", "x3"])} ELSE i >= 3 END AS earlier FROM (
+     SELECT pass + 1 AS pass, record_id, pos, event_id, row_number() OVER w AS i, count(*) OVER (PARTITION BY record_id) AS n, lag(pos, 2) OVER w AS xm2, lag(pos) OVER w AS xm1, lead(pos) OVER w AS x1,
+      lead(pos, 2) OVER w AS x2, lead(pos, 3) OVER w AS x3 FROM r WINDOW w AS (PARTITION BY record_id ORDER BY pos, event_id)) a) b) c) d) e WHERE any_gone AND NOT gone)
+SELECT record_id, count(*) AS n_kept, CAST(sum(pos) AS BIGINT) AS pos_sum FROM r WHERE pass = (SELECT max(pass) FROM r) GROUP BY record_id"""
+
+
+@query("short_intervals_dropped", SHORT_SQL)
 def short_intervals_dropped(spark, sf):
     ev = events(spark, sf).select("record_id", "pos", "event_id")
-    kept = qc.drop_short_intervals(ev, ["record_id"], "pos", limit=3_600_000_000, tie=["event_id"], grain=86_400_000_000)
+    kept = qc.drop_short_intervals(ev, ["record_id"], "pos", limit=_SHORT, tie=["event_id"], grain=86_400_000_000)
     return kept.groupBy("record_id").agg(F.count(F.lit(1)).alias("n_kept"), F.sum("pos").alias("pos_sum"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import consensus as C
@@ -9,8 +11,9 @@ from ..operators import qc, review
 from ..operators.derive import INTERVALS
 from ..operators.ordered import keep_first
 from ..schema import LANDMARKS_11 as L
-from ..session import materialise
-from .fixtures import BEATS_SQL, CORR_SQL, EVENTS_SQL, LM, beats, correction_feed, corrections, events, units
+from ..session import materialise, shared_folder
+from ..sources import buckets
+from .fixtures import BEATS_SQL, CORR_SQL, EVENTS_SQL, LM, beats, correction_feed, corrections, events, stored_units, units
 from .quality import DEV_SQL, QC_SQL, REP_MED_SQL, RSTAT_SQL, UNIT_SQL
 from .registry import query
 
@@ -419,19 +422,35 @@ def latest_corrections(spark, sf):
     return c.select("record_id", "lead", "beat_id", micros("edited_at").alias("edited_us"), "r_peak", "q_peak")
 
 
-@query(
-    "upsert_corrections",
-    f"""WITH {CORR_SQL}, old AS (SELECT record_id, lead, edited_at - INTERVAL 1 DAY AS edited_at, qrs_onset FROM corr WHERE record_id % 2 = 0),
-    every AS (SELECT * FROM old UNION ALL SELECT record_id, lead, edited_at, qrs_onset FROM feed WHERE record_id % 7 = 0)
-    SELECT record_id, lead, qrs_onset FROM (SELECT *, row_number() OVER (PARTITION BY record_id, lead ORDER BY edited_at DESC) AS k FROM every) z WHERE k = 1""",
-)
-def upsert_corrections(spark, sf):
+UPSERT_SQL = CORR_SQL + """, old AS (SELECT record_id, lead, CASE WHEN record_id % 3 = 0 THEN edited_at + INTERVAL 1 DAY ELSE edited_at - INTERVAL 1 DAY END AS edited_at, qrs_onset + 1 AS qrs_onset FROM corr),
+    every AS (SELECT * FROM old UNION ALL SELECT record_id, lead, edited_at, qrs_onset FROM feed)
+    SELECT record_id, lead, qrs_onset FROM (SELECT *, row_number() OVER (PARTITION BY record_id, lead ORDER BY edited_at DESC) AS k FROM every) z WHERE k = 1"""
+
+
+def _saved_and_fed(spark, sf):
+    """All corrections as saved, a third of them later than the feed has them, and the whole feed."""
     cols = ["record_id", "lead", "edited_at", "qrs_onset"]
-    # The change feed only touches some units; the saved table holds others.
-    old = corrections(spark, sf).filter("record_id % 2 = 0").withColumn("edited_at", F.expr("edited_at - INTERVAL 1 DAY"))
-    new = correction_feed(spark, sf).filter("record_id % 7 = 0")
-    out = review.upsert(old.select(*cols), new.select(*cols), ["record_id", "lead"], ["edited_at"])
-    return out.select("record_id", "lead", "qrs_onset")
+    u = stored_units(spark, sf)
+    at = F.when(F.col("record_id") % 3 == 0, F.expr("edited_at + INTERVAL 1 DAY")).otherwise(F.expr("edited_at - INTERVAL 1 DAY"))
+    old = corrections(spark, sf, u).withColumns({"edited_at": at, "qrs_onset": F.col("qrs_onset") + 1})
+    return old.select(*cols), correction_feed(spark, sf, u).select(*cols)
+
+
+@query("upsert_corrections", f"WITH {UPSERT_SQL}")
+def upsert_corrections(spark, sf):
+    old, new = _saved_and_fed(spark, sf)
+    return review.upsert(old, new, ["record_id", "lead"], ["edited_at"]).select("record_id", "lead", "qrs_onset")
+
+
+@query("bucketed_corrections", f"WITH {UPSERT_SQL}")
+def bucketed_corrections(spark, sf):
+    """The same through a table in buckets: saved once, then changed by a feed in two batches, the second of which is sent twice."""
+    old, new = _saved_and_fed(spark, sf)
+    root, unit = f"{shared_folder(spark)}/corrections-{uuid.uuid4().hex}", ["record_id", "lead"]
+    buckets.fold_changes(old, root, unit, ["edited_at"], n_buckets=16)
+    for number, part in enumerate((new.filter("lead <= 3"), new.filter("lead > 3"), new.filter("lead > 3"))):
+        buckets.fold_changes(part, root, unit, ["edited_at"], feed="corrections", batch=min(number, 1))
+    return buckets.read_buckets(spark, root).select("record_id", "lead", "qrs_onset")
 
 
 @query(

@@ -438,15 +438,44 @@ def posterior_argmax(spark, sf):
     return t.select("record_id", "lead", F.posexplode("m").alias("sample", "label"))
 
 
+# The channels of a record stand for the models of an ensemble, each read at two shifts; three classes are made of each trace.
+_SCORES_SQL = f"""{TRACE_SQL}, sc AS (SELECT record_id, lead, shift, sample, (sample + 64 - shift) % 64 AS home, unnest([0, 1, 2]) AS cls, unnest([3 * v, 1 - v, v * v]) AS s FROM trace, (SELECT unnest([0, 5]) AS shift)),
+ pr AS (SELECT *, exp(s) / sum(exp(s)) OVER (PARTITION BY record_id, lead, shift, sample) AS p FROM sc)"""
+
+
+def _scored(spark, sf):
+    x = F.col("trace")
+    scores = F.array(F.transform(x, lambda v: v * 3), F.transform(x, lambda v: F.lit(1.0) - v), F.transform(x, lambda v: v * v))
+    return traces(spark, sf).select("record_id", "lead", F.explode(F.array(F.lit(0), F.lit(5))).alias("shift"), scores.alias("posterior"), F.get("trace", F.lit(0)).alias("p_logit"))
+
+
+def _by_sample(e):
+    return e.select("record_id", "n_outputs", F.posexplode("posterior").alias("cls", "_row")).select("record_id", "n_outputs", "cls", F.posexplode("_row").alias("sample", "value"))
+
+
 @query(
     "posterior_ensemble",
-    f"""WITH {TRACE_SQL} SELECT record_id, CAST(sample AS INTEGER) AS sample, round(avg(v), 6) AS value FROM trace GROUP BY ALL""",
+    f"WITH {_SCORES_SQL} SELECT record_id, CAST(cls AS INTEGER) AS cls, CAST(home AS INTEGER) AS sample, CAST(count(*) AS INTEGER) AS n_outputs, round(avg(p), 6) AS value FROM pr GROUP BY record_id, cls, home",
 )
 def posterior_ensemble(spark, sf):
-    # The channels of a record stand for the models of an ensemble.
-    o = traces(spark, sf).select("record_id", F.array("trace").alias("posterior"))
-    e = S.ensemble_posteriors(o, ["record_id"]).select("record_id", "sample", "value")
-    return r6(e, "value")
+    return r6(_by_sample(S.ensemble_posteriors(_scored(spark, sf), ["record_id"], "lead", CH, shift="shift", logits=True)), "value")
+
+
+@query(
+    "posterior_ensemble_log",
+    f"""WITH {_SCORES_SQL} SELECT record_id, CAST(cls AS INTEGER) AS cls, CAST(home AS INTEGER) AS sample, CAST(count(*) AS INTEGER) AS n_outputs, round(ln(greatest(avg(s), 1e-9::DOUBLE)), 6) AS value
+    FROM sc WHERE lead < 5 GROUP BY record_id, cls, home""",
+)
+def posterior_ensemble_log(spark, sf):
+    return r6(_by_sample(S.ensemble_posteriors(_scored(spark, sf), ["record_id"], "lead", CH[:5], shift="shift", log=True)), "value")
+
+
+@query(
+    "presence_ensemble",
+    f"WITH {TRACE_SQL} SELECT record_id, CAST(2 * count(*) AS INTEGER) AS n_outputs, round(avg(1 / (1 + exp(-v))), 6) AS p_logit FROM trace WHERE sample = 0 GROUP BY record_id",
+)
+def presence_ensemble(spark, sf):
+    return r6(S.ensemble_posteriors(_scored(spark, sf), ["record_id"], "lead", CH, shift="shift", logits=True, presence="p_logit").drop("posterior"), "p_logit")
 
 
 @query(
