@@ -28,6 +28,7 @@ from .words import _powers, mix, raw_bytes, slices
 SLICE = 1 << 19
 DECODED = 1 << 17
 _STEP = np.uint64(0x100000001B3)
+_PLACE, _CHOICE = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xABC98388FB8FAC03)
 
 
 class Vocabulary:
@@ -221,7 +222,7 @@ class _Draw:
         with np.errstate(divide="ignore"):
             mass = before + np.log(rest)
             mass = np.where((occ > from_occ[doc]) | ((occ == from_occ[doc]) & (step >= from_step[doc])), mass, -np.inf)
-            u = _uniform(parent_key[doc] ^ mix((place[occ].astype(np.uint64) << np.uint64(20)) + step.astype(np.uint64) + np.uint64(77)))
+            u = _uniform(parent_key[doc] ^ mix(place[occ].astype(np.uint64) * _PLACE + step.astype(np.uint64) * _CHOICE + np.uint64(77)))
             # before it is cut off at the parent's score, which changes no order inside a note
             self.free = mass - np.log(-np.log(u))
         self.score = score
@@ -274,14 +275,14 @@ def segment(vocab: Vocabulary, ids: np.ndarray, texts: pa.Array, k: int, seed: i
             occ, node, step = occ[on], node[on], step[on]
             if not len(occ):
                 break
-            u = _uniform(doc_key[doc_of[occ]] ^ mix((place[occ].astype(np.uint64) << np.uint64(24)) + (step.astype(np.uint64) << np.uint64(6)) + np.uint64(draw)))
+            u = _uniform(doc_key[doc_of[occ]] ^ mix(place[occ].astype(np.uint64) * _PLACE + step.astype(np.uint64) * _CHOICE + np.uint64(draw)))
             e = lat.pick(node, u)
             parts.append((occ, step, e))
             node, step = lat.src[e] - 1, step + 1
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
 
     def ordered(occ, step, edge):
-        by = np.argsort(occ.astype(np.int64) * (1 << 24) + step, kind="stable")
+        by = np.lexsort((step, occ)) if len(step) and step.max() >= 1 << 24 else np.argsort(occ.astype(np.int64) * (1 << 24) + step, kind="stable")
         return occ[by], step[by], edge[by]
 
     every = np.arange(len(start))
@@ -362,12 +363,25 @@ def segment(vocab: Vocabulary, ids: np.ndarray, texts: pa.Array, k: int, seed: i
 OUT = "record_id long, draw int, n_pieces int, log_prob double, perturbed double, log_inclusion double, pieces array<int>"
 
 
-def sample_segmentations(notes: DataFrame, model_path: str, record_id: str = "record_id", text: str = "notes", k: int = 3, alpha: float = 1.0, seed: int = 17) -> DataFrame:
+def spelled(vocab: Vocabulary, flat: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """The texts of piece lists laid end to end; ids outside the vocabulary spell nothing, bytes that form no UTF-8 become U+FFFD."""
+    flat = np.where((flat >= 0) & (flat < len(vocab.size)), flat, 0)
+    size = vocab.size[flat]
+    at = np.concatenate([[0], np.cumsum(size)])
+    raw = vocab.flat[np.repeat(vocab.at[flat] - at[:-1], size) + np.arange(at[-1])].tobytes()
+    at = at[cut]
+    return pa.array([raw[i + (1 if raw[i : i + 1] == b" " and j > i else 0) : j].decode("utf-8", "replace") for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.string())
+
+
+def sample_segmentations(
+    notes: DataFrame, model_path: str, record_id: str = "record_id", text: str = "notes", k: int = 3, alpha: float = 1.0, seed: int = 17, decoded: str | None = None,
+) -> DataFrame:
     """Draw ``k`` distinct segmentations of every whole note, without replacement.
 
     ``model_path``: a SentencePiece model with byte pieces, read on the driver. Returns one row per note and draw: ``record_id``, ``draw`` (from
     1, in falling order of the perturbed score), ``n_pieces``, ``log_prob`` of the segmentation, its ``perturbed`` score, ``log_inclusion`` (log of
-    the probability that the segmentation beats the best one not drawn; 0 if all were drawn) and ``pieces`` (ids). Decoding gives back the note.
+    the probability that the segmentation beats the best one not drawn; 0 if all were drawn) and ``pieces`` (ids). ``decoded`` names one more
+    column: the text that the pieces spell, decoded from their ids in the task that drew them.
 
     A note with fewer than ``k`` segmentations returns all it has: null and empty notes have one, without pieces. Equal ids draw with equal
     random numbers, so repeated rows repeat their results; a null id draws like 0. Characters that no piece spells become byte pieces. Memory
@@ -389,13 +403,16 @@ def sample_segmentations(notes: DataFrame, model_path: str, record_id: str = "re
                     log_inc = np.where(x < -30, x, np.log(-np.expm1(-np.exp(np.minimum(x, 700)))))
                 n = np.diff(d["offsets"])
                 assert not n[~d["live"]].any()
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n[rows])]).astype(np.int32)), pa.array(d["pieces"].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(rows)), pa.array(np.full(len(rows), i + 1, np.int32)), pa.array(n[rows].astype(np.int32)), pa.array(d["log_prob"][rows]), pa.array(d["perturbed"][rows]), pa.array(log_inc), lists],
-                    names=["record_id", "draw", "n_pieces", "log_prob", "perturbed", "log_inclusion", "pieces"])
+                cut = np.concatenate([[0], np.cumsum(n[rows])])
+                lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(d["pieces"].astype(np.int32)))
+                columns = [b.column(0).take(pa.array(rows)), pa.array(np.full(len(rows), i + 1, np.int32)), pa.array(n[rows].astype(np.int32)), pa.array(d["log_prob"][rows]), pa.array(d["perturbed"][rows]), pa.array(log_inc), lists]
+                names = ["record_id", "draw", "n_pieces", "log_prob", "perturbed", "log_inclusion", "pieces"]
+                if decoded:
+                    columns, names = [*columns, spelled(vocab, d["pieces"], cut)], [*names, decoded]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     src = notes.select(F.col(record_id).cast("long").alias("record_id"), F.col(text).cast("string").alias("notes"))
-    return src.mapInArrow(run, OUT)
+    return src.mapInArrow(run, OUT + (f", `{decoded}` string" if decoded else ""))
 
 
 def decode_pieces(segmented: DataFrame, model_path: str, pieces: str = "pieces", out: str = "notes") -> DataFrame:
@@ -407,15 +424,9 @@ def decode_pieces(segmented: DataFrame, model_path: str, pieces: str = "pieces",
     def spell(b: pa.RecordBatch) -> pa.RecordBatch:
         lists = b.column(name.index(pieces))
         flat = np.asarray(pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False), np.int64)
-        flat = np.where((flat >= 0) & (flat < len(vocab.size)), flat, 0)
         n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-        cut = np.concatenate([[0], np.cumsum(n)])
-        size = vocab.size[flat]
-        at = np.concatenate([[0], np.cumsum(size)])
-        spelled = vocab.flat[np.repeat(vocab.at[flat] - at[:-1], size) + np.arange(at[-1])].tobytes()
-        texts = [spelled[at[i] + (1 if j > i and spelled[at[i] : at[i] + 1] == b" " else 0) : at[j]].decode("utf-8", "replace") for i, j in zip(cut[:-1], cut[1:], strict=True)]
-        col = pc.if_else(lists.is_null(), pa.scalar(None, pa.string()), pa.array(texts, pa.string()))
-        return pa.RecordBatch.from_arrays([*b.columns, col], names=[*name, out])
+        texts = spelled(vocab, flat, np.concatenate([[0], np.cumsum(n)]))
+        return pa.RecordBatch.from_arrays([*b.columns, pc.if_else(lists.is_null(), pa.scalar(None, pa.string()), texts)], names=[*name, out])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -87,9 +87,8 @@ PIECES = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 @_query
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = pieces.sample_segmentations(notes_of(_table(spark, sf_dir, "documents")), PIECES)
-    back = pieces.decode_pieces(drawn, PIECES)
-    return back.select(
+    drawn = pieces.sample_segmentations(notes_of(_table(spark, sf_dir, "documents")), PIECES, decoded="notes")
+    return drawn.select(
         F.col("record_id").alias("doc_id"), "draw", "n_pieces", "log_prob", "perturbed", "log_inclusion",
         F.xxhash64("pieces").alias("pieces_hash"), F.crc32(F.col("notes").cast("binary")).alias("text_crc32"))
 
