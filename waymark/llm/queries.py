@@ -51,16 +51,31 @@ WITH cut AS (SELECT doc_id, md5(text) AS note, unnest(string_split(text, chr(10)
 plain AS (SELECT doc_id, note, place, trim(regexp_replace(l, '[ \\t\\r\\f]+', ' ', 'g'), ' ') AS l FROM cut),
 lines AS (SELECT doc_id, note, place, regexp_replace(l, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS line FROM plain WHERE len(string_split(l, ' ')) >= 3),
 leafed AS (SELECT *, len(string_split(line, ' ')) AS n_tokens, array_to_string(string_split(line, ' ')[1:3], ' ') AS lead FROM lines),
-busy AS (SELECT n_tokens, lead FROM leafed GROUP BY ALL HAVING count(DISTINCT note) >= 20),
-kept AS (SELECT * FROM leafed SEMI JOIN busy USING (n_tokens, lead)),
-tok AS (SELECT n_tokens, lead, note, line, unnest(string_split(line, ' ')) AS token, generate_subscripts(string_split(line, ' '), 1) AS pos FROM (SELECT DISTINCT n_tokens, lead, note, line FROM kept)),
-fixed AS (SELECT n_tokens, lead, pos, token FROM tok WHERE pos > 3 AND token <> '<*>' GROUP BY ALL HAVING count(DISTINCT note) >= 20),
-marked AS (SELECT t.n_tokens, t.lead, t.line, t.pos, CASE WHEN t.pos <= 3 OR f.token IS NOT NULL THEN t.token ELSE '<*>' END AS m
-    FROM (SELECT DISTINCT n_tokens, lead, line, pos, token FROM tok) t LEFT JOIN fixed f USING (n_tokens, lead, pos, token)),
-shaped AS (SELECT n_tokens, lead, line, string_agg(m, ' ' ORDER BY pos) AS template FROM marked GROUP BY ALL HAVING count(*) FILTER (m <> '<*>') >= 0.5 * any_value(n_tokens)),
-member AS (SELECT doc_id, note, place, n_tokens, template FROM kept JOIN shaped USING (n_tokens, lead, line)),
-often AS (SELECT template, count(DISTINCT note) AS n_notes FROM member GROUP BY template HAVING count(DISTINCT note) >= 20)
-SELECT doc_id, CAST(place AS INTEGER) AS place, CAST(n_tokens AS INTEGER) AS n_tokens, template, n_notes FROM member JOIN often USING (template)
+busy AS (SELECT n_tokens, lead, count(DISTINCT note) AS leaf_notes, CASE WHEN n_tokens >= 8 THEN 2 WHEN n_tokens >= 5 THEN 3 ELSE 5 END AS few FROM leafed GROUP BY ALL HAVING count(DISTINCT note) >= few),
+kept AS (SELECT * FROM leafed JOIN busy USING (n_tokens, lead)),
+tok AS (SELECT n_tokens, lead, few, leaf_notes, note, line, unnest(string_split(line, ' ')) AS token, generate_subscripts(string_split(line, ' '), 1) AS pos
+    FROM (SELECT DISTINCT n_tokens, lead, few, leaf_notes, note, line FROM kept)),
+word AS (SELECT DISTINCT n_tokens, lead, few, leaf_notes, line, pos, token FROM tok),
+-- the tree of 20 notes
+fixed AS (SELECT n_tokens, lead, pos, token FROM tok WHERE leaf_notes >= 20 AND pos > 3 AND token <> '<*>' GROUP BY ALL HAVING count(DISTINCT note) >= 20),
+marked AS (SELECT t.line, t.n_tokens, t.pos, CASE WHEN t.pos <= 3 OR f.token IS NOT NULL THEN t.token ELSE '<*>' END AS m FROM word t LEFT JOIN fixed f USING (n_tokens, lead, pos, token) WHERE leaf_notes >= 20),
+shaped AS (SELECT line, n_tokens, string_agg(m, ' ' ORDER BY pos) AS template FROM marked GROUP BY ALL HAVING count(*) FILTER (m <> '<*>') >= 0.5 * n_tokens),
+often AS (SELECT template, n_tokens, count(DISTINCT note) AS n_notes FROM (SELECT DISTINCT line, n_tokens, note FROM kept) JOIN shaped USING (line, n_tokens) GROUP BY ALL HAVING count(DISTINCT note) >= 20),
+high AS (SELECT line, template, n_notes FROM shaped JOIN often USING (template, n_tokens)),
+-- lines that are nearly all fixed: as they stand, then templates among the rest
+sure AS (SELECT line, n_tokens, few FROM word GROUP BY ALL HAVING count(*) FILTER (token <> '<*>') >= ceil(0.8 * n_tokens - 1e-9)),
+held AS (SELECT DISTINCT line, n_tokens, few, note FROM kept SEMI JOIN sure USING (line)),
+own AS (SELECT line, n_tokens FROM held GROUP BY line, n_tokens, few HAVING count(DISTINCT note) >= few),
+rest AS (SELECT * FROM tok SEMI JOIN sure USING (line) ANTI JOIN own USING (line)),
+fixed2 AS (SELECT n_tokens, lead, pos, token FROM rest WHERE pos > 3 AND token <> '<*>' GROUP BY n_tokens, lead, pos, token, few HAVING count(DISTINCT note) >= few),
+marked2 AS (SELECT t.line, t.n_tokens, t.pos, f.token IS NOT NULL AS hit, CASE WHEN t.pos <= 3 OR f.token IS NOT NULL THEN t.token ELSE '<*>' END AS m
+    FROM (SELECT DISTINCT line, n_tokens, lead, pos, token FROM rest) t LEFT JOIN fixed2 f USING (n_tokens, lead, pos, token)),
+near AS (SELECT line, n_tokens, string_agg(m, ' ' ORDER BY pos) AS template FROM marked2 GROUP BY ALL HAVING bool_or(hit) AND count(*) FILTER (m <> '<*>') >= ceil(0.8 * n_tokens - 1e-9)),
+shaped2 AS (SELECT line, n_tokens, line AS template FROM own UNION ALL SELECT * FROM near),
+often2 AS (SELECT template, n_tokens, count(DISTINCT note) AS n_notes FROM held JOIN shaped2 USING (line, n_tokens) GROUP BY template, n_tokens, few HAVING count(DISTINCT note) >= few),
+low AS (SELECT line, template, n_notes FROM shaped2 JOIN often2 USING (template, n_tokens) ANTI JOIN high USING (line)),
+found AS (SELECT * FROM high UNION ALL SELECT * FROM low)
+SELECT doc_id, CAST(place AS INTEGER) AS place, CAST(n_tokens AS INTEGER) AS n_tokens, template, n_notes FROM kept JOIN found USING (line)
 """
 
 
