@@ -28,8 +28,22 @@ def test_thresholds_reach_the_end_of_the_draw():
 
 
 def test_array_draws_equal_column_draws(spark):
-    d = spark.range(50).select(F.col("id"), H.draw(9, F.col("id"), F.lit(3)).alias("u")).collect()
-    assert [r.u for r in d] == H.draws(9, [np.arange(50, dtype=np.int64), np.int64(3)]).tolist()
+    d = H.with_state(spark.range(50).coalesce(1), "u", 9, [F.col("id") - 7, F.lit(4)])
+    got = [r.u for r in H.continue_draw(d, "u", F.lit(3)).collect()]
+    assert got == H.draws(9, [np.arange(-7, 43, dtype=np.int64), np.int64(4)], np.int64(3)).tolist()
+    sql = H.replicate_sql(9, ["i", "4"], "3")
+    assert got == [r[0] for r in duckdb.sql(f"SELECT {sql} FROM (SELECT unnest(range(-7, 43)) AS i)").fetchall()]
+
+
+def test_keys_equal_modulo_the_prime_draw_apart(spark):
+    ids = [5, 5 + H.PRIME, 5 + 2 * H.PRIME, 5 + H.LANES[1][0], 5 + H.PRIME * 10**6, -5]
+    d = spark.createDataFrame([(i,) for i in ids], "id long").coalesce(1)
+    u = [r.u for r in H.with_draw(d, "u", 3, [F.col("id")]).collect()]
+    assert len(set(u)) == len(ids) and max(u) > 1 << 40
+    assert u == [r[0] for r in duckdb.sql(f"SELECT {H.draw_sql(3, 'i')} FROM (SELECT unnest({ids}) AS i)").fetchall()]
+    w = H.poisson_weights(3, [np.array(ids)], np.ones(len(ids), np.int64), np.arange(4000))
+    same = np.corrcoef(w)[~np.eye(len(ids), dtype=bool)]
+    assert np.abs(same).max() < 0.1
 
 
 def medians_by_hand(v, c, n, seed):

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..functions.hashing import PRIME, continue_draw, key_parts, with_state
+from ..functions.hashing import PRIME, continue_draw, key_parts, replicate_step, with_state
 from ..schema import LANDMARKS_11, Landmarks
 from .segment import CLASSES, runs
 
@@ -242,8 +242,7 @@ def signal_noise(
     dropped = (F.col("_ud") < dropout) & ~(protect if protect is not None else F.lit(False))
 
     def mixed(s: Column, i: Column, salt: int) -> Column:
-        y = F.pmod(s * F.lit(48271) + (i.cast("bigint") + salt) * F.lit(69621), F.lit(PRIME))
-        return A.let(A.let(y, lambda z: F.pmod(z * z + z * F.lit(3) + F.lit(12345), F.lit(PRIME))), lambda z: (F.pmod(z * z + F.lit(777), F.lit(PRIME)).cast("double") + 0.5) / float(PRIME))
+        return A.let(A.let(replicate_step(s, i + salt), lambda z: F.pmod(z * z + z * F.lit(3) + F.lit(12345), F.lit(PRIME))), lambda z: (F.pmod(z * z + F.lit(777), F.lit(PRIME)).cast("double") + 0.5) / float(PRIME))
 
     def one(v: Column, i: Column, s: Column) -> Column:
         out = v * s["k"]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.hashing import WHOLE, key_parts, with_draw
+from ..functions.hashing import DRAW_GRAIN, WHOLE, key_parts, with_draw
 from ..functions.scalar import half_even, halve_rate, non_blank, remap, strip_suffix
 from ..schema import KEYS, LANDMARKS_11, Keys, Landmarks
 from ..session import materialise
@@ -29,7 +29,7 @@ def ranked_in_order(df: DataFrame, by: Sequence[str], key: str, out: str = "_i")
 def seeded_sample(df: DataFrame, by: Sequence[str], ids: Sequence[str], n: int, seed: int) -> DataFrame:
     """``n`` rows per group without replacement, the same rows for the same seed and keys."""
     d = with_draw(df, "_h", seed, key_parts(df, ids))
-    d = with_neighbours(d, by, "_h", ties=ids, ordinal="_k")
+    d = with_neighbours(d, by, "_h", ties=ids, ordinal="_k", grain=DRAW_GRAIN)
     return d.filter(F.col("_k") <= n).drop("_h", "_k")
 
 
@@ -115,7 +115,7 @@ def stratified_topup(
     have = kept.groupBy(class_col).agg(*[F.count_if(F.col("split") == s).alias(f"_have_{s}") for s in splits])
     fresh = pool.select(class_col, key).distinct().join(previous.select(key).distinct(), key, "left_anti")
     fresh = with_draw(fresh, "_h", seed, key_parts(fresh, [key]))
-    fresh = with_neighbours(fresh, [class_col], "_h", ties=[key], ordinal="_i").join(have, class_col, "left")
+    fresh = with_neighbours(fresh, [class_col], "_h", ties=[key], ordinal="_i", grain=DRAW_GRAIN).join(have, class_col, "left")
     upto, pick = F.lit(0), F.lit(None).cast("string")
     arms = []
     for s in splits:

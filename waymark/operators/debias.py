@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import key_parts, with_draw
+from ..functions.hashing import DRAW_GRAIN, key_parts, with_draw
 from ..functions.scalar import half_even
 from ..schema import KEYS, LANDMARKS_11, Keys, Landmarks
 from ..session import materialise
@@ -190,7 +190,7 @@ def stratified_folds(
 ) -> DataFrame:
     """Shuffle within each stratum by hash, then deal the rows to the folds in turn."""
     d = with_draw(df, "_h", seed, key_parts(df, ids))
-    d = with_neighbours(d, by, "_h", ties=ids, ordinal="_i")
+    d = with_neighbours(d, by, "_h", ties=ids, ordinal="_i", grain=DRAW_GRAIN)
     return d.withColumn(out, (F.col("_i") - 1) % k).drop("_h", "_i")
 
 

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions.hashing import PRIME, draw_sql, poisson_table_sql
+from ..functions.hashing import draw_sql, poisson_table_sql, replicate_sql
 from ..functions import scalar as S
 from ..operators import consensus as C
 from ..operators import corpus as K
@@ -27,7 +27,7 @@ POWERS = 13  # the SQL twins' table of Poisson thresholds covers counts of equal
 
 def boot_sql(name: str, src: str, by: str, value: str, ids: list[str], n: int, seed: int, stat: str = "median") -> str:
     """Common table expressions ending in ``name`` (by, n, point, lo, hi): equal values are counted, each power of two in a count draws once."""
-    u = draw_sql(seed, f"(((CAST(round(v * 1e6) AS BIGINT) % {PRIME}) + {PRIME}) % {PRIME})", "b", "rep")
+    u = replicate_sql(seed, ["round(v * 1e6)", "b"], "rep")
     if stat == "median":
         reps = f"""SELECT {by}, rep, (min(v) FILTER (upto > (total - 1) // 2) + min(v) FILTER (upto > total // 2)) / 2 AS s FROM (SELECT {by}, rep, v,
       sum(w) OVER (PARTITION BY {by}, rep ORDER BY v) AS upto, sum(w) OVER (PARTITION BY {by}, rep) AS total FROM {name}_r) z WHERE total > 0 GROUP BY {by}, rep"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.hashing import draw_sql, poisson_one_sql
+from ..functions.hashing import poisson_one_sql, replicate_sql
 from ..operators import derive, infer, popstats as P, score as Z
 from ..schema import LANDMARKS_11 as L
 from .correction import BOOT
@@ -261,7 +261,7 @@ def fold_means(spark, sf):
 def cluster_sql(name: str, src: str, by: str, value: str, n: int, seed: int, units_mode: bool = False) -> str:
     s, k = ("sum(v)", "count(*)") if units_mode else ("avg(v)", "1")
     return f"""{name}_c AS (SELECT {by}, record_id, {s} AS s0, {k} AS n0 FROM (SELECT {by}, record_id, CAST({value} AS DOUBLE) AS v FROM {src} WHERE {value} IS NOT NULL) z GROUP BY {by}, record_id),
-     {name}_r AS (SELECT *, {poisson_one_sql('u')} AS w FROM (SELECT c.*, rep, {draw_sql(seed, 'record_id', '0', 'rep')} AS u FROM {name}_c c, (SELECT unnest(range({n})) AS rep) q) z),
+     {name}_r AS (SELECT *, {poisson_one_sql('u')} AS w FROM (SELECT c.*, rep, {replicate_sql(seed, ['record_id', '0'], 'rep')} AS u FROM {name}_c c, (SELECT unnest(range({n})) AS rep) q) z),
      {name}_s AS (SELECT {by}, rep, sum(s0*w)/nullif(sum(n0*w), 0) AS s FROM {name}_r GROUP BY {by}, rep),
      {name}_p AS (SELECT {by}, count(*) AS n_clusters, sum(s0)/sum(n0) AS point FROM {name}_c GROUP BY {by}),
      {name} AS (SELECT * FROM {name}_p JOIN (SELECT {by}, quantile_cont(s, 0.025) AS lo, quantile_cont(s, 0.975) AS hi FROM {name}_s GROUP BY {by}) i USING ({by}))"""

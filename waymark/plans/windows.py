@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.hashing import draw_sql
+from ..functions.hashing import replicate_sql
 from ..operators import augment as X
 from ..operators import segment as S
 from ..schema import LANDMARKS_11 as L
@@ -36,7 +36,7 @@ def augmented_windows(spark, sf):
 
 @query(
     "augmentation_draws",
-    f"WITH {LABELS_SQL} SELECT DISTINCT record_id, round(({draw_sql(5, 'record_id', '1')} + 0.5::DOUBLE)/2147483647.0::DOUBLE, 8) AS u_iso, round(({draw_sql(5, 'record_id', '2')} + 0.5::DOUBLE)/2147483647.0::DOUBLE, 8) AS u_tail FROM labs",
+    f"WITH {LABELS_SQL} SELECT DISTINCT record_id, round(({replicate_sql(5, ['record_id'], '1')} + 0.5::DOUBLE)/2147483647.0::DOUBLE, 8) AS u_iso, round(({replicate_sql(5, ['record_id'], '2')} + 0.5::DOUBLE)/2147483647.0::DOUBLE, 8) AS u_tail FROM labs",
 )
 def augmentation_draws(spark, sf):
     d = labelled(spark, sf).select("record_id").distinct()
