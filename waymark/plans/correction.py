@@ -713,11 +713,13 @@ def one_unit_per_record(spark, sf):
     return K.one_unit_per_entity(units(spark, sf)).select("record_id", "lead")
 
 
-@query(
-    "hash_sharding",
-    f"WITH {UNITS_SQL} SELECT record_id, lead, {draw_sql(5, 'record_id')} % 8 AS shard FROM units",
-)
-def hash_sharding(spark, sf):
-    from ..functions.hashing import draw
+# The checksum's table by its rule, then a fold over the bytes of the key.
+CRC_SQL = """crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+ keyed AS (SELECT record_id, lead, xor(list_reduce(list_concat([4294967295], list_transform(string_split('r' || record_id, ''), lambda x: ord(x)::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS h
+  FROM units, crc)"""
 
-    return units(spark, sf).select("record_id", "lead", (draw(5, F.col("record_id")) % 8).alias("shard"))
+
+@query("hash_sharding", f"WITH {UNITS_SQL}, {CRC_SQL} SELECT record_id, lead, h % 8 AS shard FROM keyed")
+def hash_sharding(spark, sf):
+    key = F.concat(F.lit("r"), F.col("record_id").cast("string"))
+    return units(spark, sf).select("record_id", "lead", K.shard_of(key, 8).cast("bigint").alias("shard"))
