@@ -2,9 +2,12 @@
 
 Every window of a note that is as long as a gold note gets a SimHash of its words. Fingerprints are looked up in a multi-index: 64 bits are cut
 into ``radius + 1`` blocks, and two fingerprints within ``radius`` agree on at least one block, so no fingerprint within the radius is missed.
-A similar window may lie beyond the radius, as no radius follows from the similarity: windows in which enough places hold a shingle of one gold
-note are candidates too, whatever their distance. Candidates are then compared exactly: weighted Jaccard similarity of word shingles, a shingle's
-weight being how often it occurs. The result does not depend on the radius.
+Candidates are then compared exactly: weighted Jaccard similarity of word shingles, a shingle's weight being how often it occurs.
+
+No radius follows from the similarity, so the radius is wide. A window at similarity 0.8 has at least eight ninths of its words in common with
+the gold note, each bit of the two fingerprints differs with probability arccos(8/9) / pi = 0.15 at most, and more than 24 of 64 bits with one of
+about 2 in a million. ``exact`` adds the windows in which enough places hold a shingle of one gold note, whatever their distance; it is what
+the tests measure the multi-index against.
 
 Windows that hold too few word pairs of the gold set to reach the similarity with any gold note are not fingerprinted. That bound is exact: every
 shared shingle begins with a pair of neighbouring words that some gold note has.
@@ -23,6 +26,7 @@ from .words import Words, mix, slices
 
 PART_BYTES = 32 << 20
 MANY = 1 << 16
+RADIUS = 24
 
 
 def _bits(h: np.ndarray) -> np.ndarray:
@@ -50,7 +54,8 @@ def _window_shingles(words: np.ndarray, k: int) -> np.ndarray:
 class GoldIndex:
     """The gold notes of one part: words, sizes, fingerprints and the block tables."""
 
-    def __init__(self, ids: list, texts: list[str | None], shingle: int, similarity: float, radius: int):
+    def __init__(self, ids: list, texts: list[str | None], shingle: int, similarity: float, radius: int, exact: bool = False):
+        self.exact = exact
         w = Words(pa.array(texts, pa.string()))
         self.shingle, self.similarity, self.radius = shingle, similarity, radius
         some = np.flatnonzero(w.count)
@@ -193,8 +198,11 @@ class GoldIndex:
             near = np.bitwise_count(prints[hit] ^ self.print[c]) <= self.radius
             who.append(hit[near])
             item.append(c[near])
-        far_who, far_item = self.sharing(w, start, length, size)
-        pair = np.unique(np.concatenate([*who, far_who]) * len(self.ids) + np.concatenate([*item, far_item]))
+        if self.exact:
+            far_who, far_item = self.sharing(w, start, length, size)
+            who.append(far_who)
+            item.append(far_item)
+        pair = np.unique(np.concatenate(who) * len(self.ids) + np.concatenate(item))
         who, item = pair // len(self.ids), pair % len(self.ids)
         sim = np.zeros(len(who))
         by = np.lexsort((length[who], item))
@@ -216,11 +224,12 @@ class GoldIndex:
 OUT = "record_id long, gold_id long, first_word int, n_words int, distance int, similarity double"
 
 
-def leaked_notes(notes: DataFrame, gold: DataFrame, record_id: str = "record_id", text: str = "notes", gold_id: str = "gold_id", gold_text: str = "notes", shingle: int = 5, similarity: float = 0.8, radius: int = 11) -> DataFrame:
+def leaked_notes(notes: DataFrame, gold: DataFrame, record_id: str = "record_id", text: str = "notes", gold_id: str = "gold_id", gold_text: str = "notes", shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS, exact: bool = False) -> DataFrame:
     """Find gold notes inside other notes.
 
     Returns one row per (note, gold note) with a similar window: ``record_id``, ``gold_id``, the best window (``first_word`` from 0, ``n_words``),
-    its fingerprint ``distance`` and its ``similarity``, at least the given one; ties go to the earlier window.
+    its fingerprint ``distance`` and its ``similarity``, at least the given one; ties go to the earlier window. Windows within ``radius`` of the
+    gold note's fingerprint are compared, all of them; with ``exact`` also those beyond it that can reach the similarity.
 
     All windows of whole notes are covered. Gold notes are sent to the tasks, in as many passes over the notes as it takes to keep each part
     under 32 MB. Null and empty notes and gold notes without a word match nothing; a gold note shorter than a shingle has one shingle, all its
@@ -234,7 +243,7 @@ def leaked_notes(notes: DataFrame, gold: DataFrame, record_id: str = "record_id"
     out = None
     for part in range(parts):
         rows = items.filter(F.pmod(F.xxhash64("gold_id", "notes"), F.lit(parts)) == part).orderBy("gold_id", "notes").collect()  # about PART_BYTES
-        index = GoldIndex([r[0] for r in rows], [r[1] for r in rows], shingle, similarity, radius)
+        index = GoldIndex([r[0] for r in rows], [r[1] for r in rows], shingle, similarity, radius, exact)
 
         def run(batches: Iterator[pa.RecordBatch], index: GoldIndex = index) -> Iterator[pa.RecordBatch]:
             for b in slices(batches):
