@@ -33,6 +33,15 @@ def seeded_sample(df: DataFrame, by: Sequence[str], ids: Sequence[str], n: int,
     return d.filter(F.col("_k") <= n).drop("_h", "_k")
 
 
+def spread_sample(df: DataFrame, class_col: str, total: int, seed: int, keys: Keys = KEYS) -> DataFrame:
+    """About ``total`` entities, an equal whole number of each class (at least one, at most all it has), each with its first unit."""
+    first = one_unit_per_entity(df, keys)
+    sizes = first.agg(F.greatest(F.lit(1), F.floor(F.lit(total) / F.count_distinct(class_col))).alias("_quota"))
+    d = with_draw(first, "_h", seed, key_parts(first, [keys.entity]))
+    d = with_neighbours(d, [class_col], "_h", ties=[keys.entity], ordinal="_k", grain=DRAW_GRAIN)
+    return d.crossJoin(F.broadcast(sizes)).filter("_k <= _quota").drop("_h", "_k", "_quota")
+
+
 def one_unit_per_entity(df: DataFrame, keys: Keys = KEYS, order: Sequence[str] | None = None) -> DataFrame:
     """The first row of every entity in key order."""
     return keep_first(df, [keys.entity], list(order or (keys.channel, keys.event)))

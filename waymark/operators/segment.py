@@ -174,12 +174,18 @@ def _pattern(d: Column, k: Column) -> Column:
 def landmarks_from_labels(
     df: DataFrame, labels: str = "labels", trace: str = "trace", window: tuple[str, str] | None = None, readable: tuple[str, str] | None = None,
     min_samples: Mapping[str, int] | int = 8, kernel: int = 9, strict: bool = False, frac: float = 0.05, floor: float = 0.02,
+    read_pad: int | None = None, valid: tuple[str, str] | None = None,
 ) -> DataFrame:
     """All landmarks of the event a label sequence describes, and its deflection pattern.
 
-    Samples outside the readable span are background. The first wave counts only if it starts
-    before the core, the last one only if it ends after it.
+    Samples outside the readable span are background. The window names the event; how far its waves may be followed is ``readable``, or with
+    ``read_pad`` the window and so many samples on both sides inside ``valid`` (first and last valid sample, else the whole trace; a negative pad
+    reads all of it). The first wave counts only if it starts before the core, the last one only if it ends after it.
     """
+    if read_pad is not None and window:
+        first, last = (F.col(valid[0]), F.col(valid[1])) if valid else (F.lit(0), F.size(labels) - 1)
+        span = read_window(F.col(window[0]), F.col(window[1]), first, last, read_pad)
+        df, readable = df.withColumns({"_read_lo": span["lo"], "_read_hi": span["hi"]}), ("_read_lo", "_read_hi")
     least = min_samples if isinstance(min_samples, Mapping) else {w: min_samples for w in ("p", "qrs", "t")}
     scope = readable or window
     lab = F.col(labels)
@@ -207,7 +213,7 @@ def landmarks_from_labels(
     named = {c: F.col(f"_n.{c}") for c in ("q_peak", "r_peak", "s_peak")}
     present = {f"{w}_present": F.col(f"{w}_onset").isNotNull().cast("int") for w in ("p", "qrs", "t")}
     d = d.withColumns(named | present | {"qrs_pattern": F.coalesce(F.col("_n.pattern"), F.lit(""))})
-    return d.drop("_runs", "_p", "_qrs", "_t", "_n")
+    return d.drop("_runs", "_p", "_qrs", "_t", "_n", "_read_lo", "_read_hi")
 
 
 def order_violations(lm: Landmarks = LANDMARKS_11) -> Column:

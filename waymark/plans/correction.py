@@ -211,6 +211,12 @@ def crossvalidate_offsets(spark, sf, n_boot=BOOT):
     return D.crossvalidate_offsets(r, _offsets_of(r), n_boot=n_boot)
 
 
+@query("crossvalidate_offsets_few", "WITH " + cv_sql(60))
+def crossvalidate_offsets_few(spark, sf):
+    """The same at few replicates, which another engine can replay."""
+    return crossvalidate_offsets(spark, sf, 60)
+
+
 @query(
     "fold_offset_spread",
     f"WITH {cv_sql(1).split(',' + chr(10) + ' tn AS')[0]}, m AS (SELECT fiducial, kf, median(residual_ms) AS m FROM xr, (SELECT unnest(range(5)) AS kf) k WHERE fold <> kf GROUP BY ALL) "
@@ -719,6 +725,15 @@ CRC_SQL = """crc AS (SELECT list_transform(range(256), lambda n: list_reduce(lis
   FROM units, crc)"""
 
 
+@query(
+    "spread_sample",
+    f"""WITH {UNITS_SQL}, o AS (SELECT record_id, disease_class, min(lead) AS lead FROM units GROUP BY ALL), q AS (SELECT greatest(1, 100 // count(DISTINCT disease_class)) AS quota FROM o)
+    SELECT record_id, disease_class, lead FROM (SELECT *, row_number() OVER (PARTITION BY disease_class ORDER BY {draw_sql(13, 'record_id')}, record_id) AS k FROM o) z, q WHERE k <= quota""",
+)
+def spread_sample(spark, sf):
+    return K.spread_sample(units(spark, sf), "disease_class", 100, 13).select("record_id", "disease_class", "lead")
+
+
 @query("hash_sharding", f"WITH {UNITS_SQL}, {CRC_SQL} SELECT record_id, lead, h % 8 AS shard FROM keyed")
 def hash_sharding(spark, sf):
     key = F.concat(F.lit("r"), F.col("record_id").cast("string"))

@@ -175,11 +175,11 @@ def crosslead_rates_by_channel(spark, sf):
 
 @query(
     "crosslead_rates_by_class",
-    f"WITH {DEV_SQL} SELECT disease_class, count(*) AS n_units, round(avg(flag_r_peak)*100, 6) AS flag_r_peak_pct, "
-    "round(avg(flag_r_peak)*100, 6) AS r_flag_pct FROM cl GROUP BY disease_class",
+    f"WITH {DEV_SQL} SELECT disease_class, count(*) AS n_units, " + ", ".join(f"round(avg(flag_{c})*100, 6) AS flag_{c}_pct" for c in DEVC)
+    + ", round(avg(any_flag)*100, 6) AS any_flag_pct FROM cl GROUP BY disease_class",
 )
 def crosslead_rates_by_class(spark, sf):
-    return qc.flag_rates(_cl(spark, sf), ["disease_class"], ["flag_r_peak"], any_name="r_flag")
+    return qc.flag_rates(_cl(spark, sf), ["disease_class"], [f"flag_{c}" for c in DEVC])
 
 
 @query(

@@ -373,6 +373,27 @@ def landmarks_from_labels(spark, sf):
     return d.select("record_id", "lead", *[F.col(c).cast("bigint").alias(c) for c in cols])
 
 
+_SPANS = ["p_onset", "p_offset", "qrs_onset", "qrs_offset", "t_onset", "t_offset"]
+
+
+def _read_sql(lo: int, hi: int) -> str:
+    """Labels readable from ``lo`` to ``hi``; regions that touch the window 20 to 40 come first."""
+    masked = LABELS_SQL.replace("labs AS", "labs0 AS") + f", labs AS (SELECT * REPLACE (CASE WHEN sample BETWEEN {lo} AND {hi} THEN label ELSE 0 END AS label) FROM labs0)"
+    return LFL_SQL.replace(LABELS_SQL, masked).replace("ORDER BY n DESC, a)", "ORDER BY (a <= 40 AND b >= 20) DESC, n DESC, a)") + " SELECT * FROM x"
+
+
+for _pad, _lo, _hi in ((8, 14, 48), (-1, 6, 60)):
+
+    def _read(spark, sf, pad=_pad):
+        d = labelled(spark, sf).withColumns({"w0": F.lit(20), "w1": F.lit(40), "v0": F.lit(6), "v1": F.lit(60)})
+        if pad > 0:
+            d = d.withColumn("v0", F.lit(14))
+        d = S.landmarks_from_labels(d, window=("w0", "w1"), min_samples=2, kernel=5, read_pad=pad, valid=("v0", "v1"))
+        return d.select("record_id", "lead", *[F.col(c).cast("bigint").alias(c) for c in _SPANS])
+
+    query("landmarks_read_padded" if _pad > 0 else "landmarks_read_all", "WITH " + _read_sql(_lo, _hi))(_read)
+
+
 _HEAD, _TAIL = SQL["landmarks_from_labels"].split("\n    SELECT x.*", 1)
 
 

@@ -53,15 +53,18 @@ def split_bad_rows(df: DataFrame, required: Sequence[str]) -> tuple[DataFrame, D
     return good, bad
 
 
-def read_waveforms(spark: SparkSession, paths: str | Sequence[str], channels: Sequence, suffix: str = "") -> tuple[DataFrame, DataFrame]:
+def read_waveforms(spark: SparkSession, paths: str | Sequence[str], channels: Sequence, suffix: str = "", folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(signals, quarantine) from headerless numeric matrices, one file per recording.
 
     Files may hold channels x samples or samples x channels; anything else is quarantined, as are
-    non-numeric cells. The entity is the file name without extension and ``suffix``.
+    non-numeric cells. The entity is the file name without extension and ``suffix``, or with ``folder`` what follows
+    that name and an equals sign in the name of the file's folder.
     """
     k = len(channels)
+    path = F.col("_metadata.file_path")
+    named = F.regexp_extract(path, rf"/{folder}=([^/]*)/[^/]*$", 1) if folder else F.regexp_replace(F.element_at(F.split(path, "/"), -1), rf"{suffix}\.[^.]*$", "")
     text = spark.read.text(paths, wholetext=True).select(
-        F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), rf"{suffix}\.[^.]*$", "").alias("record_id"),
+        named.alias("record_id"),
         F.col("_metadata.file_path").alias("path"), "value",
     )
     lines = F.filter(F.split("value", r"\r?\n"), lambda s: F.trim(s) != "")
