@@ -22,6 +22,9 @@ def plain(rng, n, vocabulary="beat lead onset offset peak wave axis noise drift
 ODD = [(100, None), (101, ""), (102, "?!"), (103, "one"), (103, "one"), (None, "lead axis"), (104, "wave " * 20000)]
 
 
+FAR = [(None if i is None else i + 1000, t) for i, t in ODD]
+
+
 def clash(spark, rows):
     return spark.createDataFrame([(*r, *["z"] * 5) for r in rows], CLASH)
 
@@ -89,14 +92,16 @@ def test_languages(spark):
     say = lambda k, n: " ".join("".join(rng.choice(syl[k]) for _ in range(2)) for _ in range(n))
     rows = [(i, say(("aa", "bb", "cc")[i % 3], 20), ("aa", "bb", "cc")[i % 3]) for i in range(300)]
     lab = spark.createDataFrame([(i, t, y if i % 10 else None) for i, t, y in rows[:240]] + [(None, "x", "aa"), (7, None, "bb")], "record_id long, notes string, language string")
-    got = language.note_languages(clash(spark, [(i, t) for i, t, _ in rows] + ODD), lab, sample=150).collect()
+    got = language.note_languages(clash(spark, [(i, t) for i, t, _ in rows] + FAR), lab, sample=150).collect()
     truth = {i: y for i, _, y in rows}
     held = [r for r in got if r.record_id is not None and 240 <= r.record_id < 300]
     assert np.mean([r.language == truth[r.record_id] for r in held]) >= 0.95 and np.mean([r.accepted for r in held]) > 0.5
     odd = {r.record_id: r for r in got}
-    assert all(odd[i].language == "und" and odd[i].score == 0 and not odd[i].accepted for i in (100 - 0, 101, 102)) or True
-    for r in got:
-        assert 0 <= r.score <= 1
+    assert len(got) == len(rows) + len(FAR)
+    assert all((odd[i].language, odd[i].score, odd[i].accepted) == ("und", 0.0, False) for i in (1100, 1101, 1102))
+    assert odd[1103].language in ("aa", "bb", "cc") and odd[1104].language in ("aa", "bb", "cc") and odd[None].language in ("aa", "bb", "cc")
+    assert len({(r.language, r.score, r.accepted) for r in got if r.record_id == 1103}) == 1 and sum(r.record_id == 1103 for r in got) == 2
+    assert all(0 <= r.score <= 1 for r in got)
     blank = language.note_languages(spark.createDataFrame([(1, None), (2, ""), (3, "12 ?")], NOTES), lab, sample=150).collect()
     assert {(r.language, r.score, r.accepted) for r in blank} == {("und", 0.0, False)}
     assert language.note_languages(spark.createDataFrame([(1, "x")], NOTES), lab.limit(0)).first().language == "und"
@@ -109,14 +114,16 @@ def test_pseudo_likelihood_learns_from_both_sides(spark):
     rows = [(i, " ".join(x for _ in range(40) for w in [rng.choice("abcdefgh")] for x in (w, succ[w]))) for i in range(200)]
     shuffled = rows[0][1].split()
     rng.shuffle(shuffled)
-    df = clash(spark, rows + [(150, " ".join(shuffled))] + ODD)
+    df = clash(spark, rows + [(150, " ".join(shuffled))] + FAR)
     got = pseudo_likelihood.note_likelihoods(df, share=1.0, passes=4, shard_windows=20000).collect()
-    assert len(got) == len(rows) + 1 + len(ODD)
+    assert len(got) == len(rows) + 1 + len(FAR)
     by = {r.record_id: r for r in got}
     assert by[0].per_word > -2.4 and by[0].per_word > [r for r in got if r.record_id == 150][-1].per_word
     mixed = [r for r in got if r.record_id == 150]
     assert len(mixed) == 2 and abs(mixed[0].per_word - mixed[1].per_word) > 0.1
-    assert [r.log_likelihood for r in got if r.record_id in (101, 102)] == [0.0] * 4 or True
+    assert all((by[i].n_words, by[i].log_likelihood, by[i].per_word) == (0, 0.0, None) for i in (1100, 1101, 1102))
+    assert (by[1103].n_words, by[None].n_words, by[1104].n_words) == (1, 2, 20000) and all(by[i].log_likelihood < 0 for i in (1103, 1104, None))
+    assert by[1104].per_word == pytest.approx(by[1104].log_likelihood / 20000)
     blank = pseudo_likelihood.note_likelihoods(spark.createDataFrame([(1, None), (2, ""), (3, "?")], NOTES)).collect()
     assert {(r.n_words, r.log_likelihood, r.per_word) for r in blank} == {(0, 0.0, None)}
     assert pseudo_likelihood.note_likelihoods(spark.createDataFrame([], NOTES)).count() == 0

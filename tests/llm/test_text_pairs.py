@@ -95,7 +95,7 @@ def test_join_on_odd_rows(spark):
     got = sorted((tuple(r) for r in chosen_path.linked_notes(df).collect()), key=str)
     assert len(got) == len(rows)
     by = {r[0]: r for r in got}
-    assert by[1] == (1, 1, 1, 1, 0) and by[2] == (2, 2, 2, 1, 0) or by[2] == (2, 2, 2, 1, 0)
+    assert by[1] == (1, 1, 1, 1, 0) and by[2] == (2, 2, 2, 1, 0)
     assert by[3][1:3] == by[4][1:3] == (3, 3) and by[4][4] == 0
     assert by[5][1] == by[6][1] == 5 and by[5][4] == by[6][4] == 1
     assert by[None] == (None, None, None, by[None][3], 0)
@@ -168,9 +168,8 @@ def test_multi_index_loses_no_fingerprint_within_the_radius():
     probes = index.print[:, None] ^ (np.uint64(1) << rng.integers(0, 64, (30, 11)).astype(np.uint64))
     for i in range(30):
         p = np.bitwise_xor.reduce(np.uint64(1) << rng.choice(64, 11, replace=False).astype(np.uint64)) ^ index.print[i]
-        hit = any((keys == index.block_key(np.array([p]), index.size[i : i + 1], b)[0]).any() for b, (keys, _) in enumerate(index.tables))
-        assert hit
-    assert probes.shape == (30, 11)
+        for q in (p, *probes[i]):
+            assert any((keys == index.block_key(np.array([q]), index.size[i : i + 1], b)[0]).any() for b, (keys, _) in enumerate(index.tables))
 
 
 def test_clean_rows_stay_when_leaks_go(spark):
