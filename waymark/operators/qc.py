@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -26,21 +27,28 @@ class QcRules:
     pr_ms: tuple[float, float] = (80, 400)
 
 
-def _present(lm: Landmarks) -> Column:
-    """Present landmarks only, as array of (place in the order, position)."""
-    cells = [F.struct(F.lit(i).alias("pos"), F.col(c).cast("bigint").alias("v")) for i, c in enumerate(lm.order)]
-    return F.filter(F.array(*cells), lambda x: x.getField("v").isNotNull())
+def steps_back(df: DataFrame, lm: Landmarks) -> tuple[DataFrame, list[str], list[str]]:
+    """How far each present landmark lies before the present one in front of it: (df with the columns, those inside the core, the others).
 
-
-def _adjacent(seq: Column, core: Sequence[int]) -> Column:
-    lo, hi = min(core), max(core)
-    n = F.greatest(F.size(seq) - 1, F.lit(0))
-
-    def pair(a: Column, b: Column) -> Column:
-        inside = (a.getField("pos") >= lo) & (b.getField("pos") <= hi)
-        return F.struct((a.getField("v") - b.getField("v")).alias("back"), inside.alias("core"))
-
-    return F.zip_with(F.slice(seq, 1, n), F.slice(seq, 2, n), pair)
+    The landmarks' order is fixed, so each step is a plain column: a landmark against the first present one when looking back. A step is inside
+    the core if both of its landmarks are.
+    """
+    at = lm.core_positions()
+    lo, hi = min(at), max(at)
+    c = [F.col(x).cast("bigint") for x in lm.order]
+    inner, outer, new = [], [], {}
+    for i in range(1, len(c)):
+        back = F.coalesce(*c[i - 1 :: -1]) - c[i]
+        if lo < i <= hi:
+            held = F.coalesce(*c[i - 1 : lo - 1 if lo else None : -1])
+            new[f"_in{i}"] = held - c[i]
+            inner.append(f"_in{i}")
+            if not lo:
+                continue
+            back = F.when(held.isNull(), back)
+        new[f"_out{i}"] = back
+        outer.append(f"_out{i}")
+    return df.withColumns(new), inner, outer
 
 
 def beat_qc(
@@ -54,21 +62,14 @@ def beat_qc(
     core = lm.core_wave
     first, last = lm.waves[0].onset, lm.waves[-1].offset
     ms = F.lit(1000.0) / F.coalesce(F.col(fs).cast("double"), F.lit(500.0))
-    d = df.withColumn("_pairs", _adjacent(_present(lm), lm.core_positions()))
+    d, inner, outer = steps_back(df, lm)
 
-    def over(test) -> Column:
-        return F.filter(F.col("_pairs"), test)
+    def any_of(names: Sequence[str], test) -> Column:
+        return functools.reduce(lambda x, y: x | y, (F.coalesce(test(F.col(n)), F.lit(False)) for n in names), F.lit(False))
 
-    structural = F.exists("_pairs", lambda p: p.getField("core") & (p.getField("back") > rules.tolerance))
-    gross = F.array_max(
-        F.transform(
-            over(lambda p: ~p.getField("core") & (p.getField("back") > rules.gross)), lambda p: p.getField("back")
-        )
-    )
-    mild = F.exists(
-        "_pairs",
-        lambda p: ~p.getField("core") & (p.getField("back") > rules.tolerance) & (p.getField("back") <= rules.gross),
-    )
+    structural = any_of(inner, lambda v: v > rules.tolerance)
+    gross = F.greatest(*[F.when(F.col(n) > rules.gross, F.col(n)) for n in outer], F.lit(None).cast("bigint"))
+    mild = any_of(outer, lambda v: (v > rules.tolerance) & (v <= rules.gross))
 
     def ranged(name: str, later: str, earlier: str, limits: tuple[float, float]) -> Column:
         width = (F.col(later) - F.col(earlier)) * ms
@@ -90,7 +91,7 @@ def beat_qc(
     )
     status = F.when(F.size("qc_flags") > 0, "critical").when(F.col("_mild"), "minor").otherwise("clean")
     return (
-        d.withColumns({"qc_flags": flags, "_mild": mild}).withColumn("qc_status", status).drop("_pairs", "_mild")
+        d.withColumns({"qc_flags": flags, "_mild": mild}).withColumn("qc_status", status).drop(*inner, *outer, "_mild")
     )
 
 
