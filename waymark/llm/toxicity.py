@@ -9,12 +9,13 @@ the others (a likelihood-ratio test over the training notes) mark words of abusi
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .words import Words, mix, slices
@@ -253,6 +254,17 @@ def training_notes(notes: DataFrame, labels: DataFrame, record_id: str, text: st
     return [r[1] for r in rows], np.array([picked[r[0]] for r in rows], float), 0.1 if rate is None else float(rate)
 
 
+def fitted(spark: SparkSession, texts: list[str | None], y: np.ndarray, rate: float) -> SpanModel:
+    """``train`` in one task, so that the driver holds the drawn notes and the model but none of the training's arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = train(texts, y, rate)
+            yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(m)], pa.binary())})
+
+    return pickle.loads(spark.range(1).coalesce(1).mapInArrow(run, "model binary").first()[0])
+
+
 OUT = "record_id long, score double, n_spans int, spans array<struct<start: int, end: int, p: double>>"
 
 
@@ -267,7 +279,7 @@ def score_notes(notes: DataFrame, labels: DataFrame, record_id: str = "record_id
     for itself; a null id stays null. Labels that are null or not 0/1 are ignored; without any label all scores are near the prior of 0.1.
     Other columns are not read.
     """
-    model = train(*training_notes(notes, labels, record_id, text, label, sample))
+    model = fitted(notes.sparkSession, *training_notes(notes, labels, record_id, text, label, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
