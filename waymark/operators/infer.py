@@ -8,10 +8,12 @@ Replicates are laid out as a matrix inside tasks, and only their sums or medians
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import functools
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,6 +24,8 @@ from .quantiles import grouped_quantiles, running_counts
 
 MIN_ROWS = 8
 RANGE_VALUES = 8192
+REP_BLOCK = 500
+MOST_GROUPS = 256
 
 
 def replicates(df: DataFrame, ids: Sequence[str], n: int, seed: int) -> DataFrame:
@@ -34,10 +38,10 @@ def replicates(df: DataFrame, ids: Sequence[str], n: int, seed: int) -> DataFram
     return continue_draw(spread, "_u", F.col("rep")).withColumn("w", poisson_one(F.col("_u"))).drop("_u")
 
 
-def _interval(stats: DataFrame, by: Sequence[str], alpha: float) -> DataFrame:
-    return stats.groupBy(*by).agg(
-        F.percentile("_s", alpha / 2).alias("ci_lo"), F.percentile("_s", 1 - alpha / 2).alias("ci_hi")
-    )
+def _interval(stats: DataFrame, by: Sequence[str], alpha: float, names: Mapping[str, tuple[str, str]] | None = None) -> DataFrame:
+    """Interval ends of each statistic; ``names`` maps a column of replicates to the names of its ends."""
+    names = names or {"_s": ("ci_lo", "ci_hi")}
+    return stats.groupBy(*by).agg(*[F.percentile(c, p).alias(end) for c, ends in names.items() for p, end in zip((alpha / 2, 1 - alpha / 2), ends, strict=True)])
 
 
 def _value_key(v: np.ndarray) -> np.ndarray:
@@ -145,34 +149,80 @@ def _median_replicates(counts: DataFrame, by: list[str], n: int, seed: int, most
     return small.unionByName(medians)
 
 
-def _sum_replicates(per: DataFrame, by: list[str], keys: Sequence[str], n: int, seed: int) -> DataFrame:
-    """(by, _s): sum(_s0 * w) / sum(_n0 * w) per replicate, with weights Poisson(_c) by ``keys``. Each task adds up its own rows' replicates."""
+def _codes(t: pa.Table, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A number from 0 for each row's values of ``columns``, and the first row of each number."""
+    code = np.zeros(len(t), np.int64)
+    for c in columns:
+        own = t.column(c).combine_chunks().dictionary_encode()
+        index = pc.fill_null(own.indices, len(own.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+        _, code = np.unique(code * (len(own.dictionary) + 1) + index, return_inverse=True)
+    _, first, code = np.unique(code, return_index=True, return_inverse=True)
+    return code, first
+
+
+def _sum_replicates(per: DataFrame, by: list[str], keys: Sequence[str], n: int, seed: int, values: Sequence[tuple[str, str]] = (("_s0", "_n0"),)) -> DataFrame:
+    """(by, _s0, _s1, ...): sum(s * w) / sum(n * w) per replicate for each pair (s, n) of ``values``, with weights Poisson(_c) by ``keys``.
+
+    Rows with one key and count are brought together, so their weights are drawn once for all groups and values; a task multiplies them with
+    a matrix of its rows' values. Blocks of ``REP_BLOCK`` replicates of each group are then added up over the tasks.
+    """
     reps = np.arange(n, dtype=np.int64)
+    columns = [c for pair in values for c in pair]
+    blocks = [(i, slice(lo, min(lo + REP_BLOCK, n))) for i, lo in enumerate(range(0, n, REP_BLOCK))]
+    heads = _fields(per, by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple, list] = {}
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            cols = {k: t.column(k).to_numpy() for k in ("_s0", "_n0", "_c", *keys)}
-            groups: dict[tuple, list[int]] = {}
-            for i, g in enumerate(zip(*(t.column(c).to_pylist() for c in by), strict=True) if by else [()] * len(t)):
-                groups.setdefault(g, []).append(i)
-            for g, rows in groups.items():
-                num, den = sums.setdefault(g, [np.zeros(n), np.zeros(n)])
-                for lo in range(0, len(rows), 256):
-                    at = np.array(rows[lo : lo + 256])
-                    w = poisson_weights(seed, [_value_key(cols[k][at]) if cols[k].dtype.kind == "f" else cols[k][at] for k in keys], cols["_c"][at], reps)
-                    num += cols["_s0"][at] @ w
-                    den += cols["_n0"][at] @ w
-        if sums:
-            kinds = {f.name: f.type for f in b.schema}
-            heads = [pa.array([g[i] for g in sums], kinds[c]) for i, c in enumerate(by)]
-            flat = [pa.array([v[i].tolist() for v in sums.values()], pa.list_(pa.float64())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*heads, *flat], names=[*by, "_num", "_den"])
-
-    parts = per.select(*by, *[c for c in dict.fromkeys(["_s0", "_n0", "_c", *keys]) if c not in by]).mapInArrow(run, _fields(per, by) + "_num array<double>, _den array<double>")
-    rows = parts.select(*by, F.posexplode(F.arrays_zip("_num", "_den")).alias("rep", "_x"))
-    return rows.groupBy(*by, "rep").agg(F.try_divide(F.sum("_x._num"), F.sum("_x._den")).alias("_s"))
+        held: dict[tuple, np.ndarray] = {}
+        kinds: dict[str, pa.DataType] = {}
+
+        def emit() -> pa.RecordBatch:
+            many = len(blocks) * len(held)
+            flat = [total[:, at].ravel() for total in held.values() for _, at in blocks]
+            sizes = np.cumsum([0, *map(len, flat)])
+            names = [pa.array([g[i] for g in held for _ in blocks], kinds[c]) for i, c in enumerate(by)]
+            lists = pa.ListArray.from_arrays(pa.array(sizes.astype(np.int32)), pa.array(np.concatenate(flat)))
+            return pa.RecordBatch.from_arrays([*names, pa.array(np.tile([i for i, _ in blocks], len(held)).astype(np.int32)[:many]), lists], names=[*by, "_blk", "_a"])
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            if not len(t):
+                continue
+            kinds = {f.name: f.type for f in batch.schema}
+            group, g_first = _codes(t, by)
+            drawn, d_first = _codes(t, [*keys, "_c"])
+            value = np.stack([t.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in columns])
+            names = list(zip(*(t.column(c).take(pa.array(g_first)).to_pylist() for c in by), strict=True)) if by else [()]
+            parts = [t.column(c).to_numpy(zero_copy_only=False)[d_first] for c in keys]
+            parts = [_value_key(k) if k.dtype.kind == "f" else k for k in parts]
+            count = t.column("_c").to_numpy()[d_first]
+            order = np.argsort(drawn, kind="stable")
+            edge = np.searchsorted(drawn[order], np.arange(0, len(d_first) + 256, 256))
+            for lo in range(0, len(d_first), 256):
+                rows = order[edge[lo // 256] : edge[lo // 256 + 1]]
+                w = poisson_weights(seed, [k[lo : lo + 256] for k in parts], count[lo : lo + 256], reps).astype(np.float64)
+                seen, at = np.unique(group[rows], return_inverse=True)
+                left = np.zeros((len(seen), len(columns), len(w)))
+                np.add.at(left, (at[:, None], np.arange(len(columns)), (drawn[rows] - lo)[:, None]), value[:, rows].T)
+                for g, total in zip(seen, left @ w, strict=True):
+                    if names[g] in held:
+                        held[names[g]] += total
+                    else:
+                        held[names[g]] = total
+            if len(held) > MOST_GROUPS:
+                yield emit()
+                held = {}
+        if held:
+            yield emit()
+
+    def add_up(t: pa.Table) -> pa.Table:
+        total = t.column("_a").combine_chunks().flatten().to_numpy().reshape(len(t), len(columns), -1).sum(0)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out = [pa.array(np.where(total[2 * i + 1] != 0, total[2 * i] / total[2 * i + 1], np.nan), from_pandas=True) for i in range(len(values))]
+        return pa.table({**_one(t, by, total.shape[1]), **{f"_s{i}": x for i, x in enumerate(out)}})
+
+    slim = per.select(*dict.fromkeys([*by, *columns, "_c", *keys])).repartition(*keys, "_c")
+    sums = slim.mapInArrow(run, f"{heads}_blk int, _a array<double>")
+    return sums.groupBy(*by, "_blk").applyInArrow(add_up, heads + ", ".join(f"_s{i} double" for i in range(len(values))))
 
 
 def bootstrap_ci(
@@ -192,7 +242,7 @@ def bootstrap_ci(
     if stat == "mean":
         point = counts.groupBy(*by).agg((F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("point"))
         per = counts.withColumns({"_s0": F.col("_v"), "_n0": F.lit(1.0)})
-        stats = _sum_replicates(per, by, ["_v"], n, seed)
+        stats = _sum_replicates(per, by, ["_v"], n, seed).withColumnRenamed("_s0", "_s")
     elif stat == "median":
         point = grouped_quantiles(rows, by, "_v", [0.5], ["point"])
         stats = _median_replicates(counts, by, n, seed)
@@ -216,33 +266,40 @@ def paired_delta_ci(
     return bootstrap_ci(d, by, "_d", ids, "mean", n, seed, alpha)
 
 
-def cluster_bootstrap(
-    df: DataFrame, by: Sequence[str], value: str, cluster: str, mode: str = "record_mean", n: int = 5000, seed: int = 1337,
-    alpha: float = 0.05,
+def cluster_bootstraps(
+    df: DataFrame, by: Sequence[str], values: Sequence[str], cluster: str, mode: str = "record_mean", n: int = 5000, seed: int = 1337, alpha: float = 0.05,
 ) -> DataFrame:
-    """Interval of a mean whose resampling unit is the cluster: by, n_clusters, point, ci_lo, ci_hi.
+    """Intervals of several means under the same draws of clusters: by, and for each value i from 0 n_clusters_i, point_i, ci_lo_i, ci_hi_i.
 
     record_mean  the mean of cluster means
     units        the mean over rows, drawn cluster by cluster
-    Rows are reduced to (sum, count) per cluster before anything is replicated.
+    Rows are reduced to (sum, count) per cluster before anything is replicated; a value counts the clusters in which it is present.
     """
-    by = list(by)
-    per = df.filter(F.col(value).isNotNull()).groupBy(*by, cluster).agg(
-        F.sum(F.col(value).cast("double")).alias("_s0"), F.count(F.lit(1)).alias("_n0")
-    )
-    if mode == "record_mean":
-        per = per.select(*by, cluster, (F.col("_s0") / F.col("_n0")).alias("_s0"), F.lit(1).alias("_n0"))
-    elif mode != "units":
+    if mode not in ("record_mean", "units"):
         raise ValueError(f"unknown mode {mode!r}")
+    by, each = list(by), range(len(values))
+    sums = [F.sum(F.col(v).cast("double")).alias(f"_s{i}") for i, v in enumerate(values)]
+    per = df.filter(functools.reduce(lambda x, y: x | y, (F.col(v).isNotNull() for v in values))).groupBy(*by, cluster).agg(*sums, *[F.count(v).cast("double").alias(f"_n{i}") for i, v in enumerate(values)])
+    if mode == "record_mean":
+        per = per.select(*by, cluster, *[F.when(F.col(f"_n{i}") > 0, F.col(f"_s{i}") / F.col(f"_n{i}")).alias(f"_s{i}") for i in each], *[F.when(F.col(f"_n{i}") > 0, 1.0).otherwise(0.0).alias(f"_n{i}") for i in each])
+    per = materialise(per.fillna(0.0, [f"_s{i}" for i in each]))
     point = per.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_clusters"), (F.sum("_s0") / F.sum("_n0")).alias("point")
-    )
-    per = per.withColumns({"_n0": F.col("_n0").cast("double"), "_c": F.lit(1).cast("long"), "_key": key_parts(per, [cluster])[0].cast("long")})
-    stats = _sum_replicates(per, by, ["_key"], n, seed)
-    ci = _interval(stats, by, alpha)
+        *[F.count_if(F.col(f"_n{i}") > 0).alias(f"n_clusters_{i}") for i in each], *[F.try_divide(F.sum(f"_s{i}"), F.sum(f"_n{i}")).alias(f"point_{i}") for i in each])
+    drawn = per.withColumns({"_c": F.lit(1).cast("long"), "_key": key_parts(per, [cluster])[0].cast("long")})
+    stats = _sum_replicates(drawn, by, ["_key"], n, seed, [(f"_s{i}", f"_n{i}") for i in each])
+    ci = _interval(stats, by, alpha, {f"_s{i}": (f"ci_lo_{i}", f"ci_hi_{i}") for i in each})
     return point.join(ci, by, "left") if by else point.crossJoin(ci)
 
 
+def cluster_bootstrap(
+    df: DataFrame, by: Sequence[str], value: str, cluster: str, mode: str = "record_mean", n: int = 5000, seed: int = 1337,
+    alpha: float = 0.05,
+) -> DataFrame:
+    """Interval of a mean whose resampling unit is the cluster: by, n_clusters, point, ci_lo, ci_hi (see ``cluster_bootstraps``)."""
+    out = cluster_bootstraps(df, by, [value], cluster, mode, n, seed, alpha)
+    return out.withColumnsRenamed({f"{c}_0": c for c in ("n_clusters", "point", "ci_lo", "ci_hi")})
+
+
 def verdict(lo: Column, hi: Column, negative: str, positive: str, none: str = "no difference") -> Column:
     """Named side when the interval clears zero."""
     return F.when(hi < 0, negative).when(lo > 0, positive).otherwise(none)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import half_even, ratio
 from ..schema import KEYS, LANDMARKS_11, Keys, Landmarks
 from .derive import BIOMARKERS
-from .infer import cluster_bootstrap, verdict
+from .infer import cluster_bootstrap, cluster_bootstraps, verdict
 from .ordered import attach
 from .quantiles import grouped_quantiles, refined_quantiles
 
@@ -297,22 +297,44 @@ def mean_present(cols: Sequence[Column]) -> Column:
     return F.when(F.size(vals) > 0, F.aggregate(vals, F.lit(0.0), lambda s, v: s + v) / F.size(vals))
 
 
+# Fixed values of the verdict column.
+VERDICTS = ("baseline is closer", "model is closer", "no clear difference")
+
+
 def compare(
-    rows: DataFrame, by: Sequence[str], base: str, model: str, cluster: str, n: int = 5000, seed: int = 1337,
-    names: tuple[str, str] = ("favours baseline", "favours model"),
+    rows: DataFrame, by: Sequence[str], base: str, model: str, cluster: str, n: int = 5000, seed: int = 1337, names: tuple[str, str, str] = VERDICTS,
 ) -> DataFrame:
-    """Absolute errors of two systems on the same rows, clustered; ``by`` may hold split and landmark."""
+    """Absolute errors of two systems on the same rows, clustered; ``by`` may hold split and landmark. All three intervals use the same draws."""
     by = list(by)
     r = rows.withColumns({"_b": F.abs(base), "_m": F.abs(model)})
-    r = r.withColumn("_d", F.col("_m") - F.col("_b"))
-    out = None
-    for col, name in (("_b", "baseline"), ("_m", "model"), ("_d", "diff")):
-        c = cluster_bootstrap(r, by, col, cluster, "record_mean", n, seed)
-        c = c.select(*by, "n_clusters" if out is None else F.col("n_clusters").alias(f"_n_{name}"),
-                     F.col("point").alias(f"{name}_ms"), F.col("ci_lo").alias(f"{name}_lo"), F.col("ci_hi").alias(f"{name}_hi"))
-        out = c if out is None else (out.join(c, by, "left") if by else out.crossJoin(c))
-    out = out.drop("_n_model", "_n_diff")
-    return out.withColumn("verdict", verdict(F.col("diff_lo"), F.col("diff_hi"), names[1], names[0], "not significant"))
+    out = cluster_bootstraps(r.withColumn("_d", F.col("_m") - F.col("_b")), by, ["_b", "_m", "_d"], cluster, "record_mean", n, seed)
+    ends = [F.col(f"{c}_{i}").alias(f"{name}_{end}") for i, name in enumerate(("baseline", "model", "diff")) for c, end in (("point", "ms"), ("ci_lo", "lo"), ("ci_hi", "hi"))]
+    out = out.select(*by, F.col("n_clusters_0").alias("n_clusters"), *ends)
+    return out.withColumn("verdict", verdict(F.col("diff_lo"), F.col("diff_hi"), names[1], names[0], names[2]))
+
+
+def comparison_rows(
+    units: DataFrame, truth: str, base: str, model: str, landmarks: Sequence[str], boundaries: Sequence[str], biomarkers: Mapping[str, tuple[str, str]],
+    splits: Mapping[str, Column], cluster: str = "record_id",
+) -> DataFrame:
+    """Long rows (split, measure, cluster, base_err, model_err) of two systems' readings of the same units, for ``compare``.
+
+    ``truth``, ``base`` and ``model`` are column patterns in ms such as ``"true_{}"``. Measures: each landmark's error; ``boundary``, a unit's mean
+    absolute error over the present of ``boundaries``; and each biomarker, the error of the interval between its two landmarks. A unit
+    counts in every split whose condition it meets.
+    """
+    def err(of: str, k: str) -> Column:
+        return F.col(of.format(k)) - F.col(truth.format(k))
+
+    measures: dict[str, Callable[[str], Column]] = {k: lambda of, k=k: err(of, k) for k in landmarks}
+    measures["boundary"] = lambda of: mean_present([F.abs(err(of, k)) for k in boundaries])
+    measures |= {name: lambda of, s=s, e=e: err(of, e) - err(of, s) for name, (s, e) in biomarkers.items()}
+    inside = F.array_compact(F.array(*[F.when(on, F.lit(name)) for name, on in splits.items()]))
+    errors = {out: F.array(*[m(of).cast("double") for m in measures.values()]) for out, of in (("_b", base), ("_m", model))}
+    wide = units.select(cluster, inside.alias("_in"), *[e.alias(out) for out, e in errors.items()])
+    # the names are exploded, not the errors: a generator over computed structs is planned very slowly
+    long = wide.select(cluster, "_b", "_m", F.explode("_in").alias("split")).select("*", F.posexplode(F.array(*[F.lit(m) for m in measures])).alias("_i", "measure"))
+    return long.select("split", "measure", cluster, F.get("_b", F.col("_i")).alias("base_err"), F.get("_m", F.col("_i")).alias("model_err"))
 
 
 def adjustment_ladder(
@@ -332,7 +354,7 @@ def adjustment_ladder(
     point = r.groupBy("step").agg(F.avg("model_mae").alias("model_ms"), F.avg("base_mae").alias("baseline_ms"))
     ci = cluster_bootstrap(r, ["step"], "_d", cluster, "units", n, seed)
     return point.join(ci, "step").withColumn(
-        "verdict", verdict(F.col("ci_lo"), F.col("ci_hi"), "favours the model", "favours the baseline", "tie")
+        "verdict", verdict(F.col("ci_lo"), F.col("ci_hi"), VERDICTS[1], VERDICTS[0], VERDICTS[2])
     )
 
 
