@@ -40,9 +40,9 @@ def verdict_by_hand(t):
     words = re.findall(r"[^\x20\x09-\x0D]+", t)
     lines = [s for s in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", s)]
     fails = [
-        chars < 3 * n or chars > 12 * n, 10 * symbols > n, 100 * dup > 30 * len(lines), len(re.findall("[A-Z]", t)) > len(re.findall("[a-z]", t)), 5 * t.count("!") > n,
+        chars < 3 * n or chars > 12 * n, 10 * symbols > n, 2 * dup > len(lines), len(re.findall("[A-Z]", t)) > len(re.findall("[a-z]", t)), 5 * t.count("!") > n,
         100 * sum(bool(re.search(r"[A-Za-z]|[^\x00-\x7f]", w)) for w in words) < 80 * n, 100 * sum(s.endswith("...") for s in lines) > 30 * len(lines),
-        100 * sum(s[0] in "-*" for s in lines) > 90 * len(lines), 100 * max(Counter(words).values()) > 30 * n,
+        100 * sum(s[0] in "-*" for s in lines) > 90 * len(lines), 100 * max(Counter(words).values()) > 30 * n, 100 * sum(a == b for a, b in zip(words, words[1:])) > 30 * n,
     ]
     return False, not any(fails)
 
@@ -54,6 +54,7 @@ def failing_texts(rng):
         plain(rng, 80).upper(), plain(rng, 80).replace(" ", "! "), " ".join(str(rng.randrange(1000, 99999)) for _ in range(50)), "\n".join(plain(rng, 9).replace("\n", " ") + "..." for _ in range(9)),
         "\n".join("- " + plain(rng, 8).replace("\n", " ") for _ in range(9)), " ".join(w for i in range(40) for w in ("wave", rng.choice(["lead", "peak", "rate", "axis", "beat"]))),
     ]
+    spoilt.append(" ".join(w for i in range(9) for w in [f"run{i}"] * 5))
     twice = plain(rng, 30)
     return body + spoilt + [twice + " " + twice, twice + " x " + plain(rng, 90) + " " + twice]
 

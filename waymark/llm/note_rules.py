@@ -191,8 +191,8 @@ def _symbols(t: Notes) -> np.ndarray:
 
 
 def _repeated_lines(t: Notes) -> np.ndarray:
-    """More than 30 % of the lines equal an earlier one."""
-    return 100 * t.counts["n_dup_lines"] > 30 * t.counts["n_lines"]
+    """More than half of the lines equal an earlier one."""
+    return 2 * t.counts["n_dup_lines"] > t.counts["n_lines"]
 
 
 def _capitals(t: Notes) -> np.ndarray:
@@ -241,9 +241,17 @@ def _one_word(t: Notes) -> np.ndarray:
     return 100 * most > 30 * t.counts["n_words"]
 
 
+def _stuttering(t: Notes) -> np.ndarray:
+    """More than 30 % of the words equal the word before them."""
+    number, first = t.word_numbers, t.words[2]
+    same = np.append(False, number[1:] == number[:-1])[: len(number)]
+    same[first[:-1][first[:-1] < len(number)]] = False
+    return 100 * t.per_note_words(same) > 30 * t.counts["n_words"]
+
+
 RULES = (
     Rule("word_length", _word_length), Rule("symbols", _symbols), Rule("repeated_lines", _repeated_lines), Rule("capitals", _capitals),
-    Rule("exclaiming", _exclaiming), Rule("letterless", _letterless), Rule("unfinished", _unfinished), Rule("listing", _listing), Rule("one_word", _one_word),
+    Rule("exclaiming", _exclaiming), Rule("letterless", _letterless), Rule("unfinished", _unfinished), Rule("listing", _listing), Rule("one_word", _one_word), Rule("stuttering", _stuttering),
 )
 
 

@@ -170,12 +170,12 @@ c AS (SELECT w.r, doc_id, len(words) AS n_words, length(regexp_replace(t, '[\x20
     len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines,
     length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS caps, length(regexp_replace(t, '[^a-z]+', '', 'g')) AS smalls, length(regexp_replace(t, '[^!]+', '', 'g')) AS marks,
     len(list_filter(words, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS lettered, len(list_filter(lines, lambda x: suffix(x, '...'))) AS dotted,
-    len(list_filter(lines, lambda x: prefix(x, '-') OR prefix(x, '*'))) AS bullets, coalesce(most, 0) AS most
+    len(list_filter(lines, lambda x: prefix(x, '-') OR prefix(x, '*'))) AS bullets, coalesce(most, 0) AS most, len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) AS stutter
     FROM w LEFT JOIN marked USING (r) LEFT JOIN top ON w.r = top.r),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-    NOT (base_failed OR word_chars < 3 * n_words OR word_chars > 12 * n_words OR 10 * n_symbols > n_words OR 100 * n_dup_lines > 30 * n_lines OR caps > smalls
-    OR 5 * marks > n_words OR 100 * lettered < 80 * n_words OR 100 * dotted > 30 * n_lines OR 100 * bullets > 90 * n_lines OR 100 * most > 30 * n_words) AS kept
+    NOT (base_failed OR word_chars < 3 * n_words OR word_chars > 12 * n_words OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR caps > smalls
+    OR 5 * marks > n_words OR 100 * lettered < 80 * n_words OR 100 * dotted > 30 * n_lines OR 100 * bullets > 90 * n_lines OR 100 * most > 30 * n_words OR 100 * stutter > 30 * n_words) AS kept
 FROM f
 """
 
