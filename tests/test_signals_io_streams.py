@@ -320,3 +320,7 @@ def test_json_text_has_no_nan(spark):
 def test_report_text(spark):
     d = spark.createDataFrame([("b", None), ("a", 1.5)], "k string, v double")
     assert Z.report_text(d, ["k", "v"], width=6).splitlines() == ["     k     v", "     a  1.50", "     b    --"]
+    with pytest.raises(ValueError, match="at most 1"):
+        Z.report_text(d, ["k", "v"], most=1)
+    lines = Z.report_lines([("Part one", d, ["k", "v"]), ("Part two", d, ["k"])], width=6, digits=2).orderBy("part", "place").collect()
+    assert [r["line"] for r in lines] == ["Part one", "     k     v", "     a  1.50", "     b    --", "Part two", "     k", "     a", "     b"]

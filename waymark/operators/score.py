@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import half_even, ratio
@@ -374,9 +376,32 @@ def score_units(df: DataFrame, predict: Callable[[pd.DataFrame], pd.DataFrame],
     return df.mapInPandas(run, schema)
 
 
-def report_text(summary: DataFrame, columns: Sequence[str], title: str = "", width: int = 12) -> str:
-    """Fixed-width text of a small result (one row per landmark or class)."""
-    rows = summary.select(*columns).orderBy(columns[0]).collect()
+def report_lines(parts: Sequence[tuple[str, DataFrame, Sequence[str]]], width: int = 12, digits: int = 3) -> DataFrame:
+    """A fixed-width text report as rows (part, place, line): per part its title, a header and one line per row in the order of its first column.
+
+    A part is (title, table, columns): a result with one row per class, landmark or biomarker. Numbers with a fraction are rounded to ``digits``,
+    absent values are two dashes, all cells are right-aligned. Nothing is collected: the rows are written or shown in the order (part, place).
+    """
+    def cell(table: DataFrame, c: str) -> Column:
+        text = F.format_string(f"%.{digits}f", F.round(c, digits)) if dict(table.dtypes)[c] in ("double", "float") else F.col(c).cast("string")
+        return F.lpad(F.coalesce(F.when(F.col(c).isNotNull(), text), F.lit("--")), width, " ")
+
+    out = []
+    for number, (title, table, columns) in enumerate(parts, start=1):
+        head = "".join(c.rjust(width) for c in columns)
+        top = table.sparkSession.createDataFrame([(0, title), (1, head)], "place int, line string")
+        # one task: a part has as many rows as there are classes or landmarks
+        rank = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(columns[0]))
+        body = table.select((rank + 1).cast("int").alias("place"), F.concat(*[cell(table, c) for c in columns]).alias("line"))
+        out.append(top.unionByName(body).select(F.lit(number).alias("part"), "place", "line"))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+def report_text(summary: DataFrame, columns: Sequence[str], title: str = "", width: int = 12, most: int = 1000) -> str:
+    """Fixed-width text of a small result (one row per landmark or class); more than ``most`` rows are refused."""
+    rows = summary.select(*columns).orderBy(columns[0]).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report has at most {most} rows")
 
     def cell(v) -> str:
         if v is None:

@@ -9,7 +9,7 @@ from ..operators import derive, infer, popstats as P, score as Z
 from ..schema import LANDMARKS_11 as L
 from .correction import BOOT
 from .fixtures import BEATS_SQL, CONF_SQL, CORR_SQL, EVENTS_SQL, LM, TRACE_SQL, beats, corrections, events, judged, label_of, stored_units, table, traces, units
-from .registry import query
+from .registry import SQL, query
 
 
 def r6(df, *cols):
@@ -255,6 +255,32 @@ def fold_means(spark, sf):
     return r6(Z.fold_means(_errors(spark, sf).withColumn("fold", F.col("record_id") % 4), ["fold", "disease_class"]), "mae_ms")
 
 
+# ---------------------------------------------------------------- the text report
+
+_PARTS = [
+    ("Classes", "confusion_metrics", ["class", "precision", "recall", "f1", "iou", "support"]),
+    ("Landmarks in ms", "landmark_errors", ["landmark", "bias_ms", "mae_ms", "sd_ms", "n_compared"]),
+    ("Biomarkers in ms", "biomarker_errors", ["biomarker", "bias_ms", "mae_ms", "sd_ms", "coverage"]),
+]
+_WHOLE = {"class", "support", "landmark", "n_compared", "biomarker"}
+_WIDE = 16
+
+
+def _lines_sql() -> str:
+    arms = []
+    for number, (title, source, columns) in enumerate(_PARTS, start=1):
+        head = "".join(c.rjust(_WIDE) for c in columns)
+        cells = " || ".join(f"lpad(coalesce(" + (f"CAST({c} AS VARCHAR)" if c in _WHOLE else f"printf('%.3f', round({c}, 3))") + f", '--'), {_WIDE}, ' ')" for c in columns)
+        arms.append(f"SELECT {number} AS part, 0 AS place, '{title}' AS line UNION ALL SELECT {number}, 1, '{head}' UNION ALL SELECT {number}, CAST(row_number() OVER (ORDER BY {columns[0]}) + 1 AS INTEGER), {cells} FROM ({SQL[source]}) s{number}")
+    return " UNION ALL ".join(arms)
+
+
+@query("score_report", _lines_sql())
+def score_report(spark, sf):
+    tables = {"confusion_metrics": confusion_metrics, "landmark_errors": landmark_errors, "biomarker_errors": biomarker_errors}
+    return Z.report_lines([(title, tables[source](spark, sf), columns) for title, source, columns in _PARTS], _WIDE)
+
+
 # ---------------------------------------------------------------- comparisons with clustered intervals
 
 
